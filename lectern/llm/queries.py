@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.common import read_table
+from pyspark.sql import functions as F
+
+from lectern.llm import secrets
 from lectern.llm.simhash import near_duplicates
 
 
@@ -14,9 +17,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    counts = [secrets.count_kind(F.col("base"), k).alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.spans_string(F.col("base")), 256).alias("base_sha256"), secrets.spans_string(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
+        "op3_secrets": op3_secrets,
     }
 
 
