@@ -9,10 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm.common import read_table
 from pyspark.sql import functions as F
 
-from lectern.llm import secrets
+from lectern.llm import pii, secrets
 from lectern.llm.simhash import near_duplicates
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read_table(spark, sf_dir, "documents"))
+    counts = [secrets.count_kind(F.col("base"), k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    text = lambda c: secrets.spans_string(F.col(c), pii.KINDS)
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -25,6 +32,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op2_simhash": op2_simhash,
         "op3_secrets": op3_secrets,
     }
