@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm.common import read_table
 from pyspark.sql import functions as F
 
-from lectern.llm import pii, secrets
+from lectern.llm import pii, quality_rules, secrets
 from lectern.llm.simhash import near_duplicates
 
 
@@ -30,11 +30,17 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secrets.spans_string(F.col("base")), 256).alias("base_sha256"), secrets.spans_string(F.col("spans")).alias("spans"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_rules(read_table(spark, sf_dir, "documents"))
+    return judged.select(F.col("id").alias("doc_id"), *quality_rules.STATS, "base_failed", "kept", F.round("d2", 3).alias("distance2"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_simhash": op2_simhash,
         "op3_secrets": op3_secrets,
+        "op4_quality_rules": op4_quality_rules,
     }
 
 
