@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import read_table
+from lectern.llm.common import read_table, settle
 from pyspark.sql import functions as F
 
-from lectern.llm import pii, quality_rules, secrets
+import public_tokenizers
+
+from lectern.llm import packing, pii, quality_rules, secrets
 from lectern.llm.simhash import near_duplicates
 
 
@@ -35,12 +37,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), *quality_rules.STATS, "base_failed", "kept", F.round("d2", 3).alias("distance2"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(settle(cut, "pieces"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
         "op2_simhash": op2_simhash,
         "op3_secrets": op3_secrets,
         "op4_quality_rules": op4_quality_rules,
+        "op8_packing": op8_packing,
     }
 
 
