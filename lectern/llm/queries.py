@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from lectern.llm import packing, pii, quality_rules, secrets
+from lectern.llm import packing, pii, quality_rules, secrets, warc
 from lectern.llm.simhash import near_duplicates
 
 
@@ -37,6 +37,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), *quality_rules.STATS, "base_failed", "kept", F.round("d2", 3).alias("distance2"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = warc.archive_directory(spark)
+    manifest = warc.write_archives(read_table(spark, sf_dir, "pages"), directory)
+    return warc.read_archives(manifest, directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
     return packing.pack(settle(cut, "pieces"))
@@ -48,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_secrets": op3_secrets,
         "op4_quality_rules": op4_quality_rules,
+        "op5_warc": op5_warc,
         "op8_packing": op8_packing,
     }
 
