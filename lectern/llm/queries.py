@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from lectern.llm import packing, pii, quality_rules, secrets, warc
+from lectern.llm import decontaminate, packing, pii, quality_rules, secrets, warc
 from lectern.llm.simhash import near_duplicates
 
 
@@ -48,6 +48,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(settle(cut, "pieces"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": op1_pii,
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_warc": op5_warc,
         "op8_packing": op8_packing,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
