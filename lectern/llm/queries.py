@@ -43,11 +43,29 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    net = language_id.fit(docs.where(~held_out("doc_id", 4, 2)), "doc_id", "text", "lang")
+    found = language_id.identify(docs, net)
+    return found.select(F.col("id").alias("doc_id"), held_out("id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
     return packing.pack(settle(cut, "pieces"))
 
 
+def quality_network(docs: DataFrame, labels: DataFrame) -> quality_cnn.Network | None:
+    """The quality network, trained on labels that are not held out."""
+    return quality_cnn.fit(docs, labels.where(~held_out("doc_id", 3, 1)), "doc_id", "text", "doc_id", "quality")
+
+
+def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = quality_cnn.score(docs, quality_network(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), held_out("id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -59,7 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": op3_secrets,
         "op4_quality_rules": op4_quality_rules,
         "op5_warc": op5_warc,
+        "op6_language": op6_language,
         "op8_packing": op8_packing,
+        "op9_quality_cnn": op9_quality_cnn,
         "op10_decontaminate": op10_decontaminate,
     }
 
