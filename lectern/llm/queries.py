@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from lectern.llm.common import read_table, settle
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
-from lectern.llm import decontaminate, packing, pii, quality_rules, secrets, warc
+from lectern.llm import decontaminate, language_id, packing, pii, quality_cnn, quality_rules, secrets, warc
+from lectern.llm.common import held_out, read_table, settle
 from lectern.llm.simhash import near_duplicates
 
 
