@@ -37,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+    return "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, language_id, packing, pii, quality_cnn, quality_rules, secrets, warc
+from lectern.llm import decontaminate, language_id, packing, pii, quality_cnn, quality_rules, secrets, token_file, warc
 from lectern.llm.common import held_out, read_table, settle
 from lectern.llm.simhash import near_duplicates
 
@@ -48,6 +48,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out("id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = token_file.id_directory(spark)
+    manifest = token_file.write_ids(read_table(spark, sf_dir, "documents"), directory, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_file.read_ids(manifest, directory)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
     return packing.pack(settle(cut, "pieces"))
@@ -76,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_warc": op5_warc,
         "op6_language": op6_language,
+        "op7_token_file": op7_token_file,
         "op8_packing": op8_packing,
         "op9_quality_cnn": op9_quality_cnn,
         "op10_decontaminate": op10_decontaminate,

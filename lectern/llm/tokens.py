@@ -50,3 +50,13 @@ class WordCache:
             ids = self.whole(text) if None in found else chain.from_iterable(found)
             out.append(np.fromiter(ids, dtype=np.uint32))
         return out
+
+
+_CACHES: dict[tuple[str, bool], WordCache] = {}
+
+
+def word_cache(path: str, lower: bool = False) -> WordCache:
+    """The process's cache for a tokenizer file; a Python worker keeps it from task to task."""
+    if (path, lower) not in _CACHES:
+        _CACHES[path, lower] = WordCache(path, lower)
+    return _CACHES[path, lower]

@@ -189,5 +189,4 @@ def read_archives(manifest: DataFrame, directory: str, with_payload: bool = Fals
 
 def archive_directory(spark: SparkSession) -> str:
     """A new folder for archives in the shared folder."""
-    path = fresh_path(spark, "warc")
-    return path if "://" in path or not path.startswith("file:") else "file://" + path.removeprefix("file:")
+    return fresh_path(spark, "warc")
