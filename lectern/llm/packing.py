@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.common import crc32_u32, fields, settle
-from lectern.llm.tokens import WordCache
+from lectern.llm.tokens import word_cache
 
 PIECES = fields(("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("ids", T.ArrayType(T.IntegerType())))
 
@@ -26,7 +26,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, i
     schema = PIECES if with_ids else T.StructType(PIECES.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer, lower=True)
+        cache = word_cache(tokenizer, lower=True)
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -11,15 +12,17 @@ import numpy as np
 class WordCache:
     """Encodes texts with a tokenizer file, without special tokens; each distinct word is encoded once.
 
-    A text is cut at single spaces, where both kinds of vocabulary start a new pre-token, and the pieces' ids are
-    joined; the result equals encoding the text as a whole. For a byte-level vocabulary (``lower`` false) a piece keeps
-    the space before it; white space before a space may belong to one pre-token with it, so texts with pieces that end
-    in white space are encoded whole. For one that drops white space (``lower`` true) no cut matters. Strings of
-    special tokens inside a text are ordinary text. A null text has no ids.
+    A text is cut at single spaces, where both kinds of vocabulary start a new pre-token, and the words' ids are
+    joined; the result equals encoding the text as a whole. For a byte-level vocabulary (``lower`` false) a word keeps
+    the space before it; white space before a space may belong to one pre-token with it, so texts with words that end
+    in white space are encoded whole. A vocabulary that drops white space (``lower`` true) may be cut anywhere in it.
+    A full stop or comma after a letter is a pre-token of its own, so new words are looked up without it. Strings of
+    special tokens in a text are ordinary text. A null text has no ids. Ids are kept as the bytes of 32-bit integers,
+    which join fast.
     """
 
     #: Words kept; beyond them the cache starts afresh.
-    MOST = 400_000
+    MOST = 600_000
 
     def __init__(self, path: str, lower: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -28,27 +31,61 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.lower = lower
-        self.known: dict[str, tuple[int, ...] | None] = {}
+        self.known: dict[str, bytes | None] = {}
+        self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Which ids end a word of letters (lower), or begin one that follows a space.
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if lower else t.startswith("\u0120"))]] = True
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def cut(self, text: str) -> list[str]:
+        if self.lower:
+            return text.replace("\n", " ").split(" ")
         first, *rest = text.split(" ")
-        return [first, *rest] if self.lower else [first, *[" " + w for w in rest]]
+        return [first, *[" " + w for w in rest]]
+
+    def add(self, parts: list[str]) -> None:
+        """Encodes new parts. Those of letters alone go as one text, which is told apart again at its words' edges."""
+        plain = [p for p in parts if (p.isalpha() if self.lower else p[:1] == " " and p[1:].isalpha())]
+        if plain:
+            ids = self.whole((" " if self.lower else "").join(plain))
+            edges = np.flatnonzero(self.edge[ids])
+            bounds = np.append(0, edges + 1) if self.lower else np.append(edges, len(ids))
+            if len(bounds) == len(plain) + 1:
+                data, bounds = ids.tobytes(), (bounds * 4).tolist()
+                for p, a, b in zip(plain, bounds, bounds[1:]):
+                    self.parts[p] = data[a:b]
+        rest = [p for p in parts if p not in self.parts]
+        for p, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.parts[p] = array("I", found.ids).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.parts) > self.MOST:
+            self.parts.clear()
+        cores = [w[:-1] if w[-1:] in (".", ",") and w[-2:-1].isalpha() else w for w in words]
+        self.add(list({".", ",", *cores}.difference(self.parts)))
+        parts, known, lower = self.parts, self.known, self.lower
+        for word, core in zip(words, cores):
+            known[word] = (parts[core] if core == word else parts[core] + parts[word[-1]]) if lower or not word[-1:].isspace() else None
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > self.MOST:
             self.known.clear()
         cut = [self.cut(t) if t else [] for t in texts]
-        new = list(set(chain.from_iterable(cut)).difference(self.known))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = tuple(found.ids) if self.lower or not word[-1:].isspace() else None
+        new = set(chain.from_iterable(cut)).difference(self.known)
+        if new:
+            self.learn(list(new))
+        get = self.known.__getitem__
         out = []
-        for text, pieces in zip(texts, cut):
-            found = list(map(self.known.__getitem__, pieces))
-            ids = self.whole(text) if None in found else chain.from_iterable(found)
-            out.append(np.fromiter(ids, dtype=np.uint32))
+        for text, words in zip(texts, cut):
+            try:
+                ids = np.frombuffer(b"".join(map(get, words)), dtype=np.uint32)
+            except TypeError:  # a word that must not be cut off
+                ids = self.whole(text)
+            out.append(ids)
         return out
 
 
