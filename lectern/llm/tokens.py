@@ -65,7 +65,8 @@ class WordCache:
     def learn(self, words: list[str]) -> None:
         if len(self.parts) > self.MOST:
             self.parts.clear()
-        cores = [w[:-1] if w[-1:] in (".", ",") and w[-2:-1].isalpha() else w for w in words]
+        # lower-casing may end in a mark, which would belong to one pre-token with the stop
+        cores = [w[:-1] if w[-1:] in (".", ",") and w[-2:-1].lower()[-1:].isalpha() else w for w in words]
         self.add(list({".", ",", *cores}.difference(self.parts)))
         parts, known, lower = self.parts, self.known, self.lower
         for word, core in zip(words, cores):
