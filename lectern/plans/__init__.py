@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import confidence, jobs, tensor, text
+from lectern.plans import confidence, jobs, layout, streams, tensor, text
 
-MODULES = (text, confidence, jobs, tensor)
+MODULES = (text, confidence, jobs, tensor, layout, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
