@@ -123,7 +123,7 @@ def causal_attn(spark, sf_dir):
 def rswa_frame(spark, sf_dir):
     """The first eight vectors of a sequence are seen by all later ones, besides the last four."""
     near = (X("k.pos") <= X("q.pos")) & ((X("k.pos") < 8) | (X("k.pos") > X("q.pos") - 4))
-    out = O.attention(pages_of(spark, sf_dir).where("true"), near).where("pos >= 8")
+    out = O.attention(pages_of(spark, sf_dir), near).where("pos >= 8")
     return out.select("seq", "pos", "keys", r6(total(X("out")), "s1"), r6(dot(X("out"), X("out")), "s2"))
 
 

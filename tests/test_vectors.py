@@ -142,3 +142,22 @@ def test_results_do_not_depend_on_partitioning(spark):
     d = spark.range(2000).select(F.lit("g").alias("g"), (F.col("id") % 37 / 37.0).alias("s"), (F.col("id") % 5 == 0).cast("int").alias("y"))
     got = {round(E.auroc(x, "s", "y", "g").first()["auroc"], 12) for x in (d, d.repartition(7), d.orderBy(F.rand(1)))}
     assert len(got) == 1
+
+
+def test_image_kernels():
+    from lectern.functions import pixels as P
+
+    image = np.arange(12.0).reshape(3, 4)
+    assert np.allclose(P.resize_bilinear(image, 3, 4), image)
+    assert P.letterbox(np.full((10, 20), 127.5 * 2), 16).shape == (16, 16) and P.letterbox(image, 8)[0, 0] == 127 / 127.5 - 1
+    assert P.im2col(np.arange(16.0).reshape(4, 4), 2, 2).tolist() == [[0, 1, 4, 5], [2, 3, 6, 7], [8, 9, 12, 13], [10, 11, 14, 15]]
+    assert np.allclose(P.convolve(image, np.eye(3) * [[0, 0, 0], [0, 1, 0], [0, 0, 0]]), image)
+    table = np.arange(5.0)[:, None]
+    assert P.relative_positions(3, table)[:, :, 0].tolist() == [[2, 1, 0], [3, 2, 1], [4, 3, 2]]
+    assert P.relative_positions(4, table).shape == (4, 4, 1) and len(P.interpolate(table, 9)) == 9
+
+
+def test_entry_lists_every_query_with_matching_names():
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100
