@@ -20,4 +20,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="lectern-")
         base = _LOCAL[app]
-    return f"{base.rstrip('/')}/lectern/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/lectern/{name}-{uuid.uuid4().hex}"
+    return "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
