@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LOCAL_DIRS: dict[str, str] = {}
+from lectern.sources.scratch import scratch_path as fresh_path
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,28 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (single-machine tests) a temporary folder takes its place.
-    """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _LOCAL_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="lectern-")
-    return _LOCAL_DIRS[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    path = f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
-    return "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
-
-
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
@@ -64,6 +41,13 @@ def drop_settled(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that little of a batch stands in Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def binary_text(batch: pa.RecordBatch, column: int | str) -> pa.Array:
     """A string column as UTF-8 bytes, without a copy; nulls stay."""
     col = batch.column(column)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import fields
+from lectern.llm.common import fields, slices
 
 #: Errors allowed, as a share of the item's characters.
 ERROR_RATE = 0.1
@@ -193,7 +193,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         get = finder(block, rate)
 
         def run(batches: Iterator[pa.RecordBatch], get: Callable[[], Finder] = get) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 found = [(doc, *m) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in get().find(t)]
                 cols = list(zip(*found)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=MATCH.names)
@@ -210,7 +210,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
         get = finder(block, rate)
 
         def run(batches: Iterator[pa.RecordBatch], get: Callable[[], Finder] = get) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 yield b.filter(pa.array([not get().find(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

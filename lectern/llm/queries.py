@@ -90,4 +90,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the archives' records; the other operators are beyond it and are tested against brute force."""
+    return {
+        "op5_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+            q AS (SELECT *, coalesce(strlen(payload) >= 100 AND page_id > first, false) AS again FROM p)
+            SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM q""",
+    }
