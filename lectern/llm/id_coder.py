@@ -5,8 +5,8 @@ together. All arithmetic is on integers, so that a reader on another machine rep
 
 For each id, predictions of order 2, 1 and 0 (the id last seen after these two ids, after this one, and the most common
 one so far) give a guess. Three adaptive log-odds that it is right (by the predictions' confidence, by their agreement,
-and by the recent hits) are mixed with adaptive weights, and the outcome is range-coded. A wrong guess is followed by
-the id's two bytes, coded by adaptive order-0 frequencies.
+and by the recent hits) are added up, all learning from the joint error, and the outcome is range-coded. A wrong guess
+is followed by the id itself, coded by its order-0 frequency in the segment, a table that is kept once beside the blocks.
 """
 
 from __future__ import annotations
@@ -17,17 +17,14 @@ import numpy as np
 MOST_ID = 1 << 16
 #: Slots of the order-1 and order-2 tables of a block.
 SLOTS = 512
-#: Probabilities and frequencies are in units of 1 / 4096.
+#: Probabilities are in units of 1 / 4096, frequencies of 1 / 65536.
 BITS, ONE = 12, 1 << 12
-#: Steps after which the byte frequencies are summed anew: 16, 32, 64, and each multiple of 256.
-EARLY, EVERY = (16, 32, 64, 128), 256
-#: Blocks whose frequencies are summed together.
-TOGETHER = 128
+FREQUENCY_BITS, FREQUENCY_ONE = 16, 1 << 16
 #: Contexts of the three log-odds.
 CONTEXTS = (16, 4, 16)
-#: An interval below BOTTOM is renewed by words of 16 bits: three choices of 12 bits fit in between.
+#: An interval below BOTTOM is renewed by words of 16 bits: both choices of a step fit in between.
 TOP, BOTTOM, WORD = np.uint64(48), np.uint64(1 << 44), np.uint64(16)
-UNIT = np.uint64(BITS)
+UNIT, FREQUENCY_UNIT = np.uint64(BITS), np.uint64(FREQUENCY_BITS)
 
 #: The logistic function from 1/256ths to probability.
 SQUASH = np.clip(np.rint(ONE / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 1, ONE - 1).astype(np.int32)
@@ -49,36 +46,6 @@ class Model:
         self.history = np.zeros(lanes, np.int64)
         self.first = [self.lane * n for n in CONTEXTS]
         self.odds = [np.full(lanes * n, -170, np.int32) for n in CONTEXTS]
-        # tables of a block: the high byte, the low byte after a high byte of zero, the low byte after others
-        self.row = self.lane * 3
-        self.counts = np.ones((lanes, 768), np.uint16)
-        self.sums = np.empty((lanes, 3, 257), np.uint16)
-        # the entries counted since the last sums, 768 for none
-        self.recent = np.empty((2 * EVERY, lanes), np.int16)
-        self.held = self.step = 0
-        self.sum_up()
-
-    def sum_up(self) -> None:
-        """Counts the bytes coded since the last time and sums up each table in units of 1 / ONE, each byte at least one.
-
-        Some blocks at a time, so that their tables stay in the processor's cache.
-        """
-        ramp = np.arange(1, 257, dtype=np.uint16)
-        sums = self.sums.reshape(-1, 3, 257)
-        sums[..., 0] = 0
-        for at in range(0, len(self.lane), TOGETHER):
-            counts = self.counts[at : at + TOGETHER]
-            if self.held:
-                lanes = len(counts)
-                spots = self.recent[: self.held, at : at + TOGETHER] + np.arange(lanes) * 769
-                counts += (np.bincount(spots.ravel(), minlength=lanes * 769).reshape(lanes, 769)[:, :768] * 24).astype(np.uint16)
-            total = np.cumsum(counts.reshape(-1, 3, 256), axis=-1, dtype=np.float32)
-            total *= (ONE - 256) / total[..., -1:]
-            part = sums[at : at + TOGETHER, :, 1:]
-            part[...] = total
-            part += ramp
-        self.sums = sums.reshape(-1)
-        self.held = 0
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The guess of every block and the probability that it is right."""
@@ -97,7 +64,7 @@ class Model:
         self.p = SQUASH.take(dot + 2048)
         return guess, self.p
 
-    def learn(self, ids: np.ndarray, hit: np.ndarray, top: np.ndarray, bottom: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
         step = (hit * np.int32(ONE) - self.p) >> 5
         for o, c, g in zip(self.odds, self.context, self.given):
             g += step
@@ -115,14 +82,6 @@ class Model:
         mixed = ids * np.int64(40503)
         self.at = [self.slot + (mixed >> 5 & SLOTS - 1), self.slot + ((mixed ^ self.last * 30011) >> 4 & SLOTS - 1)]
         self.last = ids.astype(np.int64)
-        miss = ~hit
-        none = hit * np.int16(768)
-        self.recent[self.held] = top * miss + none
-        self.recent[self.held + 1] = (256 + (top > 0) * 256 + bottom) * miss + none
-        self.held += 2
-        self.step += 1
-        if self.step in EARLY or self.step % EVERY == 0:
-            self.sum_up()
 
 
 def _renew(low: np.ndarray, span: np.ndarray) -> np.ndarray:
@@ -137,13 +96,13 @@ def _renew(low: np.ndarray, span: np.ndarray) -> np.ndarray:
     return need
 
 
-def _ranges(model: Model, rows: np.ndarray, byte: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of a byte in its table; the whole range where the guess was right and no byte is coded."""
-    at = rows * 257 + byte
-    start = model.sums.take(at)
-    size = model.sums.take(at + 1) - start
-    miss = ~hit
-    return start * miss, size * miss + hit * np.uint16(ONE)
+def frequencies(ids: np.ndarray) -> np.ndarray:
+    """How often each id occurs, from 0 to the largest, in units that sum up to FREQUENCY_ONE at most; at least 1 if at all."""
+    if ids.size and (ids.min() < 0 or ids.max() >= MOST_ID):
+        raise ValueError("ids must be from 0 to 65535")
+    counts = np.bincount(ids.ravel().astype(np.int64), minlength=1)
+    rest = FREQUENCY_ONE - 1 - np.count_nonzero(counts)
+    return np.where(counts > 0, 1 + counts * max(0, rest) // max(1, counts.sum()), 0).astype(np.uint16)
 
 
 def _outcome(p: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,12 +111,12 @@ def _outcome(p: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p * miss, p * hit + (np.int32(ONE) - p) * miss
 
 
-def encode(ids: np.ndarray) -> list[bytes]:
-    """Codes each row of a matrix of ids as a block."""
-    if ids.size and (ids.min() < 0 or ids.max() >= MOST_ID):
-        raise ValueError("ids must be from 0 to 65535")
+def encode(ids: np.ndarray, table: np.ndarray) -> list[bytes]:
+    """Codes each row of a matrix of ids as a block; ``table`` has the frequency of each."""
     lanes, n = ids.shape
     columns = np.ascontiguousarray(ids.T).astype(np.int32)
+    sizes = table.astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
     model = Model(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0), np.uint64)
     width = 3 * n + 8
@@ -166,9 +125,9 @@ def encode(ids: np.ndarray) -> list[bytes]:
     for now in columns:
         guess, p = model.predict()
         hit = guess == now
-        top, bottom = (now >> 8).astype(np.int64), (now & 255).astype(np.int64)
-        for start, size in (_outcome(p, hit), _ranges(model, model.row, top, hit), _ranges(model, model.row + 1 + (top > 0), bottom, hit)):
-            span >>= UNIT
+        miss = ~hit
+        for unit, start, size in ((UNIT, *_outcome(p, hit)), (FREQUENCY_UNIT, starts.take(now) * miss, sizes.take(now) * miss + hit * FREQUENCY_ONE)):
+            span >>= unit
             low += span * start.astype(np.uint64)
             span *= size.astype(np.uint64)
         while len(need := _renew(low, span)):
@@ -178,7 +137,7 @@ def encode(ids: np.ndarray) -> list[bytes]:
             place[need] = spot + 1
             low[need] = part << WORD
             span[need] = span.take(need) << WORD
-        model.learn(now, hit, top, bottom)
+        model.learn(now, hit)
     for _ in range(4):
         out[place] = low >> TOP
         place += 1
@@ -186,7 +145,7 @@ def encode(ids: np.ndarray) -> list[bytes]:
     return [o[:k].astype("<u2").tobytes() for o, k in zip(out.reshape(lanes, width), place - np.arange(lanes) * width)]
 
 
-def decode(blocks: list[bytes], n: int) -> np.ndarray:
+def decode(blocks: list[bytes], n: int, table: np.ndarray) -> np.ndarray:
     """The first ``n`` ids of each block, as a matrix."""
     lanes = len(blocks)
     width = max((len(b) // 2 for b in blocks), default=0) + 8
@@ -194,6 +153,9 @@ def decode(blocks: list[bytes], n: int) -> np.ndarray:
     for r, b in zip(words, blocks):
         r[: len(b) // 2] = np.frombuffer(b, "<u2")
     words = words.reshape(-1)
+    sizes = table.astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)  # the id whose range holds a value
     model = Model(lanes)
     out = np.zeros((n, lanes), np.int32)
     low, span, code = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0), np.uint64), np.zeros(lanes, np.uint64)
@@ -201,43 +163,27 @@ def decode(blocks: list[bytes], n: int) -> np.ndarray:
     for _ in range(4):
         code = code << WORD | words.take(place)
         place += 1
-    top_value = np.uint64(ONE - 1)
-
-    def value() -> np.ndarray:
-        """Where the code lies in the interval, in units of 1 / ONE; the span is left in these units."""
-        nonlocal span
-        span >>= UNIT
-        return np.minimum((code - low) // span, top_value).astype(np.uint16)
 
     def shrink(start: np.ndarray, size: np.ndarray) -> None:
         nonlocal low, span
         low += span * start.astype(np.uint64)
         span *= size.astype(np.uint64)
 
-    def byte(rows: np.ndarray) -> np.ndarray:
-        """The byte whose range holds each block's value, by halving, or what the guess says."""
-        v, first = value(), rows * 257
-        at = first
-        for half in (128, 64, 32, 16, 8, 4, 2, 1):
-            at = at + (model.sums.take(at + half) <= v) * half
-        return at - first
-
     for t in range(n):
         guess, p = model.predict()
-        hit = value() < p
+        span >>= UNIT
+        hit = np.minimum((code - low) // span, np.uint64(ONE - 1)).astype(np.int32) < p
         miss = ~hit
         shrink(*_outcome(p, hit))
-        top = byte(model.row) * miss + (guess >> 8) * hit
-        shrink(*_ranges(model, model.row, top, hit))
-        rows = model.row + 1 + (top > 0)
-        bottom = byte(rows) * miss + (guess & 255) * hit
-        shrink(*_ranges(model, rows, bottom, hit))
-        out[t] = top << 8 | bottom
+        span >>= FREQUENCY_UNIT
+        now = out[t]
+        now[:] = owner.take(((code - low) // span).astype(np.int64), mode="clip") * miss + guess * hit
+        shrink(starts.take(now, mode="clip") * miss, sizes.take(now, mode="clip") * miss + hit * FREQUENCY_ONE)
         while len(need := _renew(low, span)):
             spot = place.take(need)
             code[need] = code.take(need) << WORD | words.take(spot, mode="clip")
             place[need] = spot + 1
             low[need] = low.take(need) << WORD
             span[need] = span.take(need) << WORD
-        model.learn(out[t], hit, top, bottom)
+        model.learn(now, hit)
     return out.T

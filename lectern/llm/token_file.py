@@ -16,16 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.common import crc32_u32, fields, fresh_path, settle
-from lectern.llm.id_coder import decode, encode
+from lectern.llm.id_coder import decode, encode, frequencies
 from lectern.llm.tokens import word_cache
 
 # Fixed values of the file format. A file is MAGIC and segments. A segment: SEGMENT (documents, ids, ids in a block,
-# bytes of the document table, CRC-32 of that table), the table (ids of documents as little-endian int64, a bit map of
-# those that are null, lengths as uint32; deflated), then for each block BLOCK (bytes, CRC-32 of its ids) and its bytes.
+# bytes of the tables, CRC-32 of the tables), the tables (ids of documents as little-endian int64, a bit map of those that
+# are null, lengths as uint32, frequencies of token ids as uint16; deflated), then for each block BLOCK (bytes, CRC-32 of
+# its ids) and its bytes.
 MAGIC = b"LECTERN-IDS-1\n"
 SEGMENT, BLOCK = struct.Struct("<IQIII"), struct.Struct("<II")
 #: A segment is closed at so many ids; it has about LANES blocks, of LEAST to MOST ids each.
-SEGMENT_IDS, LANES, LEAST, MOST = 6 << 20, 4096, 512, 4096
+SEGMENT_IDS, LANES, LEAST, MOST = 8 << 20, 8192, 512, 4096
 MANIFEST = fields(("path", T.StringType()), ("part", T.IntegerType()), ("documents", T.LongType()), ("ids", T.LongType()), ("bytes", T.LongType()))
 ROW = fields(("doc_id", T.LongType()), ("start", T.LongType()), ("n_tokens", T.LongType()), ("ids_crc32", T.LongType()))
 
@@ -37,13 +38,14 @@ def pack_segment(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     lanes = max(1, -(-len(flat) // size))
     padded = np.zeros(lanes * size, np.int64)
     padded[: len(flat)] = flat
-    table = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.packbits([d is None for d in doc_ids]).tobytes() + np.array([len(x) for x in ids], "<u4").tobytes()
+    often = frequencies(padded)
+    table = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.packbits([d is None for d in doc_ids]).tobytes() + np.array([len(x) for x in ids], "<u4").tobytes() + often.astype("<u2").tobytes()
     table = zlib.compress(table, 6)
     out = [SEGMENT.pack(len(doc_ids), len(flat), size, len(table), zlib.crc32(table)), table]
     # so many blocks at once that their state stays small
     for at in range(0, lanes, LANES):
         part = padded[at * size : (at + LANES) * size].reshape(-1, size)
-        for row, coded in zip(part, encode(part)):
+        for row, coded in zip(part, encode(part, often)):
             out += [BLOCK.pack(len(coded), crc32_u32(row)), coded]
     return b"".join(out)
 
@@ -66,7 +68,8 @@ def unpack_segments(source) -> Iterator[tuple[list[int | None], list[np.ndarray]
             raise ValueError("a document table is damaged")
         table = zlib.decompress(table)
         docs, gone = np.frombuffer(table, "<i8", n_docs), np.unpackbits(np.frombuffer(table, np.uint8, -(-n_docs // 8), 8 * n_docs))[:n_docs]
-        lengths = np.frombuffer(table, "<u4", n_docs, 8 * n_docs + -(-n_docs // 8))
+        at = 8 * n_docs + -(-n_docs // 8)
+        lengths, often = np.frombuffer(table, "<u4", n_docs, at), np.frombuffer(table, "<u2", offset=at + 4 * n_docs)
         lanes = max(1, -(-n_ids // size))
         parts = []
         for at in range(0, lanes, LANES):
@@ -75,7 +78,7 @@ def unpack_segments(source) -> Iterator[tuple[list[int | None], list[np.ndarray]
                 n, crc = BLOCK.unpack(read_exactly(source, BLOCK.size))
                 coded.append(read_exactly(source, n))
                 sums.append(crc)
-            rows = decode(coded, size).astype("<u4")
+            rows = decode(coded, size, often).astype("<u4")
             if [zlib.crc32(r.tobytes()) for r in rows] != sums:
                 raise ValueError("a block is damaged")
             parts.append(rows.reshape(-1))

@@ -4,25 +4,50 @@ from __future__ import annotations
 
 import os
 from array import array
-from itertools import chain
 
 import numpy as np
 
+from lectern.functions.bpe import byte_characters
+
+
+class Words(dict):
+    """Ids of words, as the bytes of 32-bit integers; a missing word is encoded when it is first asked for.
+
+    A word stands for ``prefix`` and itself. One that must not be cut off from what follows has None.
+    """
+
+    def __init__(self, owner: WordCache, prefix: str):
+        super().__init__()
+        self.owner, self.prefix = owner, prefix
+
+    def __missing__(self, word: str) -> bytes | None:
+        owner = self.owner
+        if word.isalpha():
+            ids = owner.letters(self.prefix + word)
+        # a stop after a letter is a pre-token of its own; lower-casing may end in a mark, which would belong to one with it
+        elif word[-1:] in owner.stops and word[-2:-1].lower()[-1:].isalpha():
+            ids = self[word[:-1]] + owner.stops[word[-1]]
+        elif owner.lower or not word[-1:].isspace() and (word or not self.prefix):
+            ids = owner.pack(owner.tokenizer.encode(self.prefix + word, add_special_tokens=False).ids)
+        else:
+            ids = None
+        self[word] = ids
+        return ids
+
 
 class WordCache:
     """Encodes texts with a tokenizer file, without special tokens; each distinct word is encoded once.
 
     A text is cut at single spaces, where both kinds of vocabulary start a new pre-token, and the words' ids are
-    joined; the result equals encoding the text as a whole. For a byte-level vocabulary (``lower`` false) a word keeps
+    joined; the result equals encoding the text as a whole. For a byte-level vocabulary (``lower`` false) a word has
     the space before it; white space before a space may belong to one pre-token with it, so texts with words that end
     in white space are encoded whole. A vocabulary that drops white space (``lower`` true) may be cut anywhere in it.
-    A full stop or comma after a letter is a pre-token of its own, so new words are looked up without it. Strings of
-    special tokens in a text are ordinary text. A null text has no ids. Ids are kept as the bytes of 32-bit integers,
-    which join fast.
+    A word of letters alone is one pre-token and goes straight to the tokenizer's model. Strings of special tokens in
+    a text are ordinary text. A null text has no ids.
     """
 
     #: Words kept; beyond them the cache starts afresh.
-    MOST = 600_000
+    MOST = 800_000
 
     def __init__(self, path: str, lower: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -30,60 +55,37 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.lower = lower
-        self.known: dict[str, bytes | None] = {}
-        self.parts: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        #: Which ids end a word of letters (lower), or begin one that follows a space.
-        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if lower else t.startswith("\u0120"))]] = True
+        printable = {chr(b): c for c, b in byte_characters().items()}
+        self.bytes = str.maketrans(printable)
+        self.stops = {c: self.pack(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in ".,"}
+        self.first, self.known = Words(self, ""), Words(self, "" if lower else " ")
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
 
-    def cut(self, text: str) -> list[str]:
+    def letters(self, word: str) -> bytes:
+        """The ids of a pre-token of letters, with a space before it if it has one."""
         if self.lower:
-            return text.replace("\n", " ").split(" ")
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
-
-    def add(self, parts: list[str]) -> None:
-        """Encodes new parts. Those of letters alone go as one text, which is told apart again at its words' edges."""
-        plain = [p for p in parts if (p.isalpha() if self.lower else p[:1] == " " and p[1:].isalpha())]
-        if plain:
-            ids = self.whole((" " if self.lower else "").join(plain))
-            edges = np.flatnonzero(self.edge[ids])
-            bounds = np.append(0, edges + 1) if self.lower else np.append(edges, len(ids))
-            if len(bounds) == len(plain) + 1:
-                data, bounds = ids.tobytes(), (bounds * 4).tolist()
-                for p, a, b in zip(plain, bounds, bounds[1:]):
-                    self.parts[p] = data[a:b]
-        rest = [p for p in parts if p not in self.parts]
-        for p, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.parts[p] = array("I", found.ids).tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.parts) > self.MOST:
-            self.parts.clear()
-        # lower-casing may end in a mark, which would belong to one pre-token with the stop
-        cores = [w[:-1] if w[-1:] in (".", ",") and w[-2:-1].lower()[-1:].isalpha() else w for w in words]
-        self.add(list({".", ",", *cores}.difference(self.parts)))
-        parts, known, lower = self.parts, self.known, self.lower
-        for word, core in zip(words, cores):
-            known[word] = (parts[core] if core == word else parts[core] + parts[word[-1]]) if lower or not word[-1:].isspace() else None
+            if not word.isascii():
+                return self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            word = word.lower()
+        return self.pack([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.bytes))])
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > self.MOST:
+        if len(self.known) + len(self.first) > self.MOST:
             self.known.clear()
-        cut = [self.cut(t) if t else [] for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.known)
-        if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        out = []
-        for text, words in zip(texts, cut):
+            self.first.clear()
+        get, out = self.known.__getitem__, []
+        for text in texts:
+            words = (text or "").replace("\n", " ").split(" ") if self.lower else (text or "").split(" ")
             try:
-                ids = np.frombuffer(b"".join(map(get, words)), dtype=np.uint32)
+                ids = np.frombuffer(self.first[words[0]] + b"".join(map(get, words[1:])), dtype=np.uint32)
             except TypeError:  # a word that must not be cut off
                 ids = self.whole(text)
             out.append(ids)
