@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ def fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> i
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle_words))))
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, n, BLOCK):
-        part = np.fromiter((digest(g, seed) for g, _ in zip(grams, range(min(BLOCK, n - at)))), dtype="<u8")
+        part = np.fromiter((digest(g, seed) for g in islice(grams, BLOCK)), dtype="<u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 

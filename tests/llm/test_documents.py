@@ -57,6 +57,19 @@ def test_simhash_matches_brute_force(spark, frame, tables):
     assert kept == set(want.values())
 
 
+def test_fingerprint_of_long_texts_counts_every_shingle(monkeypatch):
+    r = random.Random(13)
+    text = " ".join(f"{k}x{r.randrange(10**6)}" for k in range(110000))
+    words = text.split()
+    prints = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42) for i in range(len(words) - 2)], "<u8")
+    ones = np.unpackbits(prints.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    assert simhash.fingerprint(text.encode()) == sum(1 << b for b in range(64) if 2 * ones[b] > len(prints))
+    monkeypatch.setattr(simhash, "BLOCK", 8)  # many block ends, so that a shingle lost at each shows
+    for n in range(3, 200):
+        part = " ".join(words[:n])
+        assert simhash.fingerprint(part.encode()) == fingerprint(part)
+
+
 def test_simhash_null_and_repeated_ids(frame):
     rows = simhash.near_duplicates(frame([(None, "lonely words here"), (None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (2, "a b c d")])).collect()
     assert sorted((x.doc_id or -1, x.component_id or -1) for x in rows) == [(-1, -1), (-1, 2), (2, 2), (4, 2), (4, 2)]
