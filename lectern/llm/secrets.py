@@ -39,8 +39,8 @@ SIZES = np.array([len(a) for a in ALPHABETS.values()])
 CLASSES = (16, 20, 28, 40, 64)
 #: Scores are counted in so many equal bins.
 BINS = 256
-#: One window of ordinary text for each class and encoding from each so many letters.
-EVERY = 4096
+#: Letters whose windows are scored at once; bounds the memory of a very long text.
+LETTERS = 1 << 17
 #: Words with digits are left out of ordinary text: secrets are among them.
 HAS_DIGIT, WITH_DIGIT = re.compile(r"[0-9]"), re.compile(r"\S*[0-9]\S*")
 NOT_LETTERS = bytes(i for i in range(256) if not chr(i).isascii() or not chr(i).isalpha())
@@ -75,8 +75,7 @@ def randomness(values: np.ndarray, alphabet: int) -> np.ndarray:
     m, n = values.shape
     cells = 1 << max(1, min(alphabet.bit_length() - 1, int(np.log2(max(2, n / 4)))))
     cell = values * cells // alphabet
-    counts = np.zeros((m, cells))
-    np.add.at(counts, (np.arange(m)[:, None], cell), 1)
+    counts = np.bincount((np.arange(m)[:, None] * cells + cell).ravel(), minlength=m * cells).reshape(m, cells)
     chi = ((counts - n / cells) ** 2).sum(axis=1) * cells / n
     d = cells - 1
     z = ((chi / d) ** (1 / 3) - (1 - 2 / (9 * d))) / np.sqrt(2 / (9 * d))  # Wilson and Hilferty
@@ -129,42 +128,44 @@ def candidates(texts: list[str]) -> list[list[tuple[int, int, int]]]:
     return [sorted(x) for x in out]
 
 
-def ordinary(texts: list[str]) -> list[list[int]]:
-    """For each text the codes of windows of its letters: what ordinary text scores in each class and encoding.
+def ordinary(texts: list[str]) -> np.ndarray:
+    """How many windows of the texts' letters have each code: what ordinary text scores in each class and encoding.
 
-    The letters' places in the alphabet are spread over the encoding's symbols as the encoding itself would
-    (base64 keeps them as they are, shorter alphabets take them modulo their size).
+    For each class all consecutive windows of its shortest length, from a text's first letter to the last that fills
+    one. The letters' places in the alphabet are spread over the encoding's symbols as the encoding itself would
+    (base64 keeps them as they are, shorter alphabets take them modulo their size), so encodings of one size share
+    their scores.
     """
-    out: list[list[int]] = [[] for _ in texts]
-    windows, owner = [], []
-    longest = CLASSES[-1]
-    for k, text in enumerate(texts):
-        letters = (WITH_DIGIT.sub("", text) if HAS_DIGIT.search(text) else text).encode().translate(None, NOT_LETTERS)
-        for at in range(0, len(letters) - longest + 1, EVERY):
-            windows.append(letters[at : at + longest])
-            owner.append(k)
-    if windows:
-        raw = np.frombuffer(b"".join(windows), dtype=np.uint8).reshape(len(windows), longest)
-        for enc, name in enumerate(ENCODINGS):
-            values = VALUES[enc][raw] if name.startswith("base64") else (raw & 31).astype(np.int64) % SIZES[enc]
-            for cls, n in enumerate(CLASSES):
-                for k, c in zip(owner, code(enc, cls, randomness(values[:, :n], int(SIZES[enc])))):
-                    out[k].append(int(c))
-    return out
+    size = len(ENCODINGS) * len(CLASSES) * BINS
+    counts = np.zeros(size, dtype=np.int64)
+    letters = [np.frombuffer((WITH_DIGIT.sub("", t) if HAS_DIGIT.search(t) else t).encode().translate(None, NOT_LETTERS), dtype=np.uint8) for t in texts]
+    for cls, n in enumerate(CLASSES):
+        raw = np.concatenate([np.zeros(0, np.uint8), *[x[: len(x) // n * n] for x in letters]]).reshape(-1, n)
+        for at in range(0, len(raw), LETTERS // n):
+            part, scores = raw[at : at + LETTERS // n], {}
+            for enc, name in enumerate(ENCODINGS):
+                k = int(SIZES[enc])
+                if k not in scores:
+                    scores[k] = randomness(VALUES[enc][part] if name.startswith("base64") else (part & 31).astype(np.int64) % k, k)
+                counts += np.bincount(code(enc, cls, scores[k]), minlength=size)
+    return counts
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 SCAN = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("base", SPAN),
     T.StructField("tested", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("code", T.IntegerType())]))),
-    T.StructField("ordinary", T.ArrayType(T.IntegerType())),
+    T.StructField("ordinary", T.ArrayType(T.StructType([T.StructField("code", T.IntegerType()), T.StructField("n", T.LongType())]))),
 ])
 #: Texts that are scanned together.
 TOGETHER = 256
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, base, tested, ordinary) for every row: one pass over the whole texts."""
+    """(id, base, tested, ordinary) for every row: one pass over the whole texts.
+
+    The windows of texts that are scanned together are counted by code on the first of their rows.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(SCAN)
@@ -176,7 +177,9 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 base = [[{"start": s, "kind": k, "end": e} for s, k, e in base_spans(t)] for t in texts]
                 tested = [[{"start": s, "end": e, "code": c} for s, e, c in row] for row in candidates(texts)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, schema.field(1).type), pa.array(tested, schema.field(2).type), pa.array(ordinary(texts), schema.field(3).type)], names=schema.names)
+                n = ordinary(texts)
+                windows = [[{"code": int(c), "n": int(n[c])} for c in np.flatnonzero(n)], *[[]] * (len(texts) - 1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, schema.field(1).type), pa.array(tested, schema.field(2).type), pa.array(windows, schema.field(3).type)], names=schema.names)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCAN)
 
@@ -190,9 +193,11 @@ def cuts(scanned: DataFrame, rate: float = 0.01) -> dict[int, int]:
     """
     size = len(ENCODINGS) * len(CLASSES) * BINS
     counts = np.zeros((2, size), dtype=np.int64)
-    for side, codes in ((0, F.col("ordinary")), (1, F.col("tested.code"))):
-        for r in scanned.select(F.explode(codes).alias("c")).groupBy("c").count().collect():
-            counts[side, r["c"]] = r["count"]
+    windows = scanned.select(F.explode("ordinary").alias("w")).select(F.col("w.code").alias("c"), F.col("w.n").alias("n"))
+    tokens = scanned.select(F.explode("tested.code").alias("c"), F.lit(1).alias("n"))
+    for side, rows in ((0, windows), (1, tokens)):
+        for r in rows.groupBy("c").agg(F.sum("n").alias("n")).collect():
+            counts[side, r["c"]] = r["n"]
     null, seen = counts.reshape(2, -1, BINS)
     out = {}
     for g in range(len(null)):

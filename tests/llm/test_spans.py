@@ -97,6 +97,21 @@ def test_random_tokens_are_found_and_words_are_not(frame):
     assert sum(tokens[k] in clean[k] for k in range(200)) < 20 and all("[SECRET]" not in clean[k] for k in range(300, 400) if not rows[k])
 
 
+def test_every_window_of_every_text_is_ordinary_text(frame):
+    import base64
+
+    texts = ["ab cd" * 999, "k" * 63, "x1y " + "de " * 10, "", "q" * 15, "whenever " * 5000]
+    letters = [len(re.sub("[^a-z]", "", re.sub(r"\S*[0-9]\S*", "", t))) for t in texts]
+    assert secrets.ordinary(texts).reshape(len(secrets.ENCODINGS), len(secrets.CLASSES), -1).sum(axis=2).tolist() == [[sum(x // n for x in letters) for n in secrets.CLASSES]] * len(secrets.ENCODINGS)
+    r = random.Random(6)
+    words = ["thing", "what", "whenever", "and", "the", "of"]
+    short = [" ".join(r.choice(words) for _ in range(12)) for _ in range(600)]
+    short = [t[: max(i for i in range(len(t) + 1) if len(re.sub(" ", "", t[:i])) < 64)] for t in short]  # none has 64 letters
+    token = base64.b64encode(r.randbytes(30)).decode()
+    rows = {x["id"]: x["spans"] for x in secrets.find_secrets(frame([*enumerate(short), (1000, f"see {token}")])).collect()}
+    assert [tuple(s) for s in rows[1000]] == [(4, 3, 44)] and not any(rows[k] for k in range(600))
+
+
 def test_randomness_p_values_are_even_for_random_symbols():
     import numpy as np
 
