@@ -17,8 +17,15 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = {"length": 0.5, "word_length": 0.5, "symbols": 0.15, "dup_lines": 0.3, "repeats": 0.1}
 #: Groups of fewer rows are judged by the estimate of their language, and languages by that of all rows.
 LEAST_ROWS = 60
-#: Share of a group that the estimate covers, and concentration steps.
-COVER, STEPS = 0.75, 3
+#: Share of a group that the estimate covers, and concentration steps. Half of it, so that up to nearly half of a group
+#: can be junk, copies of one text included, without drawing the estimate to itself.
+COVER, STEPS = 0.5, 3
+#: Makes the covariance of the inner half of a normal group in five features that of the whole group: COVER over the
+#: share of chi-squared with seven degrees of freedom that lies below the median of that with five (4.35146).
+CONSISTENCY = 1.912208
+#: Largest squared distance that is kept. Chi-squared's 0.999 quantile (five features) is 20.5, but the features have
+#: longer tails than normal ones, so that texts labelled good lie beyond it; the README has figures.
+CUTOFF = 60.0
 
 
 def text_stats(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
@@ -76,10 +83,10 @@ def _moments(weight: Column | None = None) -> list[Column]:
     return [F.count(one(F.lit(1))).alias("m"), *sums, *[F.sum(one(F.col(f"x{i}") * F.col(f"x{j}"))).alias(f"q{i}{j}") for i, j in TRIANGLE]]
 
 
-def _estimate(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """Centre c0.. and Cholesky factor l00.. of the covariance (plus the floors' unit variance), with its log determinant."""
+def _estimate(sums: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
+    """Centre c0.. and Cholesky factor l00.. of ``factor`` times the covariance (plus the floors' unit variance), with its log determinant."""
     cov = sums.select(*keys, "m", *[(F.col(f"s{i}") / F.col("m")).alias(f"c{i}") for i in range(D)], *[F.col(f"q{i}{j}") for i, j in TRIANGLE])
-    cov = cov.select(*keys, "m", *[f"c{i}" for i in range(D)], *[(F.col(f"q{i}{j}") / F.col("m") - F.col(f"c{i}") * F.col(f"c{j}") + (1.0 if i == j else 0.0)).alias(f"v{i}{j}") for i, j in TRIANGLE])
+    cov = cov.select(*keys, "m", *[f"c{i}" for i in range(D)], *[(factor * (F.col(f"q{i}{j}") / F.col("m") - F.col(f"c{i}") * F.col(f"c{j}")) + (1.0 if i == j else 0.0)).alias(f"v{i}{j}") for i, j in TRIANGLE])
     for i, j in TRIANGLE:
         rest = F.col(f"v{i}{j}")
         for k in range(j):
@@ -122,14 +129,14 @@ def mcd(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
             near = with_distance(_join(rows, params, keys))
             cut = settle(near.groupBy(*keys).agg(quantile("d2").alias("cut")), f"{name}-{start}-{k}-cut")
             inside = _join(near, cut, keys).where("d2 <= cut")
-            params = settle(_estimate(inside.groupBy(*keys).agg(*_moments()), keys), f"{name}-{start}-{k}")
+            params = settle(_estimate(inside.groupBy(*keys).agg(*_moments()), keys, CONSISTENCY), f"{name}-{start}-{k}")
         ends.append(params)
     names = [c for c in ends[0].columns if c not in keys]
     best = ends[0].unionByName(ends[1]).groupBy(*keys).agg(F.min(F.struct("logdet", *[c for c in names if c != "logdet"])).alias("b"))
     return best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in names])
 
 
-def judge(stats: DataFrame, keys: tuple[str, str] = ("lang", "source"), cutoff: float = 60.0) -> DataFrame:
+def judge(stats: DataFrame, keys: tuple[str, str] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
     """Adds base_failed, d2 and kept to the statistics.
 
     A text fails the base rules with fewer than 50 words, or if over half its words stand in repeated windows; others are
@@ -164,7 +171,7 @@ def judge(stats: DataFrame, keys: tuple[str, str] = ("lang", "source"), cutoff:
     return far.select(*stats.columns, "base_failed", "d2", (~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)).alias("kept"))
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source"), cutoff: float = 60.0) -> DataFrame:
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
     """One row (id, keys, STATS, base_failed, d2, kept) for every row of ``docs``.
 
     Null texts have no words and fail; repeated rows are counted and judged as often as they occur; an empty table

@@ -153,6 +153,16 @@ def test_outliers_of_a_group_are_rejected(spark, frame):
     assert all(kept[k] for k, *_ in normal) and not any(kept[k] for k, *_ in odd)
 
 
+def test_junk_copies_of_two_fifths_of_a_group_are_rejected(spark, frame):
+    r = random.Random(7)
+    words = ["w" + str(i) for i in range(3000)]
+    normal = [(k, " ".join(r.choice(words) for _ in range(r.randrange(80, 400))), "en", "s") for k in range(180)]
+    junk = " ".join(r.choice(words) + "%%%" for _ in range(200))
+    docs = frame(normal + [(1000 + k, junk, "en", "s") for k in range(120)], "doc_id long, text string, lang string, source string")
+    kept = {x["id"]: x["kept"] for x in quality_rules.apply_rules(docs).collect()}
+    assert all(kept[k] for k, *_ in normal) and not any(kept[1000 + k] for k in range(120))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_clean_documents_are_kept(spark):
     rows = {x["doc_id"]: x for x in queries.op4_quality_rules(spark, "/root/testdata/sf0.01").collect()}
