@@ -15,32 +15,30 @@ from pyspark.sql import types as T
 from lectern.llm.common import crc32_u32, fields, settle
 from lectern.llm.tokens import word_cache
 
-PIECES = fields(("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("ids", T.ArrayType(T.IntegerType())))
+PIECES = fields(("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.ArrayType(T.IntegerType())))
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's ids and end id, cut into pieces of ``size``; the last may be shorter.
 
     A null text is empty: one piece that holds the end id alone.
     """
-    schema = PIECES if with_ids else T.StructType(PIECES.fields[:-1])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(tokenizer, lower=True)
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                cols: list[list] = [[] for _ in schema.fields]
+                cols: list[list] = [[] for _ in PIECES.fields]
                 for doc, ids in zip(part.column(0).to_pylist(), cache.encode(part.column(1).to_pylist())):
                     ids = np.append(ids, np.uint32(end_id))
                     for i, at in enumerate(range(0, len(ids), size)):
                         p = ids[at : at + size]
-                        for c, v in zip(cols, (doc, i, at, len(p), crc32_u32(p), p.astype(np.int32))):
+                        for c, v in zip(cols, (doc, i, at, len(p), p.astype(np.int32))):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=[f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=PIECES.names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, PIECES)
 
 
 def plan(counts: dict[int, int], size: int = 2048) -> list[tuple[int, list[int]]]:
@@ -147,3 +145,19 @@ def pack(cut: DataFrame, size: int = 2048) -> DataFrame:
 
     schema = T.StructType([*kept.schema.fields[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return kept.mapInArrow(place, schema)
+
+
+def with_digest(packed: DataFrame) -> DataFrame:
+    """Adds ids_crc32 after ``length``, from the ids of the packed rows."""
+    names = packed.columns
+    at, where = names.index("ids"), names.index("length") + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(at)
+            flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+            crc = pa.array([crc32_u32(flat[i:j]) for i, j in zip(ends[:-1], ends[1:])], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:where], crc, *b.columns[where:]], names=[*names[:where], "ids_crc32", *names[where:]])
+
+    fs = packed.schema.fields
+    return packed.mapInArrow(run, T.StructType([*fs[:where], T.StructField("ids_crc32", T.LongType()), *fs[where:]]))

@@ -55,8 +55,8 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
-    return packing.pack(settle(cut, "pieces"))
+    cut = packing.pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.with_digest(packing.pack(settle(cut, "pieces"))).drop("ids")
 
 
 def quality_network(docs: DataFrame, labels: DataFrame) -> quality_cnn.Network | None:

@@ -192,6 +192,19 @@ def test_packing_pieces_and_places(spark, frame, tables):
     assert first_fit_check(rows) <= -(-total // 2048) + 2
 
 
+def test_pipeline_returns_the_packed_ids(spark, frame):
+    import corpus_pipeline
+
+    docs = {1: "thing of whenever", 2: "of " * 3000, 3: None}
+    rows = corpus_pipeline.packed(spark, frame(list(docs.items())), SF).collect()
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for k, t in docs.items():
+        parts = [x for _, x in sorted((x.piece, x) for x in rows if x.doc_id == k)]
+        assert [i for x in parts for i in x.ids] == [*whole.encode(t or "", add_special_tokens=False).ids, 0]
+        assert all(len(x.ids) == x.length and zlib.crc32(np.array(x.ids, "<u4").tobytes()) == x.ids_crc32 for x in parts)
+    first_fit_check(rows)
+
+
 def plain_best_fit(lengths, size):
     rooms = []
     for x in sorted(lengths, reverse=True):
