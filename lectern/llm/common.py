@@ -41,6 +41,16 @@ def drop_settled(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def parts_for(df: DataFrame, each: int) -> int:
+    """Partitions of about ``each`` bytes by Spark's estimate of the table's size, at least ``spark.sql.shuffle.partitions``.
+
+    Where the plan tells no size (it is taken for endless then), that least number.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // each)) if size < 1 << 58 else least
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in parts of a few rows, so that little of a batch stands in Python objects at a time."""
     for b in batches:

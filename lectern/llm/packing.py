@@ -29,8 +29,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, i
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
                 cols: list[list] = [[] for _ in PIECES.fields]
-                for doc, ids in zip(part.column(0).to_pylist(), cache.encode(part.column(1).to_pylist())):
-                    ids = np.append(ids, np.uint32(end_id))
+                for doc, ids in zip(part.column(0).to_pylist(), cache.encode(part.column(1).to_pylist(), end_id)):
                     for i, at in enumerate(range(0, len(ids), size)):
                         p = ids[at : at + size]
                         for c, v in zip(cols, (doc, i, at, len(p), p.astype(np.int32))):

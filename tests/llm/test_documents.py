@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -114,37 +115,50 @@ def test_warc_damage_is_seen():
         list(warc.parse(warc.open_archive(io.BytesIO(bytes(broken)))))
 
 
+@pytest.mark.parametrize("as_text", [False, True])
 @pytest.mark.parametrize("name,lower", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
-def test_word_cache_equals_whole_texts(name, lower):
+def test_word_cache_equals_whole_texts(name, lower, as_text):
     r = random.Random(3)
-    bits = ["a", "b'", "s ", "  ", "\n", " \n", "é", "é", "1", "2 ", " ", " ", "Σ", "ΑΣ ", "İ", "..", "\t", "𝄞", " ́", "\x1f ", "can't", "I'LL ", "a.", "a,\n", "b.\nC", "'s.", "\r\n", "<|endoftext|>", "1.", ", "]
+    bits = ["a", "b'", "s ", "  ", "\n", " \n", "é", "é", "1", "2 ", " ", " ", "Σ", "ΑΣ ", "İ", "..", "\t", "𝄞", " ́", "\x1f ", "can't", "I'LL ", "a.", "a,\n", "b.\nC", "'s.", "\r\n", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "\x00", "1.", ", ", "\n\n", "\n\n ", "\n\t", "$$$ ", "-", "\n#"]
     texts = ["".join(r.choice(bits) for _ in range(r.randrange(0, 30))) for _ in range(3000)] + ["", None, "x" * 20000]
     whole = Tokenizer.from_file(public_tokenizers.path(name))
-    whole.encode_special_tokens = True
-    cache = tokens.WordCache(public_tokenizers.path(name), lower)
+    whole.encode_special_tokens = as_text
+    cache = tokens.WordCache(public_tokenizers.path(name), lower, as_text)
     cache.MOST = 500
     for at in range(0, len(texts), 100):
         part = texts[at : at + 100]
         assert [x.tolist() for x in cache.encode(part)] == [whole.encode(t or "", add_special_tokens=False).ids for t in part]
 
 
-@pytest.mark.parametrize("shape", [(1, 1), (3, 50), (40, 300), (2, 700)])
-def test_id_coder_round_trip(shape):
+@pytest.mark.parametrize("blocks,lanes,steps", [(1, 1, 1), (1, 3, 50), (3, 40, 100), (2, 5, 512)])
+def test_id_coder_round_trip(blocks, lanes, steps):
     r = np.random.default_rng(0)
-    for x in (r.integers(0, 65536, shape), r.integers(0, 5, shape), np.minimum(r.geometric(0.01, shape) * 37, 65535), np.full(shape, 65535)):
-        table = id_coder.frequencies(x)
-        assert (id_coder.decode(id_coder.encode(x, table), shape[1], table) == x).all()
+    n = blocks, lanes * steps
+    for x in (r.integers(0, 65535, n), r.integers(0, 5, n), np.minimum(r.geometric(0.01, n) * 37, 65534), np.full(n, 65534), np.zeros(n, int)):
+        coded = id_coder.encode(x, steps)
+        assert (id_coder.decode(coded, lanes, steps) == x).all()
+        # a block is decoded from its own bytes, and coded without the others
+        for row, block in zip(x, coded):
+            assert (id_coder.decode([block], lanes, steps)[0] == row).all() and id_coder.encode(row[None], steps) == [block]
     with pytest.raises(ValueError):
-        id_coder.frequencies(np.array([[70000]]))
+        id_coder.encode(np.full((1, 8), 65535), 8)
 
 
 def test_id_coder_learns():
     x = np.tile(np.arange(100) * 311 % 40000, (4, 20))
-    assert sum(map(len, id_coder.encode(x, id_coder.frequencies(x)))) * 8 / x.size < 4
+    assert sum(map(len, id_coder.encode(x, 2000))) * 8 / x.size < 4
+
+
+def test_id_coder_is_below_the_order_0_entropy():
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()[:4000]
+    ids = tokens.WordCache(public_tokenizers.path("byte_bpe_50k.json")).encode(texts, 2)
+    n = np.bincount(np.concatenate(ids))
+    p = n[n > 0] / n.sum()
+    assert len(token_file.pack_segment(list(range(len(ids))), ids)) * 8 / n.sum() < 0.9 * -(p * np.log2(p)).sum()
 
 
 def test_token_file_matches_tokenizer(spark, frame, tables):
-    docs = {5: None, 3: "", 9: "a  b \n c", 1: "x" * 5000, 12: "The quick brown fox. " * 400}
+    docs = {5: None, 3: "", 9: "a  b \n c", 1: "x" * 5000, 12: "The quick brown fox. " * 400, 20: "see <|endoftext|> here"}
     rows = {x.doc_id: x for x in queries.op7_token_file(spark, tables(documents=frame(list(docs.items())))).collect()}
     whole, at = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
     for k in sorted(docs):
@@ -181,7 +195,7 @@ def first_fit_check(rows, size=2048):
 
 def test_packing_pieces_and_places(spark, frame, tables):
     r = random.Random(6)
-    docs = {k: " ".join(r.choice(["thing", "of", "whenever"]) for _ in range(r.choice([3, 200, 900, 2500]))) for k in range(120)} | {200: None, 201: ""}
+    docs = {k: " ".join(r.choice(["thing", "of", "whenever"]) for _ in range(r.choice([3, 200, 900, 2500]))) for k in range(120)} | {200: None, 201: "", 202: "a <|startoftext|> b <|endoftext|>"}
     rows = queries.op8_packing(spark, tables(documents=frame(list(docs.items())))).collect()
     whole, want, total = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}, 0
     for k, t in docs.items():
