@@ -46,7 +46,7 @@ def parts_for(df: DataFrame, each: int) -> int:
 
     Where the plan tells no size (it is taken for endless then), that least number.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-size // each)) if size < 1 << 58 else least
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,34 +13,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import crc32_u32, fields, settle
+from lectern.llm.common import fields, settle, slices
 from lectern.llm.tokens import word_cache
 
-PIECES = fields(("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.ArrayType(T.IntegerType())))
+PIECES = fields(("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("part", T.IntegerType()), ("nth", T.LongType()))
 
+PACKED = fields(("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("ids", T.BinaryType()))
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """Every document's ids and end id, cut into pieces of ``size``; the last may be shorter.
 
-    A null text is empty: one piece that holds the end id alone.
+    ids: little-endian unsigned integers of 32 bits, or of 16 if the vocabulary has at most 65,536 ids (see ``id_type``).
+    part and nth: the task that made the piece, and the piece's number (from 0) among those of its length there.
+
+    A null text is empty: one piece that holds the end id alone. Repeated rows and ids give their pieces each; a null
+    id stays null. An empty table gives no piece. Other columns are not read.
     """
+    kind = id_type(tokenizer, end_id)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_cache(tokenizer, lower=True)
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                cols: list[list] = [[] for _ in PIECES.fields]
-                for doc, ids in zip(part.column(0).to_pylist(), cache.encode(part.column(1).to_pylist(), end_id)):
-                    for i, at in enumerate(range(0, len(ids), size)):
-                        p = ids[at : at + size]
-                        for c, v in zip(cols, (doc, i, at, len(p), p.astype(np.int32))):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=PIECES.names)
+        from pyspark import TaskContext
+
+        part, made = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        cache = word_cache(tokenizer, True, special_as_text)
+        for b in slices(batches):
+            ids = cache.encode(b.column(1).to_pylist(), end_id)
+            many = np.array([-(-len(x) // size) for x in ids], np.int64)
+            flat = np.concatenate(ids).astype(kind)
+            piece = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            sizes = np.array([len(x) for x in ids], np.int64)
+            length = np.minimum(np.repeat(sizes, many) - piece * size, size)
+            ends = np.concatenate([[0], np.cumsum(length)]) * kind.itemsize
+            # the number within (task, length): places among equal lengths here, after those of the batches before
+            order = np.argsort(length, kind="stable")
+            here = np.bincount(length, minlength=size + 1)
+            nth = np.empty(len(length), np.int64)
+            nth[order] = np.arange(len(length)) - np.repeat(np.cumsum(here) - here, here)
+            nth += made[length]
+            made += here
+            doc = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), many)))
+            coded = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([doc, pa.array(piece.astype(np.int32)), pa.array(piece * size), pa.array(length), coded, pa.array(np.full(len(length), part, np.int32)), pa.array(nth)], names=PIECES.names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, PIECES)
 
 
+def id_type(tokenizer: str, end_id: int = 0) -> np.dtype:
+    """The unsigned integers that hold a vocabulary's ids and the end id."""
+    return np.dtype("<u2" if max(end_id, word_cache(tokenizer, True).most_id) < 1 << 16 else "<u4")
+
+
 def plan(counts: dict[int, int], size: int = 2048) -> list[tuple[int, list[int]]]:
     """Sequence shapes (number of sequences, their lengths) that hold ``counts`` pieces of each length.
 
@@ -104,59 +129,41 @@ def slots(shapes: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int,
     return out
 
 
-def ranked(rows: DataFrame, by: str, order: str, name: str, parts: int | None = None) -> DataFrame:
-    """Adds ``rank``: the row's place (from 0) among those of equal ``by``, without gathering any group.
+def ranked(local: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """Adds ``rank``, a piece's place (from 0) among all of its length, and gives how many there are of each length.
 
-    Rows are spread evenly by a hash of ``order`` and numbered within (part, value); the parts' counts, summed over
-    the parts before, are joined back. Parts x values is small, and no part depends on how common a value is.
+    A piece is numbered within its task already; the tasks' counts, summed over the tasks before, are joined on. No
+    group is gathered anywhere, and the pieces themselves are not sorted; the counts have a row a task and length.
     """
-    parts = parts or max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(order), F.lit(parts)).cast("int"))
-    local = settle(dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__part", by).orderBy(order)) - 1), name)
-    counts = local.groupBy("__part", by).count()
-    before = counts.withColumn("__before", F.sum("count").over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
-    before = settle(before.select("__part", by, F.coalesce("__before", F.lit(0)).alias("__before")), f"{name}-before")
-    return local.join(before, ["__part", by]).withColumn("rank", F.col("__n") + F.col("__before")).drop("__part", "__n", "__before")
+    counts = settle(local.groupBy("part", "length").count(), "counts")
+    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    before = settle(before.select("part", "length", F.coalesce("before", F.lit(0)).alias("before")), "before")
+    return local.join(before, ["part", "length"]).withColumn("rank", F.col("nth") + F.col("before")).drop("before"), total
 
 
-def pack(cut: DataFrame, size: int = 2048) -> DataFrame:
-    """Adds sequence_id and offset to pieces (with doc_id, piece and length): sequences of at most ``size`` ids, gapless.
+def pack(cut: DataFrame, kind: np.dtype, size: int = 2048) -> DataFrame:
+    """``pieces`` with their places: (doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids).
 
+    Sequences hold at most ``size`` ids, gapless from 0. ids_crc32 is that of the ids as unsigned 32-bit integers.
     Only the histogram of lengths, ``size`` counts at most, reaches the driver; its plan goes out as runs of slots,
-    and pieces take theirs by their rank within their length. An empty table gives an empty result.
+    and pieces take theirs by their rank within their length. Pieces are written once, as numbers within a task must
+    not change. Ties are broken by the task and place of a piece; repeated rows, null ids and empty texts are pieces
+    like others. An empty table gives an empty result.
     """
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    runs = slots(plan(counts, size))
-    key = ranked(cut.withColumn("__key", F.struct("doc_id", "piece")), "length", "__key", "ranked")
-    keys = np.array([r[0] << 44 | r[1] for r in sorted(runs)], dtype=np.int64)
-    values = np.array([r[1:] for r in sorted(runs)], dtype=np.int64).reshape(-1, 5)
-    names = [f.name for f in cut.schema.fields if f.name != "__key"]
-    kept = key.select(*names, "rank")
-    where = names.index("length")
+    local = settle(cut, "pieces")
+    rank, total = ranked(local)
+    runs = sorted(slots(plan(total, size)))
+    keys = np.array([r[0] << 44 | r[1] for r in runs], dtype=np.int64)
+    values = np.array([r[1:] for r in runs], dtype=np.int64).reshape(-1, 5)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, rank = b.column(where).to_numpy(zero_copy_only=False).astype(np.int64), b.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc, piece, start, lengths, ids, ranks = b.columns
+            length, rank = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (lengths, ranks))
             first, _, sequence, each, offset = values[np.searchsorted(keys, length << 44 | rank, side="right") - 1].T
             at = rank - first
-            new = [pa.array(sequence + at // each), pa.array(offset + at % each * length)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*names, "sequence_id", "offset"])
-
-    schema = T.StructType([*kept.schema.fields[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return kept.mapInArrow(place, schema)
-
-
-def with_digest(packed: DataFrame) -> DataFrame:
-    """Adds ids_crc32 after ``length``, from the ids of the packed rows."""
-    names = packed.columns
-    at, where = names.index("ids"), names.index("length") + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(at)
-            flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-            crc = pa.array([crc32_u32(flat[i:j]) for i, j in zip(ends[:-1], ends[1:])], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:where], crc, *b.columns[where:]], names=[*names[:where], "ids_crc32", *names[where:]])
+            sums = [zlib.crc32(np.frombuffer(x.as_buffer(), kind).astype("<u4").data) for x in ids]
+            yield pa.RecordBatch.from_arrays([doc, piece, start, lengths, pa.array(sums, pa.int64()), pa.array(sequence + at // each), pa.array(offset + at % each * length), ids], names=PACKED.names)
 
-    fs = packed.schema.fields
-    return packed.mapInArrow(run, T.StructType([*fs[:where], T.StructField("ids_crc32", T.LongType()), *fs[where:]]))
+    return rank.select("doc_id", "piece", "start", "length", "ids", "rank").mapInArrow(place, PACKED)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, language_id, packing, pii, quality_cnn, quality_rules, secrets, token_file, warc
-from lectern.llm.common import held_out, read_table, settle
+from lectern.llm.common import held_out, read_table
 from lectern.llm.simhash import near_duplicates
 
 
@@ -55,8 +55,8 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.pieces(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return packing.with_digest(packing.pack(settle(cut, "pieces"))).drop("ids")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(packing.pieces(read_table(spark, sf_dir, "documents"), tokenizer), packing.id_type(tokenizer)).drop("ids")
 
 
 def quality_network(docs: DataFrame, labels: DataFrame) -> quality_cnn.Network | None:

@@ -79,7 +79,7 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.model = self.tokenizer.model
-        self.lower = lower
+        self.lower, self.most_id = lower, max(self.tokenizer.get_vocab().values())
         self.special = [] if special_as_text else sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.signs = sorted({c[:2] for c in self.special})
         self.bytes = str.maketrans({chr(b): c for c, b in byte_characters().items()})

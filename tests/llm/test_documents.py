@@ -214,11 +214,20 @@ def test_pipeline_returns_the_packed_ids(spark, frame):
     whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for k, t in docs.items():
         parts = [x for _, x in sorted((x.piece, x) for x in rows if x.doc_id == k)]
-        assert [i for x in parts for i in x.ids] == [*whole.encode(t or "", add_special_tokens=False).ids, 0]
-        assert all(len(x.ids) == x.length and zlib.crc32(np.array(x.ids, "<u4").tobytes()) == x.ids_crc32 for x in parts)
+        assert [int(i) for x in parts for i in np.frombuffer(x.ids, "<u2")] == [*whole.encode(t or "", add_special_tokens=False).ids, 0]
+        assert all(len(x.ids) == 2 * x.length and zlib.crc32(np.frombuffer(x.ids, "<u2").astype("<u4").tobytes()) == x.ids_crc32 for x in parts)
     first_fit_check(rows)
 
 
+def test_packing_null_and_repeated_ids_and_empty_table(frame):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(None, "a b"), (None, None), (3, "a b"), (3, "a b"), (3, "c " * 5000)]
+    got = packing.pack(packing.pieces(frame(rows).repartition(3), path), packing.id_type(path)).collect()
+    assert sorted((x.doc_id or -1, x.piece, x.length) for x in got) == [(-1, 0, 1), (-1, 0, 3), (3, 0, 3), (3, 0, 3), (3, 0, 2048), (3, 1, 2048), (3, 2, 905)]
+    first_fit_check(got)
+    assert packing.pack(packing.pieces(frame([]), path), packing.id_type(path)).count() == 0
+
+
 def plain_best_fit(lengths, size):
     rooms = []
     for x in sorted(lengths, reverse=True):
