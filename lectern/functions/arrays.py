@@ -161,3 +161,54 @@ def gelu(x: pd.Series) -> pd.Series:
     t = 1 / (1 + p * z)
     erf = np.sign(flat) * (1 - t * np.polyval(a[::-1], t) * np.exp(-z * z))
     return pd.Series([v.tolist() for v in np.split(0.5 * flat * (1 + erf), np.cumsum(sizes)[:-1])] if len(x) else [], dtype=object)
+
+
+def scaled(x: Column, weight: Column, bias: Column | None = None) -> Column:
+    """x times a weight for each place, plus a bias for each."""
+    y = F.zip_with(x, weight, lambda a, w: a * w)
+    return y if bias is None else add(y, bias)
+
+
+def add(x: Column, y: Column) -> Column:
+    return F.zip_with(x, y, lambda a, b: a + b)
+
+
+def add_rms_norm(x: Column, y: Column, weight: Column, eps: float = 1e-6) -> Column:
+    """struct(sum, normed): the residual sum, and its root-mean-square norm times the weights."""
+    return let(add(x, y), lambda s: F.struct(s.alias("sum"), scaled(rms_norm(s, eps), weight).alias("normed")))
+
+
+def channel_norm(x: Column, channels: int, weight: Column, bias: Column, eps: float = 1e-6) -> Column:
+    """Layer norm over the channels of each cell; x holds the channels one after another."""
+
+    def of(rows: Column) -> Column:
+        cells = F.transform(F.sequence(F.lit(1), F.size(rows[0])), lambda k: scaled(layer_norm(F.transform(rows, lambda r: F.element_at(r, k)), eps), weight, bias))
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(channels)), lambda c: F.transform(cells, lambda v: F.element_at(v, c))))
+
+    return let(rows_of(x, channels), of)
+
+
+def rows_of(x: Column, n: int) -> Column:
+    """x as n rows of equal length."""
+    return let((F.size(x) / n).cast("int"), lambda w: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.slice(x, k * w + 1, w)))
+
+
+def transposed(x: Column, n: int) -> Column:
+    """A matrix of n rows, given row by row, column by column."""
+    return let(rows_of(x, n), lambda rows: F.flatten(F.transform(F.sequence(F.lit(1), F.size(rows[0])), lambda k: F.transform(rows, lambda r: F.element_at(r, k)))))
+
+
+def dequant_int4(groups: Column) -> Column:
+    """The values that groups of (scale, codes) stand for."""
+    return F.flatten(F.transform(groups, lambda g: F.transform(g["codes"], lambda c: c * g["scale"])))
+
+
+def fp8_round(x: Column) -> Column:
+    """Each value as the nearest e4m3 number times the row's scale: three bits behind the leading one, halves to even."""
+
+    def value(v: Column, s: Column) -> Column:
+        y = F.least(F.abs(v / s), F.lit(FP8_MAX))
+        unit = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(y, F.lit(2.0**-20)))), F.lit(-6)).cast("double") - 3)
+        return F.signum(v) * F.least(F.rint(y / unit) * unit, F.lit(FP8_MAX)) * s
+
+    return let(fp8_scale(x), lambda s: F.transform(x, lambda v: value(v, s)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,15 @@ def r6(c: Column, name: str) -> Column:
 def half_even(c: Column) -> Column:
     """Rounds to the nearest integer, halves to the even one."""
     return F.rint(c)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes for none to be a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -82,3 +82,16 @@ def tile_token(t: Column, w: Column, h: Column) -> Column:
     kind = F.when(~local, "global").when(col == w * GRID, "newline").otherwise("visual")
     visual = local & (col < w * GRID)
     return F.struct(kind.alias("kind"), F.when(visual, F.floor(row / GRID) * w + F.floor(col / GRID)).cast("long").alias("tile"), F.when(visual, (row % GRID) * GRID + col % GRID).when(~local, t - h * GRID * width).cast("long").alias("cell"))
+
+
+def window_cell(row: Column, col: Column, grid: Column) -> Column:
+    """struct(window, cell): where a cell of a square grid stands among the windows of its zero-padded form, rows first."""
+    across = F.ceil(grid / WINDOW)
+    return F.struct((F.floor(row / WINDOW) * across + F.floor(col / WINDOW)).cast("long").alias("window"), (row % WINDOW * WINDOW + col % WINDOW).cast("long").alias("cell"))
+
+
+def grid_cell(window: Column, cell: Column, grid: Column) -> Column:
+    """struct(row, col) of a window's cell; null for one of the padding."""
+    across = F.ceil(grid / WINDOW)
+    row, col = F.floor(window / across) * WINDOW + F.floor(cell / WINDOW), window % across * WINDOW + cell % WINDOW
+    return F.when((row < grid) & (col < grid), F.struct(row.cast("long").alias("row"), col.cast("long").alias("col")))

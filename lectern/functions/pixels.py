@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 VALUES = T.ArrayType(T.DoubleType())
 # What pads a letterboxed image, and the scale that maps bytes to -1 to 1.
@@ -55,6 +55,25 @@ def interpolate(table: np.ndarray, length: int) -> np.ndarray:
     return resize_bilinear(table, length, table.shape[1])
 
 
+def cubic_weights(n: int, length: int) -> np.ndarray:
+    """``length`` x ``n`` weights that resample n values by Keys' cubic (a = -1/2), widened when there are fewer than n.
+
+    Centres are evenly spaced; weights beyond the edges are left out, and each row sums up to one.
+    """
+    scale = n / length
+    wide = max(scale, 1.0)
+    centre = (np.arange(length) + 0.5) * scale - 0.5
+    t = np.abs(np.arange(n)[None, :] - centre[:, None]) / wide
+    near, far = 1.5 * t**3 - 2.5 * t**2 + 1, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2
+    w = np.where(t < 1, near, np.where(t < 2, far, 0.0))
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def resize_bicubic(images: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Images (any leading axes) resampled by cubic weights, rows and columns apart."""
+    return cubic_weights(images.shape[-2], height) @ images @ cubic_weights(images.shape[-1], width).T
+
+
 def relative_positions(size: int, table: np.ndarray) -> np.ndarray:
     """R[q, k] = table[q - k + size - 1] for a table of 2 size - 1 rows, interpolated if it has another number."""
     if len(table) != 2 * size - 1:
@@ -63,25 +82,51 @@ def relative_positions(size: int, table: np.ndarray) -> np.ndarray:
     return table[q[:, None] - q[None, :] + size - 1]
 
 
-def square(v) -> np.ndarray:
-    side = int(np.sqrt(len(v)))
-    return np.asarray(v, dtype=np.float64)[: side * side].reshape(side, side)
+def squares(x: pa.Array) -> np.ndarray:
+    """Arrays of one length as square images, what is beyond a square left out."""
+    if not len(x):
+        return np.zeros((0, 1, 1))
+    flat = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
+    side = int(np.sqrt(flat.shape[1]))
+    return flat[:, : side * side].reshape(len(x), side, side)
 
 
-@pandas_udf(VALUES)
-def resized(x: pd.Series) -> pd.Series:
+def lists(images: np.ndarray) -> pa.Array:
+    flat = images.reshape(len(images), -1)
+    ends = np.arange(0, flat.size + 1, max(1, flat.shape[1] if flat.size else 1), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))
+
+
+@arrow_udf(VALUES)
+def resized(x: pa.Array) -> pa.Array:
     """A square image of values at 3/2 of its side."""
-    return x.map(lambda v: (lambda s: resize_bilinear(s, len(s) * 3 // 2, len(s) * 3 // 2).ravel().tolist())(square(v)))
+    images = squares(x)
+    side = images.shape[1] * 3 // 2
+    across = resize_bilinear(images.transpose(1, 2, 0).reshape(images.shape[1], -1), side, images.shape[2] * len(images)).reshape(side, images.shape[2], len(images))
+    down = resize_bilinear(across.transpose(1, 0, 2).reshape(images.shape[2], -1), side, side * len(images)).reshape(side, side, len(images))
+    return lists(down.transpose(2, 1, 0))
+
+
+@arrow_udf(VALUES)
+def shrunk(x: pa.Array) -> pa.Array:
+    """A square image of values at 5/8 of its side, by cubic weights."""
+    images = squares(x)
+    side = images.shape[1] * 5 // 8
+    return lists(resize_bicubic(images, side, side))
 
 
-@pandas_udf(VALUES)
-def sharpened(x: pd.Series) -> pd.Series:
+@arrow_udf(VALUES)
+def sharpened(x: pa.Array) -> pa.Array:
     """A square image convolved with a fixed 3 x 3 kernel."""
     kernel = np.array([[0, -1, 0], [-1, 5, -1], [0, -1, 0]], dtype=np.float64)
-    return x.map(lambda v: convolve(square(v), kernel).ravel().tolist())
+    images = squares(x)
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(images, ((0, 0), (1, 1), (1, 1))), (3, 3), axis=(1, 2))
+    return lists((windows * kernel).sum(axis=(3, 4)))
 
 
-@pandas_udf(VALUES)
-def patch_sums(x: pd.Series) -> pd.Series:
+@arrow_udf(VALUES)
+def patch_sums(x: pa.Array) -> pa.Array:
     """The sum of each 2 x 2 patch of a square image."""
-    return x.map(lambda v: im2col(square(v), 2, 2).sum(axis=1).tolist())
+    images = squares(x)
+    half = images.shape[1] // 2
+    return lists(images[:, : 2 * half, : 2 * half].reshape(len(images), half, 2, half, 2).sum(axis=(2, 4)))

@@ -20,6 +20,9 @@ NOT_JUNK = r"""[\p{L}\p{N}\s.,;:!?()\[\]{}%&/+\-*'"|<>=_#@€$£~^\\]"""
 
 # Fixed value: a layout tag: type and four coordinates.
 TAG = r"\s*([a-z_]+)\s*\[(\d+),\s*(\d+),\s*(\d+),\s*(\d+)\]<\|/det\|>"
+# The same tag with single spaces only, and with any spaces around the numbers.
+STRICT_TAG = r"(\w+) \[(\d+), (\d+), (\d+), (\d+)\]<\|/det\|>"
+LOOSE_TAG = r"\s*([a-z_]+)\s*\[\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*\]<\|/det\|>"
 
 
 def words(text: Column) -> Column:
@@ -93,18 +96,54 @@ def garbled(text: Column) -> Column:
     return F.when(F.length(text) < GARBLED_CHARS, False).otherwise(let(words(text), judge) | text.rlike(r"([^\n])\1{%d,}" % (GARBLED_RUN - 1)))
 
 
-def parse_blocks(text: Column) -> Column:
-    """array<struct<type, x0, y0, x1, y1, text>> of a tagged text; what stands before the first tag is left out."""
-    pieces = F.split(text, r"<\|det\|>(?=" + TAG + ")", -1)
+def _block(piece: Column, tag: str) -> Column:
+    """A block from a text that starts with the inside of a tag."""
+    body = F.regexp_replace(F.regexp_replace(piece, "^" + tag, ""), r"^\s+|\s+$", "")
+    parts = [F.regexp_extract(piece, "^" + tag, k + 1) for k in range(5)]
+    return F.struct(parts[0].alias("type"), *[p.cast("int").alias(n) for p, n in zip(parts[1:], ("x0", "y0", "x1", "y1"))], body.alias("text"))
 
-    def part(p: Column, k: int) -> Column:
-        return F.regexp_extract(p, "^" + TAG, k)
 
-    def block(p: Column) -> Column:
-        body = F.regexp_replace(F.regexp_replace(p, "^" + TAG, ""), r"^\s+|\s+$", "")
-        return F.struct(part(p, 1).alias("type"), *[part(p, k + 2).cast("int").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))], body.alias("text"))
+def parse_blocks(text: Column, tag: str = TAG) -> Column:
+    """array<struct<type, x0, y0, x1, y1, text>> of a tagged text; what stands before the first tag is left out.
 
-    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), block)
+    A block ends at the next tag of this form; others are part of its text.
+    """
+    pieces = F.split(text, r"<\|det\|>(?=" + tag + ")", -1)
+    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: _block(p, tag))
+
+
+def parse_strict(text: Column) -> Column:
+    """The blocks of each page (an array of arrays) in an engine's output: single spaces only, pages begin with <PAGE>."""
+    cut = F.split(text, "<PAGE>", -1)
+    pages = F.when(F.size(cut) > 1, F.slice(cut, 2, F.size(cut) - 1)).otherwise(cut)
+    return F.transform(pages, lambda p: parse_blocks(p, STRICT_TAG))
+
+
+def parse_viewer(text: Column) -> Column:
+    """The blocks of each page that is not blank: any spaces in a tag; a block ends at the next <|det|>, whatever follows it."""
+    pages = F.filter(F.split(text, "<PAGE>", -1), lambda p: p.rlike(r"\S"))
+
+    def blocks(p: Column) -> Column:
+        pieces = F.split(p, r"<\|det\|>", -1)
+        good = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x: x.rlike("^" + LOOSE_TAG))
+        return F.transform(good, lambda x: _block(x, LOOSE_TAG))
+
+    return F.transform(pages, blocks)
+
+
+def viewer_element(block: Column) -> Column:
+    """A block as a viewer's JSON record: its box, and left, top, width and height in percent of the page."""
+    percent = lambda a, b: F.round((a - b) / 1000 * 100, 3)
+    box = F.array(*[block[k] for k in ("x0", "y0", "x1", "y1")])
+    return F.to_json(F.struct(
+        block["type"].alias("type"), box.alias("box"), percent(block["x0"], F.lit(0)).alias("l"), percent(block["y0"], F.lit(0)).alias("t"),
+        percent(block["x1"], block["x0"]).alias("w"), percent(block["y1"], block["y0"]).alias("h"), block["text"].alias("text"),
+    ))
+
+
+def accepted(text: Column, again: Column) -> Column:
+    """Whether a second reading may replace the first: not empty, not garbled and at least half as long; null without one."""
+    return F.when(again.isNotNull(), (again != "") & ~garbled(again) & (F.length(again) >= 0.5 * F.length(text)))
 
 
 def page_markdown(number: Column, blocks: Column) -> Column:

@@ -14,6 +14,8 @@ CONF0, ENT0 = 1.0, 0.0
 LOW, WINDOW, REGION, P10_LIMIT = 0.5, 32, 24, 0.85
 DEGENERATE_RISK = 0.95
 OLD_CONF, OLD_LOW = 0.80, 0.20
+#: Steps after which a stream is given up.
+MAX_STEPS = 4096
 
 
 def cut_at_end(trace: DataFrame) -> DataFrame:
@@ -22,6 +24,12 @@ def cut_at_end(trace: DataFrame) -> DataFrame:
     return trace.withColumn("__end", first).where("__end is null or step <= __end").drop("__end")
 
 
+def cap_steps(trace: DataFrame, most: int = MAX_STEPS) -> DataFrame:
+    """(stream, steps, truncated): how many steps of a stream count, and whether it was cut before an end token came."""
+    cut = cut_at_end(trace.where(F.col("step") <= most))
+    return cut.groupBy("stream").agg(F.count("*").alias("steps"), (~F.max("eos")).alias("open")).select("stream", "steps", (F.col("open") & (F.col("steps") >= most)).alias("truncated"))
+
+
 def with_prefill(trace: DataFrame) -> DataFrame:
     """Adds step 0, the prefill token, to each stream."""
     start = trace.select("stream").distinct().select("stream", F.lit(0).alias("step"), F.lit(CONF0).alias("p1"), F.lit(ENT0).alias("ent"), F.lit(False).alias("eos"), F.lit(False).alias("newline"))

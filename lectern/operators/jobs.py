@@ -53,7 +53,7 @@ def url_param(url: Column, name: str) -> Column:
     """The first value of a query parameter, percent-decoded (as it stands if it cannot be); null if it is absent."""
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     hits = F.filter(F.split(query, "&"), lambda p: p.startswith(f"{name}="))
-    value = F.substring(F.get(hits, F.lit(0)), F.lit(len(name) + 2), F.lit(1 << 20))
+    value = F.substr(F.get(hits, F.lit(0)), F.lit(len(name) + 2))
     return F.coalesce(F.try_url_decode(value), value)
 
 

@@ -49,8 +49,9 @@ def ngram_bans(tokens: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("stream").orderBy("step")
     gram = F.array(*[F.lag("tok", k).over(w) for k in range(n - 2, 0, -1)], F.col("tok"))
     g = tokens.select("stream", "step", gram.alias("gram"), F.lead("tok").over(w).alias("next"), F.row_number().over(w).alias("nth")).where(F.col("nth") >= n - 1)
-    old = g.select("stream", "gram", F.col("step").alias("before"), F.col("next").alias("banned"))
-    return g.join(old, ["stream", "gram"]).where("before < step").select("stream", "step", "banned").distinct()
+    # of equal runs with the same successor only the first is needed, so that no run of many repeats meets itself
+    old = g.where(F.col("next").isNotNull()).groupBy("stream", "gram", F.col("next").alias("banned")).agg(F.min("step").alias("before"))
+    return g.select("stream", "gram", "step").join(old, ["stream", "gram"]).where("before < step").select("stream", "step", "banned")
 
 
 def reference_ids(n: Column) -> Column:

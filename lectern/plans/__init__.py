@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import confidence, jobs, kernels, layout, streams, tensor, text
+from lectern.plans import confidence, evaluation, jobs, kernels, layout, network, service, streams, tensor, text
 
-MODULES = (text, confidence, jobs, tensor, layout, kernels, streams)
+MODULES = (text, confidence, jobs, service, evaluation, tensor, network, layout, kernels, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,4 +1,4 @@
-"""Job and evaluation queries, and their SQL. A conversation is a job, a turn a page, an assistant's page hi-res."""
+"""Job queries, and their SQL. A conversation is a job, a turn a page, an assistant's page hi-res."""
 
 from __future__ import annotations
 
@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.core import r6
-from lectern.operators import evaluate as E
 from lectern.operators import jobs as J
-from lectern.plans.text import DEGEN_SCORE, DOCS, quality_features
+from lectern.operators.ranking import cumulate
 from lectern.sources.tables import table, turns
 
 # Page specifications that the adapter deals out, in order.
@@ -61,11 +60,12 @@ def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's turn: one page of each job at a time, jobs in order, each class of pages for itself."""
     t = turns(spark, sf_dir).withColumn("class", F.when(F.col("role") == "assistant", "big").otherwise("base"))
     nth = F.row_number().over(Window.partitionBy("job_id", "class").orderBy("slot")) - 1
-    t = t.withColumn("round", nth)
-    per = t.groupBy("class", "round").agg(F.count("*").alias("n"))
-    before = per.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("class").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = F.row_number().over(Window.partitionBy("class", "round").orderBy("job_id")) - 1
-    return t.withColumn("inside", inside).join(before, ["class", "round"]).select("job_id", "slot", "class", (F.col("before") + F.col("inside")).cast("long").alias("turn"))
+    t = t.select("job_id", "slot", "class", nth.alias("round"), F.lit(1).cast("long").alias("n"))
+    # the first round has a page of every job: places in a round are numbered in buckets, not in a task
+    inside = cumulate(t, "job_id", ["class", "round"], name="inside")
+    per = t.groupBy("class", "round").agg(F.sum("n").alias("n"))
+    before = cumulate(per, "round", ["class"], name="before").drop("n")
+    return inside.join(before, ["class", "round"]).select("job_id", "slot", "class", (F.col("before") + F.col("inside")).alias("turn"))
 
 
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,41 +134,6 @@ def split_cal_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("source", part.alias("part")).agg(F.count("*").alias("pages"))
 
 
-def eval_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, bad, scorer, score) in long form, for labelled documents; scores are rounded so that ties are the same everywhere."""
-    f = quality_features(spark, sf_dir).join(table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", (1 - F.col("quality")).alias("bad")), "doc_id")
-    n = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    wide = f.join(n, "doc_id").select(F.col("doc_id").alias("page_id"), "bad", F.round("score", 6).alias("H7_textsanity"), F.round(1 / (1.0 + F.col("n")), 6).alias("H0_short"), F.col("garbled").cast("double").alias("H9_garbled"))
-    return wide.unpivot(["page_id", "bad"], ["H7_textsanity", "H0_short", "H9_garbled"], "scorer", "score")
-
-
-def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = eval_pages(spark, sf_dir).withColumn("bad", F.col("bad").cast("double"))
-    return E.spearman(e, "score", "bad", "scorer").select("scorer", r6(F.col("rho"), "rho"))
-
-
-def auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.auroc(eval_pages(spark, sf_dir), "score", "bad", "scorer").select("scorer", r6(F.col("auroc"), "auroc"))
-
-
-def risk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.risk_coverage(eval_pages(spark, sf_dir), "score", "bad", "scorer").select("scorer", "fraction", "k", r6(F.col("caught"), "caught"))
-
-
-def scorer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = eval_pages(spark, sf_dir)
-    rho = E.spearman(e.withColumn("bad", F.col("bad").cast("double")), "score", "bad", "scorer")
-    cover = E.risk_coverage(e, "score", "bad", "scorer").groupBy("scorer").pivot("fraction", list(E.FRACTIONS)).agg(F.first("caught"))
-    out = rho.join(E.auroc(e, "score", "bad", "scorer"), "scorer").join(cover, "scorer")
-    return out.select("scorer", r6(F.col("rho"), "rho"), r6(F.col("auroc"), "auroc"), *[r6(F.col(f"`{f}`"), f"catch_{round(f * 100)}") for f in E.FRACTIONS])
-
-
-def sentinels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five labelled pages that look best to the text scorer although they are bad."""
-    e = eval_pages(spark, sf_dir).where("scorer = 'H7_textsanity' and bad = 1")
-    return e.orderBy("score", "page_id").limit(5).select("page_id", r6(F.col("score"), "score"))
-
-
 def fixture_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest and mean absolute difference between the embeddings and themselves in steps of 1/128, by label."""
     e = table(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("x"))
@@ -176,16 +141,6 @@ def fixture_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("label").agg(r6(F.max(d), "max_abs"), r6(F.avg(d), "mean_abs"))
 
 
-def bootstrap_win(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = eval_pages(spark, sf_dir).groupBy("page_id", "bad").pivot("scorer", ["H7_textsanity", "H0_short"]).agg(F.first("score"))
-    return E.bootstrap_win(wide, "H7_textsanity", "H0_short", "bad")
-
-
-def logistic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = eval_pages(spark, sf_dir).groupBy("page_id", "bad").pivot("scorer", ["H7_textsanity", "H0_short", "H9_garbled"]).agg(F.first("score"))
-    return E.logistic_fit(wide, ["H7_textsanity", "H0_short", "H9_garbled"], "bad")
-
-
 def event_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extra: events and their mean value by day and type."""
     e = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count("*").alias("n"), r6(F.avg("value"), "mean_value"))
@@ -225,29 +180,10 @@ def _param(name: str) -> str:
 
 TURNS = "t AS (SELECT conv_id AS job_id, turn AS slot, role, coalesce(text, '') AS text FROM conversations)"
 WORDS = r"list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
-EVAL = f"""{DOCS}, {DEGEN_SCORE}, lab AS (SELECT doc_id, 1 - quality AS bad FROM labels WHERE quality IS NOT NULL), GARBLED, e AS (
-    SELECT doc_id AS page_id, bad, 'H7_textsanity' AS scorer, round(score, 6) AS score FROM ds JOIN lab USING (doc_id)
-    UNION ALL SELECT doc_id, bad, 'H0_short', round(1 / (1.0::DOUBLE + length(text)), 6) FROM d JOIN lab USING (doc_id)
-    UNION ALL SELECT doc_id, bad, 'H9_garbled', garbled::INT::DOUBLE FROM gb JOIN lab USING (doc_id))"""
-
-
-def _eval() -> str:
-    from lectern.plans.text import sql_garbled
-
-    return EVAL.replace("GARBLED", f"gb AS (SELECT doc_id, {sql_garbled('text')} AS garbled FROM d)")
-
-
-RANKS = """r AS (SELECT *, rank() OVER (PARTITION BY scorer ORDER BY score) + (count(*) OVER (PARTITION BY scorer, score) - 1) / 2.0::DOUBLE AS rs,
-    rank() OVER (PARTITION BY scorer ORDER BY bad) + (count(*) OVER (PARTITION BY scorer, bad) - 1) / 2.0::DOUBLE AS rb FROM e),
-    rho AS (SELECT scorer, coalesce(CASE WHEN isnan(corr(rs, rb)) THEN 0 ELSE corr(rs, rb) END, 0) AS rho FROM r GROUP BY scorer),
-    auc AS (SELECT scorer, (sum(rs) FILTER (bad = 1) - sum(bad) * (sum(bad) + 1) / 2.0::DOUBLE) / (sum(bad)::DOUBLE * (count(*) - sum(bad))) AS auroc FROM r GROUP BY scorer)"""
-COVER = """top AS (SELECT scorer, score, count(*) AS ties, sum(bad) AS bad, coalesce(sum(count(*)) OVER (PARTITION BY scorer ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM e GROUP BY scorer, score),
-    sz AS (SELECT scorer, count(*) AS n, sum(bad) AS p, unnest([0.05, 0.10, 0.15, 0.25])::DOUBLE AS fraction FROM e GROUP BY scorer), sk AS (SELECT *, greatest(1, round_even(fraction * n, 0)::BIGINT) AS k FROM sz),
-    cov AS (SELECT scorer, fraction, k, sum(bad * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (k - below) / ties))) / max(p) AS caught FROM top JOIN sk USING (scorer) GROUP BY scorer, fraction, k)"""
 R = "round({0}, 6) + 0.0::DOUBLE AS {0}"
 PASSES = f"{TURNS}, p AS (SELECT *, 1 AS pass FROM t UNION ALL SELECT job_id, slot, role, text || ' (again)', 2 FROM t WHERE role = 'assistant')"
 
-QUERIES = {f.__name__: f for f in (request_status, page_spec, url_param, expand_pages, round_robin, retry_merge, auto_hires, job_summary, queue_admit, glyph_p25, pair_modes, todo_anti, split_cal_test, spearman, auroc, risk_coverage, scorer_table, sentinels, fixture_diff, bootstrap_win, logistic_fit, event_tumbling, event_sliding, event_session, revenue_rollup)}
+QUERIES = {f.__name__: f for f in (request_status, page_spec, url_param, expand_pages, round_robin, retry_merge, auto_hires, job_summary, queue_admit, glyph_p25, pair_modes, todo_anti, split_cal_test, fixture_diff, event_tumbling, event_sliding, event_session, revenue_rollup)}
 SQL = {
     "page_spec": f"WITH {SPEC_SQL}, {PARSED} SELECT page_id, CASE WHEN first_n IS NOT NULL OR pages IS NOT NULL THEN 200 ELSE 400 END::BIGINT AS status, first_n, array_to_string(pages, ',') AS pages FROM spec2",
     "url_param": f"""WITH p AS (SELECT page_id, {_param('page')} AS page, {_param('ref')} AS ref, {_param('utm_source')} AS source FROM pages)
@@ -270,12 +206,6 @@ SQL = {
     "pair_modes": f"WITH {PASSES} SELECT b.job_id, b.slot, length(b.text) AS base_chars, length(h.text) AS hires_chars FROM p b JOIN p h ON b.job_id = h.job_id AND b.slot = h.slot AND b.pass = 1 AND h.pass = 2",
     "todo_anti": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
     "split_cal_test": "SELECT source, CASE WHEN source <> 'src0' AND doc_id % 2 = 0 THEN 'calibrate' ELSE 'test' END AS part, count(*) AS pages FROM documents GROUP BY ALL",
-    "spearman": f"WITH {_eval()}, {RANKS} SELECT scorer, {R.format('rho')} FROM rho",
-    "auroc": f"WITH {_eval()}, {RANKS} SELECT scorer, {R.format('auroc')} FROM auc",
-    "risk_coverage": f"WITH {_eval()}, {COVER} SELECT scorer, fraction, k, {R.format('caught')} FROM cov",
-    "scorer_table": f"""WITH {_eval()}, {RANKS}, {COVER}, pv AS (SELECT scorer, max(caught) FILTER (fraction = 0.05::DOUBLE) AS catch_5, max(caught) FILTER (fraction = 0.1::DOUBLE) AS catch_10, max(caught) FILTER (fraction = 0.15::DOUBLE) AS catch_15, max(caught) FILTER (fraction = 0.25::DOUBLE) AS catch_25 FROM cov GROUP BY scorer)
-        SELECT scorer, {', '.join(R.format(c) for c in ('rho', 'auroc', 'catch_5', 'catch_10', 'catch_15', 'catch_25'))} FROM rho JOIN auc USING (scorer) JOIN pv USING (scorer)""",
-    "sentinels": f"WITH {_eval()} SELECT page_id, {R.format('score')} FROM e WHERE scorer = 'H7_textsanity' AND bad = 1 ORDER BY e.score, page_id LIMIT 5",
     "fixture_diff": "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings), d AS (SELECT label, abs(x - round_even(x * 128, 0) / 128) AS d FROM x) SELECT label, round(max(d), 6) + 0.0::DOUBLE AS max_abs, round(avg(d), 6) + 0.0::DOUBLE AS mean_abs FROM d GROUP BY label",
     "event_tumbling": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) + 0.0::DOUBLE AS mean_value FROM events GROUP BY ALL",
     "event_sliding": "WITH s AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start FROM events) SELECT strftime(start, '%Y-%m-%d') AS start, count(*) AS n FROM s GROUP BY 1",

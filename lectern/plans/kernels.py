@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions import pixels as P
 from lectern.functions.core import r6, total
-from lectern.plans.jobs import scorer_table
 from lectern.plans.layout import boxes
 from lectern.plans.tensor import E_, LONG, vectors
 from lectern.sources.tables import table, turns
@@ -29,9 +28,21 @@ def resize_bilinear(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", P.resized("x").alias("y")).select("vec_id", *weighted(F.col("y")))
 
 
+def resize_bicubic(spark, sf_dir):
+    """Square tables of positions at 5/8 of their side, by cubic weights."""
+    return vectors(spark, sf_dir).select("vec_id", P.shrunk("x").alias("y")).select("vec_id", *weighted(F.col("y")))
+
+
+def relpos_table(spark, sf_dir):
+    """A table of 15 relative positions spread over the pairs of eight places: entry (q, k) is that of q - k."""
+    place = F.sequence(F.lit(0), F.lit(7))
+    y = F.flatten(F.transform(place, lambda q: F.transform(place, lambda k: F.get("x", q - k + 7))))
+    return vectors(spark, sf_dir).select("vec_id", y.alias("y")).select("vec_id", *weighted(F.col("y")))
+
+
 def split_heads(spark, sf_dir):
-    """Each vector as query, key and value of two heads: the parts' sums."""
-    parts = F.array(*[F.struct(F.lit(n).alias("part"), F.lit(h).cast("long").alias("head"), F.slice("x", k * 20 + h * 10 + 1, 10).alias("v")) for k, n in enumerate("qkv") for h in (0, 1)])
+    """Each vector as four parts (query, key, value, and the gate) of two heads of eight values: the parts' sums."""
+    parts = F.array(*[F.struct(F.lit(n).alias("part"), F.lit(h).cast("long").alias("head"), F.slice("x", k * 16 + h * 8 + 1, 8).alias("v")) for k, n in enumerate("qkvg") for h in (0, 1)])
     return vectors(spark, sf_dir).select("vec_id", F.inline(parts)).select("vec_id", "part", "head", r6(total(F.col("v")), "s"))
 
 
@@ -81,11 +92,6 @@ def error_response(spark, sf_dir):
     return request_status(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n")).select("status", F.concat(F.lit("HTTP/1.1 "), F.col("status"), F.lit(" "), F.element_at(reasons, F.col("status").cast("int"))).alias("line"), "n")
 
 
-def report_lines(spark, sf_dir):
-    """The scorer table as lines of a report."""
-    return scorer_table(spark, sf_dir).select("scorer", F.concat(F.lit("| "), "scorer", F.lit(" | "), F.round("rho", 3).cast("string"), F.lit(" | "), F.round("auroc", 3).cast("string"), F.lit(" |")).alias("line"))
-
-
 def mode_headers(spark, sf_dir):
     """The modes of a job's pages, b or g, comma-joined."""
     rows = turns(spark, sf_dir).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("slot", F.when(F.col("role") == "assistant", "g").otherwise("b").alias("m")))).alias("p"))
@@ -97,7 +103,7 @@ REASONS = {200: "OK", 400: "Bad Request", 404: "Not Found", 405: "Method Not All
 W2 = "round(sum(y), 6) + 0.0::DOUBLE AS s1, round(sum(y * (k + 1)), 6) + 0.0::DOUBLE AS s2"
 GRID = f"{LONG}, c AS (SELECT vec_id, i // 8 AS r, i % 8 AS q, v FROM l)"
 AXIS = "a AS (SELECT m, floor(s)::BIGINT AS lo, least(floor(s)::BIGINT + 1, 7) AS hi, s - floor(s) AS f FROM (SELECT m, greatest(0.0::DOUBLE, least(7.0::DOUBLE, (m + 0.5::DOUBLE) * 8 / 12 - 0.5::DOUBLE)) AS s FROM range(0, 12) t(m)))"
-QUERIES = {f.__name__: f for f in (conv3x3, im2col_patches, resize_bilinear, split_heads, tile_split, box_percent, expert_combine, weight_lookup, fifo_take, error_response, report_lines, mode_headers)}
+QUERIES = {f.__name__: f for f in (conv3x3, im2col_patches, resize_bilinear, resize_bicubic, relpos_table, split_heads, tile_split, box_percent, expert_combine, weight_lookup, fifo_take, error_response, mode_headers)}
 
 
 def _sql() -> dict[str, str]:
@@ -110,14 +116,17 @@ def _sql() -> dict[str, str]:
         "im2col_patches": f"WITH {E_}, {GRID}, y AS (SELECT vec_id, r // 2 * 4 + q // 2 AS k, sum(v) AS y FROM c GROUP BY ALL) SELECT vec_id, {W2} FROM y GROUP BY vec_id",
         "resize_bilinear": f"""WITH {E_}, {AXIS}, y AS (SELECT vec_id, r.m * 12 + q.m AS k, (x[r.lo * 8 + q.lo + 1] * (1 - q.f) + x[r.lo * 8 + q.hi + 1] * q.f) * (1 - r.f) + (x[r.hi * 8 + q.lo + 1] * (1 - q.f) + x[r.hi * 8 + q.hi + 1] * q.f) * r.f AS y
             FROM e, a r, a q) SELECT vec_id, {W2} FROM y GROUP BY vec_id""",
-        "split_heads": f"WITH {E_}, p AS (SELECT vec_id, x, unnest(range(0, 6)) AS k FROM e) SELECT vec_id, ['q','k','v'][k // 2 + 1] AS part, k % 2 AS head, round(list_sum(x[k * 10 + 1:k * 10 + 10]), 6) + 0.0::DOUBLE AS s FROM p",
+        "resize_bicubic": f"""WITH {E_}, w0 AS (SELECT m, j, abs(j - ((m + 0.5::DOUBLE) * 1.6::DOUBLE - 0.5::DOUBLE)) / 1.6::DOUBLE AS t FROM range(0, 5) a(m), range(0, 8) b(j)),
+            w1 AS (SELECT m, j, CASE WHEN t < 1 THEN 1.5 * t ** 3 - 2.5 * t ** 2 + 1 WHEN t < 2 THEN -0.5 * t ** 3 + 2.5 * t ** 2 - 4 * t + 2 ELSE 0 END::DOUBLE AS w FROM w0), w AS (SELECT m, j, w / sum(w) OVER (PARTITION BY m) AS w FROM w1),
+            y AS (SELECT vec_id, r.m * 5 + q.m AS k, sum(x[r.j * 8 + q.j + 1] * r.w * q.w) AS y FROM e, w r, w q GROUP BY ALL) SELECT vec_id, {W2} FROM y GROUP BY vec_id""",
+        "relpos_table": f"WITH {E_}, y AS (SELECT vec_id, q * 8 + k0 AS k, x[q - k0 + 8] AS y FROM e, range(0, 8) a(q), range(0, 8) b(k0)) SELECT vec_id, {W2} FROM y GROUP BY vec_id",
+        "split_heads": f"WITH {E_}, p AS (SELECT vec_id, x, unnest(range(0, 8)) AS k FROM e) SELECT vec_id, ['q','k','v','g'][k // 2 + 1] AS part, k % 2 AS head, round(list_sum(x[k * 8 + 1:k * 8 + 8]), 6) + 0.0::DOUBLE AS s FROM p",
         "tile_split": f"WITH {E_}, p AS (SELECT vec_id, x, unnest(range(0, 4)) AS tile FROM e) SELECT vec_id, tile, round(x[tile // 2 * 32 + tile % 2 * 4 + 1], 6) + 0.0::DOUBLE AS first, round(x[tile // 2 * 32 + tile % 2 * 4 + 28], 6) + 0.0::DOUBLE AS last FROM p",
         "box_percent": f"WITH {BOXES} SELECT page_id, round(100 * x0 / pw, 6) + 0.0::DOUBLE AS left_pct, round(100 * y0 / ph, 6) + 0.0::DOUBLE AS top_pct, round(100 * (x1 - x0) / pw, 6) + 0.0::DOUBLE AS width_pct, round(100 * (y1 - y0) / ph, 6) + 0.0::DOUBLE AS height_pct FROM bx",
         "expert_combine": "WITH w AS (SELECT l_partkey % 64 AS expert, 1 / count(*) AS w FROM lineitem GROUP BY 1) SELECT l_orderkey, round(sum(l_quantity * w), 6) + 0.0::DOUBLE AS y FROM lineitem JOIN w ON l_partkey % 64 = expert GROUP BY l_orderkey",
         "weight_lookup": "SELECT r_name AS asked, count(*) AS n, min(n_name) AS first_name FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name",
         "fifo_take": "SELECT event_id, row_number() OVER (PARTITION BY date_trunc('minute', ts) ORDER BY ts, event_id) AS place FROM events",
         "error_response": f"WITH q AS ({JOBS['request_status']}) SELECT status, 'HTTP/1.1 ' || status || ' ' || CASE status {cases} END AS line, count(*) AS n FROM q GROUP BY status",
-        "report_lines": f"WITH q AS ({JOBS['scorer_table']}) SELECT scorer, '| ' || scorer || ' | ' || round(rho, 3) || ' | ' || round(auroc, 3) || ' |' AS line FROM q",
         "mode_headers": "SELECT conv_id AS job_id, string_agg(CASE WHEN role = 'assistant' THEN 'g' ELSE 'b' END, ',' ORDER BY turn) AS modes FROM conversations GROUP BY conv_id",
     }
 

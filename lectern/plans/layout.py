@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import layout as L
 from lectern.functions.bpe import byte_characters, decode_ids
 from lectern.functions.core import r6
-from lectern.sources.files import parse_manifest_line, scrape_log
+from lectern.sources.files import engine_output, parse_manifest_line, scrape_log
 from lectern.sources.tables import table, turns
 
 
@@ -71,6 +71,24 @@ def grid_partition(spark, sf_dir):
     return c.groupBy("page_id", F.floor(row / L.WINDOW).cast("long").alias("wr"), F.floor(col / L.WINDOW).cast("long").alias("wc")).agg(F.count("*").alias("cells"), (L.WINDOW * L.WINDOW - F.count("*")).alias("zeros"))
 
 
+def grid_merge(spark, sf_dir):
+    """All cells of all windows, the padding's too, put back into the grid: cells by row, and the sum of their columns."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"), (F.col("n_nationkey") + 40).alias("gs"))
+    w = n.withColumn("window", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.ceil(F.col("gs") / L.WINDOW), F.lit(2)).cast("long") - 1)))
+    c = w.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(L.WINDOW * L.WINDOW - 1).cast("long")))).withColumn("at", L.grid_cell(F.col("window"), F.col("cell"), F.col("gs")))
+    back = L.window_cell(F.col("at.row"), F.col("at.col"), F.col("gs"))
+    same = c.where("at is not null").withColumn("same", (back["window"] == F.col("window")) & (back["cell"] == F.col("cell")))
+    return same.groupBy("page_id", F.col("at.row").alias("row")).agg(F.count("*").alias("cells"), F.sum("at.col").alias("columns"), F.every("same").alias("inverse"))
+
+
+def engine_outputs(spark, sf_dir):
+    """Whole engine outputs made of orders' numbers, taken apart: pages, tokens and what follows; every sixth has none."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("TTFT (page 0): 1 ms\n"), F.when(k % 6 == 0, "failed").otherwise(F.concat(F.lit("===== OCR ("), k % 30, F.lit(" page(s), "), k * 7, F.lit(" tokens) =====\n<PAGE>a "), k.cast("string"), F.lit(" ===== b"))))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", engine_output(text).alias("o"))
+    return o.select("o_orderkey", "o.pages", "o.tokens", "o.body")
+
+
 def log_scrape(spark, sf_dir):
     """Bench figures from logs made of orders' numbers; every fifth log has no decode line."""
     k = F.col("o_orderkey")
@@ -102,7 +120,7 @@ TILES = f"""{SIZES}, o AS (SELECT i, j, i * j AS n FROM range(1, 33) a(i), range
 BOXES = f"""{SIZES}, b0 AS (SELECT *, page_id * 13 % 500 AS x0, page_id * 29 % 500 AS y0, 1024.0::DOUBLE / greatest(pw, ph) AS sc FROM s), b1 AS (SELECT *, x0 + page_id * 7 % 500 AS x1, y0 + page_id * 11 % 500 AS y1 FROM b0),
     bx AS (SELECT page_id, pw, ph, """ + ", ".join(f"greatest(0.0::DOUBLE, least({s}, ({v} / 1000.0::DOUBLE * 1024 - (1024 - {s} * sc) / 2) / sc)) AS {v}" for v, s in (("x0", "pw"), ("y0", "ph"), ("x1", "pw"), ("y1", "ph"))) + " FROM b1)"
 R = "round({0}, 6) + 0.0::DOUBLE AS {0}"
-QUERIES = {f.__name__: f for f in (tile_choice, tile_tokens, letterbox_geom, box_unproject, crop_plan, assemble_base, assemble_tiles, grid_partition, log_scrape, manifest_scan, bpe_decode)}
+QUERIES = {f.__name__: f for f in (tile_choice, tile_tokens, letterbox_geom, box_unproject, crop_plan, assemble_base, assemble_tiles, grid_partition, grid_merge, engine_outputs, log_scrape, manifest_scan, bpe_decode)}
 SQL = {
     "tile_choice": f"WITH {TILES} SELECT page_id, w, h FROM tl",
     "tile_tokens": f"WITH {TILES} SELECT page_id, h * 10 * (w * 10 + 1) + 273 AS tokens FROM tl",
@@ -117,6 +135,8 @@ SQL = {
         CASE WHEN local AND c < w * 10 THEN r // 10 * w + c // 10 END AS tile, CASE WHEN local AND c < w * 10 THEN r % 10 * 10 + c % 10 WHEN NOT local THEN t - h * 10 * (w * 10 + 1) END AS cell FROM y""",
     "grid_partition": """WITH n AS (SELECT n_nationkey::BIGINT AS page_id, n_nationkey + 40 AS gs FROM nation), c AS (SELECT page_id, gs, unnest(range(0, gs * gs)) AS cell FROM n)
         SELECT page_id, cell // gs // 14 AS wr, cell % gs // 14 AS wc, count(*) AS cells, 196 - count(*) AS zeros FROM c GROUP BY ALL""",
+    "grid_merge": "WITH n AS (SELECT n_nationkey::BIGINT AS page_id, n_nationkey + 40 AS gs FROM nation), r AS (SELECT *, unnest(range(0, gs)) AS row FROM n) SELECT page_id, row, gs::BIGINT AS cells, (gs * (gs - 1) // 2)::BIGINT AS columns, true AS inverse FROM r",
+    "engine_outputs": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 30 END AS pages, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey * 7 END AS tokens, CASE WHEN o_orderkey % 6 <> 0 THEN chr(10) || '<PAGE>a ' || o_orderkey || ' ===== b' END AS body FROM orders",
     "log_scrape": """SELECT o_orderkey, o_orderkey % 900 AS ttft_ms, o_orderkey % 700 AS prefill_ms, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 5000 END AS tok, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 3000 END AS decode_ms,
         CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4000 END AS tok_s, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 300 + 1 END AS steps, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 100 END AS util_pct,
         round(CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 3000)::DOUBLE / (o_orderkey % 300 + 1) END, 6) AS step_ms, o_orderkey % 40 AS admissions, o_orderkey % 4 + 1 AS det_els FROM orders""",

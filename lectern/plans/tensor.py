@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import arrays as A
 from lectern.functions.core import dot, r6, total
 from lectern.operators import tensor as O
+from lectern.operators.ranking import cumulate
 from lectern.sources.tables import table, traces
 
 
@@ -150,8 +151,9 @@ def expert_offsets(spark, sf_dir):
 
 def expert_bins(spark, sf_dir):
     """Each expert's tokens in order of (token, slot), in bins of 64: first and last token and their number."""
-    nth = F.row_number().over(Window.partitionBy("expert").orderBy("t", "slot")) - 1
-    b = tokens(spark, sf_dir).withColumn("bin", F.floor(nth / 64).cast("long"))
+    t = tokens(spark, sf_dir).groupBy("expert", "t").agg(F.count("*").alias("n"))
+    # a token's places start at its first; 64 experts are too few keys to sort by
+    b = cumulate(t, "t", ["expert"]).select("expert", "t", F.explode(F.sequence(X("below"), X("below") + X("n") - 1)).alias("nth")).withColumn("bin", F.floor(X("nth") / 64).cast("long"))
     return b.groupBy("expert", "bin").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count("*").alias("n"))
 
 
@@ -162,14 +164,6 @@ def gather_join(spark, sf_dir):
     return li.join(v, "vec_id").groupBy("l_returnflag").agg(F.count("*").alias("n"), r6(F.avg("x0"), "x0"), r6(F.avg("x63"), "x63"))
 
 
-def moe_forward(spark, sf_dir):
-    """Top two experts of eight by the first eight values' softmax; an expert scales by its number; combined by weight."""
-    v = vectors(spark, sf_dir)
-    routed = v.select("vec_id", "x", F.explode(A.top_k(A.softmax(F.slice("x", 1, 8)), 2)).alias("t"))
-    done = routed.select("vec_id", F.transform("x", lambda a: A.silu(a * (X("t.i") + 1) / 8.0) * X("t.v")).alias("y"))
-    return done.groupBy("vec_id").agg(r6(F.sum(total(X("y"))), "s1"), r6(F.sum(X("y")[0]), "y0"))
-
-
 def ngram_ban(spark, sf_dir):
     """Tokens that would repeat a four-token run of their stream: at each step the banned successors."""
     t = traces(spark, sf_dir).select("stream", "step", F.floor(X("p1") * 3).cast("long").alias("tok"))
@@ -232,7 +226,7 @@ def _attn(mask: str, where: str = "true") -> str:
 
 MASS = f"""{TR}, ms AS (SELECT (step - 1) // 16 AS page, stream % 4 AS head, floor((step - 1) * p1 / 16)::BIGINT AS target, p1 FROM tr), c AS (SELECT page, count(*) AS n FROM ms GROUP BY page),
     mm AS (SELECT page, head, target, sum(p1) / max(n) AS mass FROM ms JOIN c USING (page) GROUP BY page, head, target)"""
-QUERIES = {f.__name__: f for f in (rmsnorm, layernorm, swiglu, quickgelu, rope, linear, softmax, softmax_entropy, argmax, topk_route, block_topk, rescore, quant_int4, quant_fp8_scale, quant_fp8_codes, nibble, split_softmax, causal_attn, rswa_frame, ring_slot, moe_forward, gather_join, expert_hist, expert_offsets, expert_bins, ngram_ban, assemble_ref, mass_by_block, mass_lag, gelu_udf, infer_stub)}
+QUERIES = {f.__name__: f for f in (rmsnorm, layernorm, swiglu, quickgelu, rope, linear, softmax, softmax_entropy, argmax, topk_route, block_topk, rescore, quant_int4, quant_fp8_scale, quant_fp8_codes, nibble, split_softmax, causal_attn, rswa_frame, ring_slot, gather_join, expert_hist, expert_offsets, expert_bins, ngram_ban, assemble_ref, mass_by_block, mass_lag, gelu_udf, infer_stub)}
 SQL = {
     "rmsnorm": _map("list_transform(x, lambda a: a / sqrt(list_sum(list_transform(x, lambda b: b * b)) / 64 + 1e-6))"),
     "layernorm": _map("list_transform(x, lambda a: (a - list_avg(x)) / sqrt(list_sum(list_transform(x, lambda b: (b - list_avg(x)) ** 2)) / 64 + 1e-6))"),
@@ -258,9 +252,6 @@ SQL = {
     "expert_offsets": f"WITH {T_}, h AS (SELECT expert, count(*) AS n FROM t GROUP BY expert) SELECT expert, coalesce(sum(n) OVER (ORDER BY expert ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM h",
     "expert_bins": f"WITH {T_}, b AS (SELECT *, (row_number() OVER (PARTITION BY expert ORDER BY t, slot) - 1) // 64 AS bin FROM t) SELECT expert, bin, min(t) AS first_t, max(t) AS last_t, count(*) AS n FROM b GROUP BY expert, bin",
     "gather_join": f"WITH {E_} SELECT l_returnflag, count(*) AS n, round(avg(x[1]), 6) + 0.0::DOUBLE AS x0, round(avg(x[64]), 6) + 0.0::DOUBLE AS x63 FROM lineitem JOIN e ON l_partkey = vec_id GROUP BY l_returnflag",
-    "moe_forward": f"""WITH {E_}, s AS (SELECT vec_id, x, list_transform(x[1:8], lambda a: exp(a - list_max(x[1:8]))) AS ex FROM e), l AS (SELECT vec_id, x, unnest(ex) / list_sum(ex) AS w, generate_subscripts(ex, 1) AS k FROM s),
-        r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY w DESC, k) AS n FROM l), y AS (SELECT vec_id, list_transform(x, lambda a: (a * k / 8.0::DOUBLE) / (1 + exp(-(a * k / 8.0::DOUBLE))) * w) AS y FROM r WHERE n <= 2)
-        SELECT vec_id, round(sum(list_sum(y)), 6) + 0.0::DOUBLE AS s1, round(sum(y[1]), 6) + 0.0::DOUBLE AS y0 FROM y GROUP BY vec_id""",
     "ngram_ban": f"""WITH {TR}, k AS (SELECT stream, step, floor(p1 * 3)::BIGINT AS tok FROM tr), g AS (SELECT *, lag(tok, 1) OVER w AS a, lag(tok, 2) OVER w AS b, lead(tok) OVER w AS nxt FROM k WINDOW w AS (PARTITION BY stream ORDER BY step)),
         j AS (SELECT DISTINCT n.stream, n.step, o.nxt AS banned FROM g n JOIN g o ON n.stream = o.stream AND o.step < n.step AND o.tok = n.tok AND o.a = n.a AND o.b = n.b) SELECT stream, step, string_agg(banned, ',' ORDER BY banned) AS banned FROM j GROUP BY stream, step""",
     "assemble_ref": "WITH n AS (SELECT vec_id // 32 AS job, count(*) AS n FROM embeddings GROUP BY 1), r AS (SELECT job, list_concat([0], list_concat(list_transform(range(0, n), lambda i: -1 - i), [37460, 4366, 76466, 16])) AS ids FROM n) SELECT job, len(ids) AS len, list_sum(list_transform(ids, lambda a, i: a * i))::BIGINT AS checksum FROM r",

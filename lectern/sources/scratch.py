@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -22,3 +22,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         base = _LOCAL[app]
     path = f"{base.rstrip('/')}/lectern/{name}-{uuid.uuid4().hex}"
     return "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back.
+
+    This cuts the lineage (a lost executor costs only the running stage), computes what several later steps use once,
+    and forgets the partitioning, so that joins shuffle both sides and adaptive execution can split skewed keys.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # Block types that the adapters deal out, in order.
 BLOCK_TYPES = ("text", "title", "table", "header", "list")
-#: Steps of a stream that count; later ones are cut off.
-MAX_STEPS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +30,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     value = F.coalesce("value", F.lit(0.0))
-    rows = events.select(F.col("user_id").alias("stream"), F.row_number().over(w).alias("step"), (50 / (50 + value)).alias("p1"), F.log1p(value).alias("ent"), (F.col("event_id") % 97 == 0).alias("eos"), (F.col("event_type") == "view").alias("newline"))
-    return rows.where(F.col("step") <= MAX_STEPS)
+    return events.select(F.col("user_id").alias("stream"), F.row_number().over(w).alias("step"), (50 / (50 + value)).alias("p1"), F.log1p(value).alias("ent"), (F.col("event_id") % 97 == 0).alias("eos"), (F.col("event_type") == "view").alias("newline"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from lectern.functions import arrays as A
 from lectern.functions import layout as L
 from lectern.functions import text as X
 from lectern.functions.bpe import decode_ids
-from lectern.functions.edit import edit_distance
+from lectern.functions.edit import pseudo_cer, word_edit
 from lectern.operators import confidence as C
 from lectern.operators import evaluate as E
 from lectern.operators import jobs as J
@@ -38,7 +38,7 @@ def test_parse_blocks_and_strip(spark):
     assert one(spark, X.strip_layout(F.col("t")), t=t + "<PAGE> d") == "x a b c d"
 
 
-def test_edit_distance():
+def test_edit_distance(spark):
     def plain(a, b):
         prev = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -48,11 +48,15 @@ def test_edit_distance():
             prev = cur
         return prev[-1]
 
-    assert edit_distance("the cat sat on mat".split(), "the cat sit on the mat".split()) == 2
     r = np.random.default_rng(0)
-    for _ in range(200):
-        a, b = ([str(x) for x in r.integers(0, 4, r.integers(0, 12))] for _ in (0, 1))
-        assert edit_distance(a, b) == plain(a, b)
+    pairs = [("the cat sat on mat", "the cat sit on the mat"), ("", "a b"), ("a", ""), ("", ""), (" ".join(map(str, range(300))), " ".join(map(str, range(5, 310))))]
+    pairs += [tuple(" ".join(str(x) for x in r.integers(0, 4 + 40 * (k % 2), r.integers(0, 30))) for _ in (0, 1)) for k in range(200)]
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)] + [(-1, None, "x y")], "k int, a string, b string").select("k", word_edit(F.col("a"), F.col("b")).alias("d"), pseudo_cer(F.col("a"), F.col("b")).alias("c")).collect()
+    got = {x.k: x for x in rows}
+    assert got[0].d == 2 and got[-1].d == 2
+    for k, (a, b) in enumerate(pairs):
+        n = len(b.split())
+        assert got[k].d == plain(a.split(), b.split()) and abs(got[k].c - (min(1, got[k].d / n) if n else float(bool(a)))) < 1e-12
 
 
 def trace(spark, p1, toks):
@@ -76,8 +80,55 @@ def test_page_is_cut_at_its_end(spark):
 
 def test_auroc_and_ranks(spark):
     d = spark.createDataFrame([("a", s, y) for s, y in zip([0.1, 0.4, 0.4, 0.8], [0, 0, 1, 1])], "g string, s double, y int")
-    assert E.auroc(d, "s", "y", "g").first()["auroc"] == 0.875
-    assert E.auroc(d.where("y = 1"), "s", "y", "g").first()["auroc"] is None
+    assert E.auroc(E.cells(d, "g", "s", "y"), "s", F.col("y"), "g").first()["auroc"] == 0.875
+    assert E.auroc(E.cells(d.where("y = 1"), "g", "s", "y"), "s", F.col("y"), "g").first()["auroc"] is None
+    assert E.auroc(E.cells(d.limit(0), "g", "s", "y"), "s", F.col("y"), "g").count() == 0
+
+
+def test_measures_match_plain_python(spark):
+    """Ties everywhere, one scorer of two values only, and one that is constant."""
+    r = np.random.default_rng(3)
+    pages = [(k, float(r.integers(0, 10)) / 10) for k in range(300)]
+    scorers = {"many": lambda k, c: float(r.integers(0, 12)), "two": lambda k, c: float(c > 0.4) if k % 3 else 0.0, "flat": lambda k, c: 1.0}
+    rows = [(k, c, n, f(k, c)) for k, c in pages for n, f in scorers.items()]
+    d = spark.createDataFrame(rows, "page_id long, cer double, scorer string, score double")
+    counts = E.cells(d, "scorer", "score", "cer")
+    bad = (F.col("cer") > 0.5).cast("long")
+    rho = {x.scorer: x.rho for x in E.spearman(counts, "score", "cer", "scorer").collect()}
+    auc = {x.scorer: x.auroc for x in E.auroc(counts, "score", bad, "scorer").collect()}
+    cover = {(x.scorer, x.fraction): x.caught for x in E.risk_coverage(d, counts, "score", bad, "scorer", "page_id").collect()}
+    rank = lambda v: np.array([(np.sum(v < x) + (np.sum(v == x) + 1) / 2) for x in v])
+    for name in scorers:
+        s, c = (np.array([x[i] for x in rows if x[2] == name]) for i in (3, 1))
+        y = c > 0.5
+        a, b = rank(s) - rank(s).mean(), rank(c) - rank(c).mean()
+        want = (a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()) if a.any() else 0.0
+        assert abs(rho[name] - want) < 1e-9
+        assert abs(auc[name] - (rank(s)[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())) < 1e-9
+        order = sorted(range(300), key=lambda i: -s[i])  # stable: equal scores in page order
+        for f in E.FRACTIONS:
+            assert abs(cover[name, f] - y[order[: max(1, round(f * 300))]].sum() / y.sum()) < 1e-9
+
+
+def test_bootstrap_and_logistic_fit(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, 2)) * [1.0, 3.0] + [5.0, 0.0]
+    y = (x[:, 0] - 5 + r.normal(size=400) * 0.5 > 0.6).astype(int)
+    d = spark.createDataFrame([(k, float(a), float(b), int(c)) for k, ((a, b), c) in enumerate(zip(x, y))], "page_id long, a double, b double, y int")
+    won = E.bootstrap_win(d, "page_id", F.col("a"), F.col("b"), F.col("y"), iterations=200).first()
+    assert won["valid"] == 200 and won["a_wins"] == 200
+    same = E.bootstrap_win(d, "page_id", F.col("a"), F.col("a"), F.col("y"), iterations=50).first()
+    assert (same["a_wins"], same["valid"]) == (0, 50)
+    assert E.bootstrap_win(d.where("y = 1"), "page_id", F.col("a"), F.col("b"), F.col("y"), iterations=5).first()["valid"] == 0
+    fit = E.logistic_fit(d, ["a", "b"], F.col("y"))
+    z, w, bias = (x - x.mean(axis=0)) / x.std(axis=0), np.zeros(2), 0.0
+    for _ in range(4000):
+        e = 1 / (1 + np.exp(-np.clip(z @ w + bias, -30, 30))) - y
+        w, bias = w - 0.5 * (z.T @ e / 400 + 0.01 * w), bias - 0.5 * e.mean()
+    assert np.allclose([f[1] for f in fit], [*w, bias], atol=1e-5)
+    assert E.logistic_fit(d.where("y = 0"), ["a", "b"], F.col("y"))[-1][1] is None
+    constant = E.logistic_fit(d.withColumn("b", F.lit(2.0)), ["a", "b"], F.col("y"))
+    assert constant[1][3] == 1e-6 and abs(constant[1][1]) < 1e-9
 
 
 @pytest.mark.parametrize("spec,want", [("3", (200, 3, None)), ("2,1", (200, None, [1, 0])), ("3,", (200, None, [2])), (",1", (400, None, None)), ("0", (400, None, None)), ("1,0", (400, None, None)), ("a", (400, None, None)), ("", (400, None, None))])
@@ -132,6 +183,46 @@ def test_manifest_and_safetensors(spark, tmp_path):
     assert [(r["name"], r["offset"] - 8 - len(head), r["nbytes"]) for r in rows] == [("a", 8, 4), ("z", 0, 8)]
 
 
+def test_file_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/a.txt").write_text("log\n===== OCR (2 page(s), 31 tokens) =====\n<PAGE>x<|det|>text [1, 2, 3, 4]<|/det|> a <|det|> b\n<PAGE><|det|>title [5, 6, 7, 8]<|/det|>c")
+    (tmp_path / "out/b.txt").write_text("no output")
+    got = {r["path"][-5:]: r for r in files.read_engine_output(spark, str(tmp_path / "out")).withColumn("blocks", X.parse_strict(F.col("body"))).collect()}
+    a = got["a.txt"]
+    assert (a["pages"], a["tokens"]) == (2, 31) and [[(b["type"], b["x0"], b["text"]) for b in p] for p in a["blocks"]] == [[("text", 1, "a <|det|> b")], [("title", 5, "c")]]
+    assert got["b.txt"]["pages"] is None and got["b.txt"]["body"] is None
+    (tmp_path / "cache.json").write_text('{"d/3/base": {"text": "x", "conf": 0.5, "ntok": 7}, "d/3/gundam": {"text": "y", "risk": 0.1}}')
+    rows = {r["mode"]: r for r in files.read_eval_cache(spark, str(tmp_path / "cache.json")).collect()}
+    assert rows["base"]["page"] == 3 and rows["base"]["ntok"] == 7 and rows["gundam"]["conf"] is None and rows["gundam"]["risk"] == 0.1
+    (tmp_path / "f.bin").write_bytes(np.array([1.5, -2.0], "<f4").tobytes())
+    assert files.read_f32(spark, str(tmp_path / "f.bin")).first()["values"] == [1.5, -2.0]
+    (tmp_path / "d.pdf").write_bytes(b"%PDF-1.4\n<< /Type /Pages /Count 2 >> << /Type /Pages /Kids [] /Count  14 >>")
+    (tmp_path / "e.pdf").write_bytes(b"no document /Count 3")
+    n = {r["path"][-5:]: r["n_pages"] for r in files.read_documents(spark, str(tmp_path / "*.pdf")).collect()}
+    assert n == {"d.pdf": 14, "e.pdf": None}
+    d = spark.createDataFrame([(2, "b"), (1, "a,\"x")], "n int, line string")
+    files.write_csv(d, str(tmp_path / "csv"))
+    assert sorted(map(tuple, spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').collect())) == sorted([("1", 'a,"x'), ("2", "b")])
+    files.write_report(d, str(tmp_path / "report"), "n")
+    assert [r[0] for r in spark.read.text(str(tmp_path / "report")).collect()] == ['a,"x', "b"]
+    files.write_json(d, str(tmp_path / "json"))
+    assert {r["n"]: r["line"] for r in spark.read.json(str(tmp_path / "json")).collect()} == {1: 'a,"x', 2: "b"}
+
+
+def test_missing_tensor_is_an_error(spark):
+    manifest = spark.createDataFrame([("a", 1), ("b", 2)], "name string, nbytes long")
+    names = spark.createDataFrame([("b",), ("a",)], "name string")
+    assert files.lookup(names, manifest).count() == 2
+    with pytest.raises(Exception, match="missing tensor c"):
+        files.lookup(names.unionByName(spark.createDataFrame([("c",)], "name string")), manifest).collect()
+
+
+def test_viewer_parse_is_tolerant(spark):
+    t = " <PAGE> <PAGE>z<|det|> text [ 1 , 2,3 , 4 ]<|/det|> a <|det|>bad<|det|>title [5,6,7,8]<|/det|>c"
+    pages = one(spark, X.parse_viewer(F.col("t")), t=t)
+    assert [[(b["type"], b["y1"], b["text"]) for b in p] for p in pages] == [[("text", 4, "a"), ("title", 8, "c")]]
+
+
 def test_retry_merge_is_idempotent(spark):
     d = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, pass int, t string")
     once = J.retry_merge(d, ["k"], "pass")
@@ -140,7 +231,7 @@ def test_retry_merge_is_idempotent(spark):
 
 def test_results_do_not_depend_on_partitioning(spark):
     d = spark.range(2000).select(F.lit("g").alias("g"), (F.col("id") % 37 / 37.0).alias("s"), (F.col("id") % 5 == 0).cast("int").alias("y"))
-    got = {round(E.auroc(x, "s", "y", "g").first()["auroc"], 12) for x in (d, d.repartition(7), d.orderBy(F.rand(1)))}
+    got = {round(E.auroc(E.cells(x, "g", "s", "y"), "s", F.col("y"), "g").first()["auroc"], 12) for x in (d, d.repartition(7), d.orderBy(F.rand(1)))}
     assert len(got) == 1
 
 
@@ -154,6 +245,7 @@ def test_image_kernels():
     assert np.allclose(P.convolve(image, np.eye(3) * [[0, 0, 0], [0, 1, 0], [0, 0, 0]]), image)
     table = np.arange(5.0)[:, None]
     assert P.relative_positions(3, table)[:, :, 0].tolist() == [[2, 1, 0], [3, 2, 1], [4, 3, 2]]
+    assert np.allclose(P.cubic_weights(6, 6), np.eye(6)) and np.allclose(P.resize_bicubic(np.full((2, 8, 8), 3.0), 5, 11), 3.0)
     assert P.relative_positions(4, table).shape == (4, 4, 1) and len(P.interpolate(table, 9)) == 9
 
 
