@@ -27,12 +27,22 @@ BASE = {
 #: A text without this has no match of the kind.
 NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": "\\+[0-9]"}
 
-#: Shapes near the base ones, as further candidates: written-out addresses, and phone numbers without a country code.
+#: What may stand for a dot, and cues after which a shape alone is a candidate.
+DOT = r"\x20?(?:\(dot\)|\[dot\]|\{dot\}|\[\.\]|\(\.\)|\.)\x20?"
+CARD_CUE, PHONE_CUE = "card|visa|mastercard|amex|karte|carte|tarjeta", "phone|tel|fax|mobile|call|telefon|teléfono"
+#: Shapes near the base ones, as further candidates: written-out addresses; written-out and spaced dots, and addresses of
+#: eight groups; other separators, thirteen digits, and any check digit behind a cue; national forms, a double zero for the
+#: plus, and any number behind a cue.
 NEAR = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\})\x20?[a-z0-9-]{1,63}+(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?[a-z0-9-]{1,63}+){1,8}",
-    "phone": r"(?<![0-9+(.-])(?<!\+[0-9]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
+    "email": rf"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{{1,64}}+\x20?(?:\(at\)|\[at\]|\{{at\}})\x20?[a-z0-9-]{{1,63}}+(?:{DOT}[a-z0-9-]{{1,63}}+){{1,8}}"
+    r"|(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\x20at\x20[a-z0-9-]{1,63}+(?:\x20dot\x20[a-z0-9-]{1,63}+){1,4}",
+    "ip": rf"(?i)(?<![0-9.])[0-9]{{1,3}}+(?:{DOT}[0-9]{{1,3}}+){{3}}(?![0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{{1,4}}+:){{7}}[0-9A-Fa-f]{{1,4}}+(?![0-9A-Fa-f:])",
+    "card": rf"(?<![0-9])(?:[0-9]{{13}}(?![0-9])|[0-9]{{3,6}}+(?:(?:\x20\x20|\x20?[._/–-]\x20?)[0-9]{{2,6}}+){{2,5}}(?![0-9])|(?<=(?i:{CARD_CUE})[\x20:]{{1,3}})[0-9](?:[\x20-]?[0-9]){{13,18}}(?![0-9]))",
+    "phone": r"(?<![0-9+(.-])(?<!\+[0-9]\x20)(?:(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])|00[1-9](?:[\x20().-]{0,2}[0-9]){8,13}(?![0-9])|0[1-9][0-9]{1,3}[\x20/-][0-9]{3,8}(?:[\x20-][0-9]{2,4})?(?![0-9])"
+    rf"|(?<=(?i:{PHONE_CUE})[\x20:.]{{1,3}})[0-9](?:[\x20().-]{{0,2}}[0-9]){{6,14}}(?![0-9]))",
 }
-NEAR_NEEDS = {"email": r"(?i)[(\[{]at[)\]}]", "phone": r"[0-9]{3}[)\x20.-]"}
+#: A text without this has no near shape of the kind.
+NEAR_NEEDS = {"email": r"(?i)[(\[{]at[)\]}]|\x20at\x20", "ip": r"(?i)[0-9]\x20?[(\[{]?(?:\.|dot)[)\]}]?\x20?[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9]{2}(?:[0-9]|[\x20._/–-]{1,3}[0-9])", "phone": r"[0-9]{3}[)\x20./-]|[0-9]{7}|00[1-9]|[0-9][\x20().-]{1,2}[0-9]"}
 
 # Gazetteers and context words, in natural order.
 TOP_LEVEL = "com|org|net|edu|gov|info|de|fr|es|uk|eu|io"
@@ -49,26 +59,58 @@ AGAINST = "version|release|isbn|issn|doi|section|chapter|order|ticket|build|figu
 #: Characters before a span in which the context labeler looks.
 REACH = 32
 LABELERS = ("regex", "gazetteer", "context", "shape")
+#: Log-odds of a vote at the start, and the pseudo-votes of each labeler that are right and wrong.
+START, PSEUDO = 1.4, (2.0, 0.5)
 #: Rounds of expectation-maximisation and of gradient ascent.
 EM_ROUNDS, FIT_ROUNDS = 25, 200
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluates a column once and hands it to an expression that uses it often."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Values that a running total takes together; the totals of such blocks are summed up first, so that time stays linear.
+TOGETHER = 64
+
+
+def running(values: Column, zero: int, op) -> Column:
+    """An array's running total by an associative ``op``, each value included."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(zero), op)
+
+    def inside(part: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(op(acc["at"], x))).alias("out")), lambda acc: acc["out"])
+
+    def whole(vs: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(vs) - 1) / TOGETHER).cast("int")), lambda k: F.slice(vs, k * TOGETHER + 1, TOGETHER))
+        start = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
+
+        def begins(bs: Column) -> Column:
+            return F.aggregate(F.transform(bs, total), start, lambda acc, t: F.struct(op(acc["at"], t).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+        return _let(parts, lambda bs: F.flatten(F.zip_with(bs, begins(bs), inside)))
+
+    return _let(values, lambda vs: F.when(F.size(vs) == 0, F.array().cast("array<int>")).otherwise(whole(vs)))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match>> of a pattern's leftmost matches, in code points.
+    """array<struct<start, end, match, before>> of a pattern's leftmost matches, in code points.
 
-    The pieces between matches give the places: each match starts after all pieces and matches before it.
+    The pieces between matches give the places: each match starts after all pieces and matches before it. ``before`` is
+    the end of the piece before the match, REACH characters at most.
     """
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    found = F.filter(zipped, lambda p: p["match"].isNotNull())
+    pairs = F.transform(found, lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.length(p["match"]).alias("n"), p["match"].alias("match"), F.right(p["gap"], F.lit(REACH)).alias("before")))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["gap"])
-        end = begin + F.length(p["match"])
-        one = F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"), p["match"].alias("match"))
-        return F.when(p["match"].isNull(), acc).otherwise(F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
+    def placed(ps: Column) -> Column:
+        ends = running(F.transform(ps, lambda p: p["gap"] + p["n"]), 0, lambda a, b: a + b)
+        return F.zip_with(ps, ends, lambda p, e: F.struct((e - p["n"]).alias("start"), e.alias("end"), p["match"].alias("match"), p["before"].alias("before")))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return _let(pairs, placed)
 
 
 def digits(s: Column) -> Column:
@@ -81,14 +123,20 @@ def luhn(number: Column) -> Column:
     return F.aggregate(places, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0
 
 
-def valid(kind: str, match: Column) -> Column:
+def numbers(match: Column) -> Column:
+    return F.transform(F.regexp_extract_all(match, F.lit("[0-9]+"), F.lit(0)), lambda n: n.try_cast("double"))
+
+
+def valid(kind: str, base: bool, match: Column) -> Column:
+    """Whether a match counts: the base rules, or what makes a near shape a candidate."""
     if kind == "ip":
-        return F.forall(F.split(match, r"\."), lambda p: p.try_cast("double") <= 255)
+        small = F.forall(numbers(match), lambda n: n <= 255)
+        return small if base else small | F.contains(match, F.lit(":"))
     if kind == "card":
         n = F.length(digits(match))
-        return F.when(n.between(14, 19), luhn(digits(match))).otherwise(False)
+        return F.when(n.between(14, 19), luhn(digits(match))).otherwise(False) if base else n.between(13, 19)
     if kind == "phone":
-        return F.length(digits(match)).between(10, 15)
+        return F.length(digits(match)).between(10 if base else 7, 15)
     return F.lit(True)
 
 
@@ -96,95 +144,105 @@ def votes(kind: str, base: bool, match: Column, before: Column) -> list[Column]:
     """A vote of 1, -1 or 0 (no opinion) from each labeler."""
     yes, no, none = F.lit(1), F.lit(-1), F.lit(0)
     gazetteer = {
-        "email": F.when(F.lower(match).rlike(rf"[.)\]}}]\x20?({TOP_LEVEL})$"), yes).otherwise(none),
-        "ip": F.when(match.rlike(r"^(0|127|255)\."), no).otherwise(none),
+        "email": F.when(F.lower(match).rlike(rf"[.)\]}}\x20]({TOP_LEVEL})$"), yes).otherwise(none),
+        "ip": F.when(F.get(numbers(match), F.lit(0)).isin(0.0, 127.0, 255.0), no).otherwise(none),
         "card": F.when(digits(match).rlike(f"^({CARD_ISSUERS})"), yes).otherwise(no),
-        "phone": F.when(match.rlike(rf"^\+({COUNTRY_CODES})(?![0-9]{{3}})"), yes).when(match.rlike(r"555"), yes).otherwise(none),
+        "phone": F.when(match.rlike(rf"^(\+|00)({COUNTRY_CODES})(?![0-9]{{3}})"), yes).when(match.rlike(r"555"), yes).otherwise(none),
     }[kind]
     cue = F.lower(before)
     context = F.when(cue.rlike(rf"(?<![a-z])({CONTEXT[kind]})[^a-z]*$"), yes).when(cue.rlike(rf"(?<![a-z])({AGAINST})[\x20.:#]*$"), no).otherwise(none)
     shape = {
         "email": F.when(F.length(match).between(6, 64), yes).otherwise(no),
-        "ip": F.when(match.rlike(r"(^|\.)0[0-9]"), no).otherwise(yes),
-        "card": F.when(F.length(digits(match)).isin(15, 16), yes).otherwise(no),
-        "phone": F.when(F.length(digits(match)).between(10, 13), yes).otherwise(no),
+        "ip": F.when(match.rlike(r"(^|[^0-9])0[0-9]") & ~F.contains(match, F.lit(":")), no).when(F.exists(numbers(match), lambda n: n > 9), yes).otherwise(none),
+        "card": F.when(F.length(digits(match)).between(13, 19) & luhn(digits(match)), yes).otherwise(no),
+        "phone": F.when(F.length(digits(match)).between(10, 13), yes).when(F.length(digits(match)) < 10, none).otherwise(no),
     }[kind]
     return [yes if base else none, gazetteer, context, shape]
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, found) with found an array of (start, kind, end, base, v): each base span and near shape with its votes."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    text = F.col("text")
-    kind_type = "array<struct<start:int,kind:int,end:int,base:boolean,v:array<int>>>"
+#: Beyond any place in a text.
+FAR = (1 << 31) - 1
+FOUND = "array<struct<start:int,kind:int,end:int,base:boolean,v:array<int>>>"
 
-    def of(kind: str, pattern: str, needs: str, base: bool) -> Column:
-        ok = F.filter(matches(text, pattern), lambda m: valid(kind, m["match"]))
-        seen = F.transform(ok, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end"), F.lit(base).alias("base"), F.array(*votes(kind, base, m["match"], F.substring(text, F.greatest(F.lit(1), m["start"] + 1 - REACH), F.least(F.lit(REACH), m["start"])))).alias("v")))
-        there = F.contains(text, F.lit(needs)) if needs == "@" else text.rlike(needs)
-        return F.when(there, seen).otherwise(F.array().cast(kind_type))
 
-    base = F.concat(*[of(k, BASE[k], NEEDS[k], True) for k in KINDS])
-    near = F.concat(*[of(k, NEAR[k], NEAR_NEEDS[k], False) for k in NEAR])
-    return rows.select("id", base.cast(kind_type).alias("base"), near.cast(kind_type).alias("near")).select(
-        "id", F.concat("base", F.when(F.size("near") == 0, F.col("near")).otherwise(F.filter("near", lambda n: ~F.exists("base", lambda b: (b["start"] < n["end"]) & (n["start"] < b["end"]))))).alias("found")
-    )
+def candidates(text: Column) -> Column:
+    """array<struct<start, kind, end, base, v>>: each base span of a text, and each near shape that touches none, with its votes."""
+
+    def of(kind: str, base: bool) -> Column:
+        pattern, needs = (BASE[kind], NEEDS[kind]) if base else (NEAR[kind], NEAR_NEEDS[kind])
+        ok = F.filter(matches(text, pattern), lambda m: valid(kind, base, m["match"]))
+        seen = F.transform(ok, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end"), F.lit(base).alias("base"), F.array(*votes(kind, base, m["match"], m["before"])).alias("v")))
+        there = F.contains(text, F.lit(needs)) if needs == "@" else text.rlike(needs)
+        return F.when(there, seen).otherwise(F.array().cast(FOUND))
 
+    def free(found: Column) -> Column:
+        """Leaves out near shapes that a base span begins before and reaches into, or begins in."""
+        reach = running(F.transform(found, lambda s: F.when(s["base"], s["end"]).otherwise(0)), 0, lambda a, b: F.greatest(a, b))
+        ahead = F.reverse(running(F.reverse(F.transform(found, lambda s: F.when(s["base"], s["start"]).otherwise(FAR))), FAR, lambda a, b: F.least(a, b)))
+        placed = F.arrays_zip(found.alias("s"), reach.alias("reach"), ahead.alias("ahead"))
+        return F.transform(F.filter(placed, lambda x: x["s"]["base"] | ((x["reach"] <= x["s"]["start"]) & (x["ahead"] >= x["s"]["end"]))), lambda x: x["s"])
 
-def patterns(found: DataFrame) -> DataFrame:
-    """(kind, v, n): how often each vote pattern occurs; at most kinds x 3^labelers rows."""
-    return found.select(F.explode("found").alias("s")).groupBy(F.col("s.kind").alias("kind"), F.col("s.v").alias("v")).agg(F.count("*").alias("n"))
+    both = F.struct(F.concat(*[of(k, True) for k in KINDS]).cast(FOUND).alias("base"), F.concat(*[of(k, False) for k in KINDS]).cast(FOUND).alias("near"))
+    return _let(both, lambda s: F.when(F.size(s["near"]) == 0, s["base"]).otherwise(_let(F.sort_array(F.concat(s["base"], s["near"])), free)))
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluates a column once and hands it to an expression that uses it often."""
-    return F.transform(F.array(value), body)[0]
+def patterns(found: DataFrame) -> DataFrame:
+    """(kind, base, v, n): how often each vote pattern occurs; at most kinds x 2 x 3^labelers rows."""
+    return found.select(F.explode("found").alias("s")).groupBy(F.col("s.kind").alias("kind"), F.col("s.base").alias("base"), F.col("s.v").alias("v")).agg(F.count("*").alias("n"))
 
 
-def _posterior(v: Column, state: Column) -> Column:
-    """P(span is real | votes): prior log-odds plus each vote's log-likelihood ratio (the vote picks one of three)."""
-    score = F.aggregate(F.zip_with(v, state["ratio"], lambda x, r: F.get(r, x + 1)), state["prior"], lambda a, x: a + x)
+def _posterior(p: Column, state: Column) -> Column:
+    """P(span is real | votes): prior log-odds plus the log-likelihood ratio of each vote that was cast."""
+    votes = F.aggregate(F.zip_with(p["v"], state["ratio"], lambda x, r: F.when(x == 1, r["yes"]).when(x == -1, r["no"]).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    score = votes + F.when(p["base"], state["base"]).otherwise(state["near"])
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), score))))
 
 
 def fit(counted: DataFrame) -> DataFrame:
     """One row (kind, weights) for each kind: the span classifier's bias and weights.
 
-    Expectation-maximisation starts from reliable labelers (an even prior, a vote for counts e times); smoothing of a
-    few pseudo-votes that agree with that start keeps labelers that rarely vote defined. Its posteriors are the targets
-    of a logistic regression on for- and against-indicators of each labeler, fitted by gradient ascent with weight
-    decay. Both are folds over the counted patterns, so their cost does not depend on the number of spans.
+    Expectation-maximisation starts from labelers that are right four times in five, and even priors. A labeler that
+    casts no vote says nothing. Base and near spans have priors of their own, so that the many base spans do not decide
+    on the near ones, and share the labelers' reliabilities; pseudo-votes that agree with the start keep labelers that
+    rarely vote defined. The posteriors are the targets of a logistic regression on for- and against-indicators of each
+    labeler, fitted by gradient ascent with weight decay. Both are folds over the counted patterns, so their cost does
+    not depend on the number of spans.
     """
     k = len(LABELERS)
-    per = counted.groupBy("kind").agg(F.collect_list(F.struct("v", "n")).alias("p"))
-    begin = F.struct(F.lit(0.0).alias("prior"), F.array(*[F.array(F.lit(-1.0), F.lit(0.0), F.lit(1.0))] * k).alias("ratio"))
-    # Pseudo-votes against, none and for, of real and of unreal spans.
-    real, unreal = (0.5, 1.0, 2.0), (2.0, 1.0, 0.5)
+    per = counted.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("base", "v", "n"))).alias("p"))
+    even = F.struct(F.lit(START).alias("yes"), F.lit(-START).alias("no"))
+    begin = F.struct(F.lit(0.0).alias("near"), F.lit(0.0).alias("base"), F.array(*[even] * k).alias("ratio"))
 
     def em(state: Column) -> Column:
-        weighed = F.transform("p", lambda p: F.struct(p["v"].alias("v"), (p["n"] * _posterior(p["v"], state)).alias("y"), (p["n"] * (1 - _posterior(p["v"], state))).alias("z")))
+        weighed = F.transform("p", lambda p: _let(_posterior(p, state), lambda q: F.struct(p["base"].alias("base"), p["v"].alias("v"), (p["n"] * q).alias("y"), (p["n"] * (1 - q)).alias("z"))))
 
         def update(w: Column) -> Column:
             def total(f) -> Column:
                 return F.aggregate(w, F.lit(0.0), lambda a, x: a + f(x))
 
             def ratio(j: int) -> Column:
-                ys = [total(lambda x, o=o: F.when(x["v"][j] == o, x["y"]).otherwise(0.0)) + real[o + 1] for o in (-1, 0, 1)]
-                zs = [total(lambda x, o=o: F.when(x["v"][j] == o, x["z"]).otherwise(0.0)) + unreal[o + 1] for o in (-1, 0, 1)]
-                ysum, zsum = total(lambda x: x["y"]) + sum(real), total(lambda x: x["z"]) + sum(unreal)
-                return F.array(*[F.ln(y / ysum) - F.ln(z / zsum) for y, z in zip(ys, zs)])
+                right, wrong = PSEUDO
+                yy, yn = (total(lambda x, o=o: F.when(x["v"][j] == o, x["y"]).otherwise(0.0)) for o in (1, -1))
+                zy, zn = (total(lambda x, o=o: F.when(x["v"][j] == o, x["z"]).otherwise(0.0)) for o in (1, -1))
+                real, unreal = yy + yn + right + wrong, zy + zn + right + wrong
+                return F.struct((F.ln((yy + right) / real) - F.ln((zy + wrong) / unreal)).alias("yes"), (F.ln((yn + wrong) / real) - F.ln((zn + right) / unreal)).alias("no"))
+
+            def prior(base: bool) -> Column:
+                ys, zs = (total(lambda x, c=c: F.when(x["base"] == base, x[c]).otherwise(0.0)) for c in "yz")
+                return F.ln((ys + 1) / (zs + 1))
 
-            return F.struct(F.ln((total(lambda x: x["y"]) + 1) / (total(lambda x: x["z"]) + 1)).alias("prior"), F.array(*[ratio(j) for j in range(k)]).alias("ratio"))
+            return F.struct(prior(False).alias("near"), prior(True).alias("base"), F.array(*[ratio(j) for j in range(k)]).alias("ratio"))
 
         return _let(weighed, update)
 
     soft = per.withColumn("state", F.aggregate(F.sequence(F.lit(1), F.lit(EM_ROUNDS)), begin, lambda s, _: em(s)))
-    soft = soft.select("kind", F.transform(F.arrays_zip("p", F.array_repeat("state", F.size("p")).alias("state")), lambda x: F.struct(_features(x["p"]["v"]).alias("f"), x["p"]["n"].alias("n"), _posterior(x["p"]["v"], x["state"]).alias("y"))).alias("p"))
+    soft = soft.select("kind", F.transform(F.arrays_zip("p", F.array_repeat("state", F.size("p")).alias("state")), lambda x: F.struct(_features(x["p"]["v"]).alias("f"), x["p"]["n"].alias("n"), _posterior(x["p"], x["state"]).alias("y"))).alias("p"))
     zero = F.array(*[F.lit(0.0)] * (2 * k + 1))
-    size = F.aggregate("p", F.lit(0.0), lambda a, x: a + x["n"])
+    size = F.aggregate("p", F.lit(0.0), lambda a, x: a + F.sqrt(x["n"].cast("double")))
 
     def ascend(w: Column) -> Column:
-        grad = F.aggregate("p", zero, lambda g, x: _let(x["n"] * (x["y"] - _sigmoid(w, x["f"])), lambda e: F.zip_with(g, x["f"], lambda a, f: a + e * f)))
+        # a pattern weighs the root of its count, or rare ones would not be learnt beside the base spans
+        grad = F.aggregate("p", zero, lambda g, x: _let(F.sqrt(x["n"].cast("double")) * (x["y"] - _sigmoid(w, x["f"])), lambda e: F.zip_with(g, x["f"], lambda a, f: a + e * f)))
         return F.zip_with(w, grad, lambda a, g: a * 0.999 + g * 2.0 / size)
 
     return soft.select("kind", F.aggregate(F.sequence(F.lit(1), F.lit(FIT_ROUNDS)), zero, lambda w, _: ascend(w)).alias("weights"))
@@ -199,6 +257,24 @@ def _sigmoid(w: Column, f: Column) -> Column:
     return 1 / (1 + F.exp(-F.aggregate(F.zip_with(w, f, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)))
 
 
+def _accepted(found: Column, weights: dict[int, list[float]], threshold: float) -> Column:
+    """Of the candidates the base spans and those that the classifier accepts."""
+    zero = [0.0] * (2 * len(LABELERS) + 1)
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in weights.get(k, zero)]) for k in range(len(KINDS))])
+    return F.filter(found, lambda s: s["base"] | (_sigmoid(F.get(table, s["kind"]), _features(s["v"])) > threshold))
+
+
+def _spans(found: Column) -> Column:
+    return F.sort_array(F.transform(found, lambda s: F.struct(s["start"], s["kind"], s["end"])))
+
+
+def _scan(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, list[float]]]:
+    """(id, found) of every row, written once, and the trained weights by kind."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = settle(docs.select(F.col(id_col).cast("long").alias("id"), candidates(text).alias("found")), "pii")
+    return found, {r["kind"]: r["weights"] for r in fit(patterns(found)).collect()}
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row (id, base, spans) for every row of ``docs``.
 
@@ -207,32 +283,25 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     A null text counts as empty and has no spans; repeated rows give a row each; an empty table gives an empty result;
     other columns are not read. Only the classifier's few weights, of four kinds at most, pass through the driver.
     """
-    found = settle(candidates(docs, id_col, text_col), "pii")
-    weights = {r["kind"]: r["weights"] for r in fit(patterns(found)).collect()}
-    zero = [0.0] * (2 * len(LABELERS) + 1)
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in weights.get(k, zero)]) for k in range(len(KINDS))])
-    kept = F.filter("found", lambda s: s["base"] | (_sigmoid(F.get(table, s["kind"]), _features(s["v"])) > threshold))
-    plain = lambda spans: F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"])))
-    return found.select("id", plain(F.filter("found", lambda s: s["base"])).alias("base"), plain(kept).alias("spans"))
+    found, weights = _scan(docs, id_col, text_col)
+    return found.select("id", _spans(F.filter("found", lambda s: s["base"])).alias("base"), _spans(_accepted(F.col("found"), weights, threshold)).alias("spans"))
 
 
-def redact_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` joined with their spans by id and with every span replaced by ``[KIND]``; ids must be unique.
+def redact_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` with every span replaced by ``[KIND]``; all rows and other columns stay, whatever their names.
 
-    Overlapping spans are replaced as one, by the kind of the first.
+    The classifier is trained over all rows; then each text is looked at again in its own row, so that ids need not be
+    unique and no text is shuffled. Overlapping spans are replaced as one, by the kind of the first. A null text stays.
     """
-    spans = find_pii(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
+    _, weights = _scan(docs, id_col, text_col)
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.col(text_col)
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    text = F.col(text_col).cast("string")
+    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(marks, s["kind"]))
-        return F.struct(F.when(inside, acc["out"]).otherwise(out).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    clean = F.aggregate("__spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = docs.join(spans, F.col(id_col) == F.col("__id"), "left")
-    return joined.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(text)).select(*docs.columns)
-
+        more = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(marks, s["kind"])))
+        return F.struct(F.when(s["start"] < acc["at"], acc["out"]).otherwise(more).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
+    spans = _spans(_accepted(candidates(F.coalesce(text, F.lit(""))), weights, threshold))
+    clean = _let(spans, lambda s: F.when(F.size(s) == 0, text).otherwise(F.aggregate(s, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))))
+    return docs.withColumn(text_col, clean)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import os
 import random
 import re
@@ -54,7 +55,8 @@ def test_pii_matches_plain_python(spark, frame, tables):
         spans = pii_spans(texts[r.doc_id] or "")
         assert r.base_sha256 == hashlib.sha256(joined(spans, pii.KINDS).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[1] == k for s in spans) for k in range(4)]
-        assert set(joined(spans, pii.KINDS).split(",")) <= set(r.spans.split(","))
+        # the method may add spans, where there are no base ones too
+        assert {x for x in joined(spans, pii.KINDS).split(",") if x} <= set(r.spans.split(","))
 
 
 def test_pii_adds_near_shapes_and_redacts(frame):
@@ -64,6 +66,114 @@ def test_pii_adds_near_shapes_and_redacts(frame):
     assert pii.redact_pii(docs).where("doc_id = 40").first()["text"] == "mail [EMAIL], phone [PHONE]"
 
 
+NEAR_REAL = {
+    "email": ["jane.roe(at)example(dot)org", "max [at] firma.de", "ana at correo dot example dot es", "x_y{at}site.net", "Bob.B (AT) mail.example.COM"],
+    "ip": ["192[.]168[.]10[.]77", "10 . 20 . 30 . 40", "172(.)16(.)254(.)3", "203[dot]113[dot]44[dot]9", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"],
+    "card": ["4111.1111.1111.1111", "5500_0000_0000_0004", "4111  1111  1111  1111", "4222222222222", "3782/822463/10005", "6011–1111–1111–1117"],
+    "phone": ["(415) 555-0132", "212.555.0187", "0049 30 901820 22", "030/90182022", "0171-5550199", "020 7946 0958"],
+}
+CUES = {"email": "write to", "ip": "host", "card": "card", "phone": "phone"}
+DECOYS = ["version 1. 2. 3. 4 of the tool", "see section 3 . 1 . 2 . 2", "order 8123.4567.1234.5678 shipped", "ticket 1234_5678_9012_3456 is open", "meet at noon dot matrix", "in 1999-2003-2007 and 12.10.2024", "isbn 9781234567890", "room 0123", "10:30:45", "build 7777/7777/7777/7777", "total 12 345 678"]
+
+
+def planted_pii(n=300):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9)))
+    docs, want = [], {}
+    for k in range(n):
+        text = " ".join(word() for _ in range(r.randrange(5, 40))) + " "
+        for _ in range(r.randrange(0, 4)):
+            kind = r.choice(list(NEAR_REAL))
+            text += (f"{CUES[kind]}: " if r.random() < 0.6 else "")
+            real = r.choice(NEAR_REAL[kind])
+            want.setdefault(k, []).append((len(text), pii.KINDS.index(kind), len(text) + len(real)))
+            text += real + " " + word() + " "
+        if r.random() < 0.4:
+            text += r.choice(DECOYS) + " " + word() + " "
+        if r.random() < 0.4:  # ordinary base spans, as in most corpora
+            text += r.choice(["mail a.b@example.com now", "from 192.168.1.20 today", "card 4111 1111 1111 1111 ok", "phone +1 415 555 0132 ok"])
+        docs.append((k, text))
+    return docs, want
+
+
+def test_pii_near_spans_planted_recall_and_precision(frame):
+    docs, want = planted_pii()
+    rows = {r.id: r for r in pii.find_pii(frame(docs)).collect()}
+    found = {(k, s.start, s.kind, s.end) for k, r in rows.items() for s in set(r.spans) - set(r.base)}
+    truth = {(k, *s) for k, spans in want.items() for s in spans}
+    hit = {t for t in truth if any(f[0] == t[0] and f[2] == t[2] and f[1] < t[3] and t[1] < f[3] for f in found)}
+    wrong = [f for f in found if not any(f[0] == t[0] and f[2] == t[2] and f[1] < t[3] and t[1] < f[3] for t in truth)]
+    for kind in range(4):
+        assert len([t for t in hit if t[2] == kind]) >= 0.9 * len([t for t in truth if t[2] == kind]), pii.KINDS[kind]
+    assert len(wrong) <= 0.1 * len(found), [docs[f[0]][1][f[1] : f[3]] for f in wrong]
+
+
+def plain_weights(patterns):
+    """Expectation-maximisation and the regression over (base, votes, count) in plain Python."""
+    sig = lambda z: 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    k, (right, wrong) = len(pii.LABELERS), pii.PSEUDO
+    prior, ratio = {True: 0.0, False: 0.0}, [{1: pii.START, -1: -pii.START}] * k
+    post = lambda b, v: sig(prior[b] + sum(r.get(x, 0.0) for x, r in zip(v, ratio)))
+    for _ in range(pii.EM_ROUNDS):
+        y = [n * post(b, v) for b, v, n in patterns]
+        z = [n - a for (_, _, n), a in zip(patterns, y)]
+        total = lambda w, f: sum(a for a, p in zip(w, patterns) if f(p))
+        new = []
+        for j in range(k):
+            yy, yn, zy, zn = (total(w, lambda p, o=o: p[1][j] == o) for w in (y, z) for o in (1, -1))
+            real, unreal = yy + yn + right + wrong, zy + zn + right + wrong
+            new.append({1: math.log((yy + right) / real) - math.log((zy + wrong) / unreal), -1: math.log((yn + wrong) / real) - math.log((zn + right) / unreal)})
+        prior = {b: math.log((total(y, lambda p: p[0] == b) + 1) / (total(z, lambda p: p[0] == b) + 1)) for b in (True, False)}
+        ratio = new
+    feats = [[1.0] + [float(x == o) for x in v for o in (1, -1)] for _, v, _ in patterns]
+    size, w = sum(math.sqrt(n) for _, _, n in patterns), [0.0] * (2 * k + 1)
+    for _ in range(pii.FIT_ROUNDS):
+        grad = [0.0] * len(w)
+        for f, (b, v, n) in zip(feats, patterns):
+            e = math.sqrt(n) * (post(b, v) - 1 / (1 + math.exp(-sum(a * c for a, c in zip(w, f)))))
+            grad = [g + e * c for g, c in zip(grad, f)]
+        w = [a * 0.999 + g * 2 / size for a, g in zip(w, grad)]
+    return w
+
+
+def test_pii_weights_match_plain_python(spark, frame):
+    docs, _ = planted_pii()
+    found, weights = pii._scan(frame(docs), "doc_id", "text")
+    counted = collections.defaultdict(collections.Counter)
+    for r in found.collect():
+        for s in r.found:
+            counted[s.kind][(s.base, tuple(s.v))] += 1
+    assert sorted(weights) == sorted(counted)
+    for kind, patterns in counted.items():
+        want = plain_weights([(b, v, n) for (b, v), n in sorted(patterns.items())])
+        assert all(abs(a - b) < 1e-6 for a, b in zip(weights[kind], want))
+
+
+def test_pii_many_matches_take_linear_time(spark, frame):
+    import time
+
+    seconds = []
+    for n in (4000, 32000):
+        d = frame([(1, " x ".join(["a@b.co 1.2.3.4"] * n))])
+        begun = time.time()
+        r = pii.find_pii(d).first()
+        seconds.append(time.time() - begun)
+        assert len(r.base) == 2 * n
+    assert seconds[1] < 6 * seconds[0] + 6
+
+
+def test_pii_redacts_in_place(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "mail a@b.co or c(at)d(dot)org now"), (1, "ip 1.2.3.4, +1 415 555 0132"), (None, None), (2, ""), (3, "none here")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit("i"), "found": F.lit(1), "spans": F.lit(2), "__id": F.lit(3), "__spans": F.lit(4)})
+    got = pii.redact_pii(d)
+    assert got.columns == d.columns
+    texts = sorted((r.doc_id or 0, r.text) for r in got.select("doc_id", F.coalesce("text", F.lit("NULL")).alias("text")).collect())
+    assert texts == [(0, "NULL"), (1, "ip [IP], [PHONE]"), (1, "mail [EMAIL] or [EMAIL] now"), (2, ""), (3, "none here")]
+    assert pii.redact_pii(d.limit(0)).count() == 0
+
+
 def test_empty_tables(spark, frame, tables):
     docs = frame([])
     assert pii.find_pii(docs).count() == secrets.find_secrets(docs).count() == 0
