@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.sources.scratch import scratch_path as fresh_path
+from lectern.sources.scratch import settle  # noqa: F401
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,18 +19,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back.
-
-    This cuts the lineage (a lost executor costs only the running stage), computes what several later steps use once,
-    and forgets the partitioning, so that joins shuffle both sides and adaptive execution can split skewed keys.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_settled(df: DataFrame) -> None:
     """Deletes a table that ``settle`` wrote and that no later step reads."""
     spark = df.sparkSession

@@ -5,9 +5,12 @@ Outliers are judged by the minimum-covariance-determinant estimate of their lang
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.core import unused
 from lectern.llm.common import settle
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -15,17 +18,39 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The transformed statistics, and for each the smallest deviation that counts as one standard deviation: most texts
 #: have no symbols or repeated lines at all, and without a floor their estimate would be singular.
 FEATURES = {"length": 0.5, "word_length": 0.5, "symbols": 0.15, "dup_lines": 0.3, "repeats": 0.1}
-#: Groups of fewer rows are judged by the estimate of their language, and languages by that of all rows.
-LEAST_ROWS = 60
-#: Share of a group that the estimate covers, and concentration steps. Half of it, so that up to nearly half of a group
-#: can be junk, copies of one text included, without drawing the estimate to itself.
-COVER, STEPS = 0.5, 3
-#: Makes the covariance of the inner half of a normal group in five features that of the whole group: COVER over the
-#: share of chi-squared with seven degrees of freedom that lies below the median of that with five (4.35146).
-CONSISTENCY = 1.912208
-#: Largest squared distance that is kept. Chi-squared's 0.999 quantile (five features) is 20.5, but the features have
-#: longer tails than normal ones, so that texts labelled good lie beyond it; the README has figures.
-CUTOFF = 60.0
+#: Rows that a group's estimate takes over from that of its language, and a language's from that of all rows.
+PRIOR_ROWS = 20.0
+#: Share of a group that the estimate covers. Half of it, so that up to nearly half of a group can be junk, copies of one
+#: text included, without drawing the estimate to itself.
+COVER = 0.5
+#: Concentration steps at most; they end when no group's log determinant falls by more than CLOSE.
+STEPS, CLOSE = 8, 0.02
+#: Medians are read off bins of this many to a unit of a feature, distances off bins of this many to a doubling.
+UNIT_BINS, OCTAVE_BINS = 64, 64
+#: Chance that a normal row of a group is rejected. The features have longer tails than normal ones, so that it must be
+#: far smaller than the share of texts that may be lost; the README has figures.
+TAIL = 1e-11
+
+
+def tail_5(x: float) -> float:
+    """Chance that chi-squared with five degrees of freedom exceeds x."""
+    return math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+
+
+def _solve(f, target: float, low: float = 0.0, high: float = 1000.0) -> float:
+    """Where a falling function has a value."""
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if f(mid) > target else (low, mid)
+    return high
+
+
+#: Largest squared distance that is kept: about 60.
+CUTOFF = _solve(tail_5, TAIL)
+_HALF = _solve(tail_5, 1 - COVER)
+#: Makes the covariance of the inner COVER of a normal group that of the whole: COVER over the share of chi-squared with
+#: seven degrees of freedom below the quantile of that with five.
+CONSISTENCY = COVER / (1 - tail_5(_HALF) - math.sqrt(2 / math.pi) * _HALF**2.5 * math.exp(-_HALF / 2) / 15)
 
 
 def text_stats(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
@@ -76,64 +101,85 @@ D = len(FEATURES)
 TRIANGLE = [(i, j) for i in range(D) for j in range(i + 1)]
 
 
-def _moments(weight: Column | None = None) -> list[Column]:
-    """Count, sums and sums of products, of the rows that ``weight`` holds for."""
-    one = (lambda c: c) if weight is None else (lambda c: F.when(weight, c))
-    sums = [F.sum(one(F.col(f"x{i}"))).alias(f"s{i}") for i in range(D)]
-    return [F.count(one(F.lit(1))).alias("m"), *sums, *[F.sum(one(F.col(f"x{i}") * F.col(f"x{j}"))).alias(f"q{i}{j}") for i, j in TRIANGLE]]
+V = [f"v{i}{j}" for i, j in TRIANGLE]
+C = [f"c{i}" for i in range(D)]
+L = [f"l{i}{j}" for i, j in TRIANGLE]
+
 
+def _estimate(rows: DataFrame, keys: list[str], prior: DataFrame | None, factor: float) -> DataFrame:
+    """(keys, c, v, l, logdet): the rows' centre and covariance, with PRIOR_ROWS of the prior's, and what distances need.
 
-def _estimate(sums: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
-    """Centre c0.. and Cholesky factor l00.. of ``factor`` times the covariance (plus the floors' unit variance), with its log determinant."""
-    cov = sums.select(*keys, "m", *[(F.col(f"s{i}") / F.col("m")).alias(f"c{i}") for i in range(D)], *[F.col(f"q{i}{j}") for i, j in TRIANGLE])
-    cov = cov.select(*keys, "m", *[f"c{i}" for i in range(D)], *[(factor * (F.col(f"q{i}{j}") / F.col("m") - F.col(f"c{i}") * F.col(f"c{j}")) + (1.0 if i == j else 0.0)).alias(f"v{i}{j}") for i, j in TRIANGLE])
+    l is the Cholesky factor of ``factor`` times the covariance plus the floors' unit variance; logdet is its log
+    determinant, the one that is minimised (the regularised form of the estimate, its target the identity).
+    """
+    sums = [F.count("*").alias("m"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(D)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in TRIANGLE]]
+    est = rows.groupBy(*keys).agg(*sums)
+    if prior is not None:
+        own = [k for k in keys if k in prior.columns]
+        est = est.join(prior.select(*own, *[F.col(c).alias(f"p{c}") for c in (*C, *V)]), own)
+        k = F.lit(PRIOR_ROWS)
+        est = est.select(*keys, (F.col("m") + k).alias("m"), *[(F.col(f"s{i}") + k * F.col(f"pc{i}")).alias(f"s{i}") for i in range(D)], *[(F.col(f"q{i}{j}") + k * (F.col(f"pv{i}{j}") + F.col(f"pc{i}") * F.col(f"pc{j}"))).alias(f"q{i}{j}") for i, j in TRIANGLE])
+    est = est.select(*keys, "m", *[(F.col(f"s{i}") / F.col("m")).alias(f"c{i}") for i in range(D)], *[F.col(f"q{i}{j}") for i, j in TRIANGLE])
+    est = est.select(*keys, *C, *[(F.col(f"q{i}{j}") / F.col("m") - F.col(f"c{i}") * F.col(f"c{j}")).alias(f"v{i}{j}") for i, j in TRIANGLE])
     for i, j in TRIANGLE:
-        rest = F.col(f"v{i}{j}")
+        rest = factor * F.col(f"v{i}{j}") + (1.0 if i == j else 0.0)
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        cov = cov.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}{j}"))
-    logdet = sum((F.ln(F.col(f"l{i}{i}")) for i in range(D)), F.lit(0.0)).alias("logdet")
-    return cov.select(*keys, "m", *[f"c{i}" for i in range(D)], *[f"l{i}{j}" for i, j in TRIANGLE], logdet)
+        est = est.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}{j}"))
+    return est.withColumn("logdet", sum((F.ln(F.col(f"l{i}{i}")) * 2 for i in range(D)), F.lit(0.0)))
 
 
 def with_distance(rows: DataFrame) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance, by forward substitution with the factor that each row carries."""
+    """Adds d2, the squared Mahalanobis distance, by forward substitution with the centre and factor that each row carries."""
+    names = [f"z{i}" for i in range(D)]
     for i in range(D):
         rest = F.col(f"x{i}") - F.col(f"c{i}")
         for k in range(i):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"z{k}")
         rows = rows.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
-    d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)), F.lit(0.0))
-    return rows.withColumn("d2", d2).drop(*[f"z{i}" for i in range(D)], *[f"c{i}" for i in range(D)], *[f"l{i}{j}" for i, j in TRIANGLE], "m", "logdet")
+    return rows.withColumn("d2", sum((F.col(z) * F.col(z) for z in names), F.lit(0.0))).drop(*names, *C, *V, *L, "logdet")
 
 
-def _join(rows: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.join(params, keys, "left")
+def _bins(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """(keys, bin): the first bin up to which a share of a group's rows lies, from (keys, bin) rows.
+
+    Rows are counted by bin in every task first, so that no group meets in one; a group has a few hundred bins.
+    """
+    counts = rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    reached = counts.select(*keys, "bin", F.sum("n").over(so_far).alias("so_far"), F.sum("n").over(Window.partitionBy(*keys)).alias("of"))
+    return reached.where(F.col("so_far") >= share * F.col("of")).groupBy(*keys).agg(F.min("bin").alias("bin"))
 
 
-def mcd(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Minimum-covariance-determinant estimates of x0.. for each group of ``keys``.
+def mcd(rows: DataFrame, keys: list[str], prior: DataFrame | None, name: str) -> DataFrame:
+    """Minimum-covariance-determinant estimates (keys, c, v, l) of x0.. for each group of ``keys``.
 
-    Concentration steps from two deterministic starts (all rows, and the rows nearest the coordinatewise medians):
-    each takes the COVER share of a group's rows with the smallest distance under the last estimate and estimates anew.
-    The start with the smaller determinant wins. Quantiles come from mergeable sketches and moments from partial sums,
-    so a group of any size is spread over all tasks; only small tables of estimates are joined back.
+    Concentration steps from two deterministic starts (all rows, and the coordinatewise medians): each takes the COVER
+    share of a group's rows with the smallest distance under the last estimate, to the end of its bin, and estimates
+    anew, with the prior's rows; a step of both starts is one pass. They go on until they have converged (STEPS), and the start
+    with the smaller determinant wins. Only counts by bin and partial sums are shuffled.
     """
-    quantile = lambda c: F.percentile_approx(c, F.lit(COVER), F.lit(1000))
-    middle = settle(rows.groupBy(*keys).agg(*[F.percentile_approx(f"x{i}", F.lit(0.5), F.lit(1000)).alias(f"c{i}") for i in range(D)]), f"{name}-middle")
-    units = [F.lit(1.0 if i == j else 0.0).alias(f"l{i}{j}") for i, j in TRIANGLE]
-    starts = {"median": middle.select(*keys, F.lit(0).alias("m"), *[f"c{i}" for i in range(D)], *units, F.lit(0.0).alias("logdet")), "all": settle(_estimate(rows.groupBy(*keys).agg(*_moments()), keys), f"{name}-all")}
-    ends = []
-    for start, params in starts.items():
-        for k in range(STEPS):
-            near = with_distance(_join(rows, params, keys))
-            cut = settle(near.groupBy(*keys).agg(quantile("d2").alias("cut")), f"{name}-{start}-{k}-cut")
-            inside = _join(near, cut, keys).where("d2 <= cut")
-            params = settle(_estimate(inside.groupBy(*keys).agg(*_moments()), keys, CONSISTENCY), f"{name}-{start}-{k}")
-        ends.append(params)
-    names = [c for c in ends[0].columns if c not in keys]
-    best = ends[0].unionByName(ends[1]).groupBy(*keys).agg(F.min(F.struct("logdet", *[c for c in names if c != "logdet"])).alias("b"))
-    return best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in names])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(f"x{i}") * UNIT_BINS).alias("bin")) for i in range(D)]))
+    middle = _bins(rows.select(*keys, each.alias("e")).select(*keys, "e.i", "e.bin"), [*keys, "i"], 0.5).groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, (F.col("bin") + 0.5) / UNIT_BINS)).alias(f"c{i}") for i in range(D)])
+    unit = [F.lit(1.0 if i == j else 0.0) for i, j in TRIANGLE]
+    at_median = middle.select(*keys, *C, *[F.lit(0.0).alias(v) for v in V], *[u.alias(l) for u, l in zip(unit, L)], F.lit(0.0).alias("logdet"))
+    params = settle(_estimate(rows, keys, prior, 1.0).withColumn("start", F.lit("all")).unionByName(at_median.withColumn("start", F.lit("median"))), f"{name}-starts")
+    by, last = [*keys, "start"], None
+    for k in range(STEPS):
+        near = with_distance(rows.join(params, keys))
+        # distances below 1 / 256 share the lowest bins
+        near = near.withColumn("bin", F.floor(F.log2(F.greatest("d2", F.lit(1 / 256))) * OCTAVE_BINS))
+        cut = settle(_bins(near.select(*by, "bin"), by, COVER).withColumnRenamed("bin", "cut"), f"{name}-{k}-cut")
+        inside = near.join(cut, by).where("bin <= cut").drop("bin", "cut", "d2")
+        params = settle(_estimate(inside, by, prior, CONSISTENCY), f"{name}-{k}")
+        now = params.select(*by, F.col("logdet").alias("now"))
+        if last is not None:
+            fall = last.join(now, by).agg(F.max(F.abs(F.col("was") - F.col("now")))).first()[0]
+            if fall is None or fall <= CLOSE:
+                break
+        last = now.withColumnRenamed("now", "was")
+    best = params.groupBy(*keys).agg(F.min(F.struct("logdet", "start", *C, *V, *L)).alias("b"))
+    return settle(best.select(*keys, *[F.col(f"b.{c}").alias(c) for c in (*C, *V, *L)], F.col("b.logdet").alias("logdet")), f"{name}-best")
 
 
 def judge(stats: DataFrame, keys: tuple[str, str] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
@@ -141,40 +187,28 @@ def judge(stats: DataFrame, keys: tuple[str, str] = ("lang", "source"), cutoff:
 
     A text fails the base rules with fewer than 50 words, or if over half its words stand in repeated windows; others are
     rejected if their squared distance from their group's estimate exceeds ``cutoff``. Null keys form groups of their
-    own. Estimates are made from the texts that pass the base rules; a group of fewer than LEAST_ROWS takes its
-    language's estimate, a small language that of all.
+    own. Estimates are made from the texts that pass the base rules. Every group has one, however small: it leans on
+    its language's by PRIOR_ROWS rows, and that on the one of all rows. d2 is null where no text of a group passes.
     """
     lang, source = keys
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     null = "\x00"
-    rows = stats.withColumn("base_failed", failed)
-    keyed = rows.withColumns({"__l": F.coalesce(F.col(lang).cast("string"), F.lit(null)), "__s": F.coalesce(F.col(source).cast("string"), F.lit(null))})
+    one, by_lang, by_source = levels = unused(stats, "all_rows", "lang_key", "source_key")
+    keyed = stats.withColumns({"base_failed": failed, one: F.lit(1), by_lang: F.coalesce(F.col(lang).cast("string"), F.lit(null)), by_source: F.coalesce(F.col(source).cast("string"), F.lit(null))})
     keyed = settle(keyed.select("*", *transformed()), "stats")
-    good = keyed.where(~F.col("base_failed")).select("__l", "__s", *[f"x{i}" for i in range(D)])
-    sizes = settle(good.groupBy("__l", "__s").count(), "sizes")
-    langs = sizes.groupBy("__l").agg(F.sum("count").alias("of_lang"))
-    level = settle(sizes.join(langs, "__l").select("__l", "__s", F.when(F.col("count") >= LEAST_ROWS, F.lit(2)).when(F.col("of_lang") >= LEAST_ROWS, F.lit(1)).otherwise(0).alias("level")), "levels")
-    parts = []
-    for k, by in ((2, ["__l", "__s"]), (1, ["__l"]), (0, ["__one"])):
-        groups = level.where(F.col("level") == k)
-        if groups.isEmpty():
-            continue
-        base = good.withColumn("__one", F.lit(1))
-        parts.append(groups.withColumn("__one", F.lit(1)).join(settle(mcd(base, by, f"mcd{k}"), f"mcd{k}"), by).drop("__one", "level"))
-    if not parts:
-        return keyed.select(*stats.columns, "base_failed", F.lit(None).cast("double").alias("d2"), (~F.col("base_failed")).alias("kept"))
-    params = parts[0]
-    for p in parts[1:]:
-        params = params.unionByName(p)
-    params = settle(params, "mcd")
-    far = with_distance(keyed.join(params, ["__l", "__s"], "left"))
+    good = keyed.where(~F.col("base_failed")).select(*levels, *[f"x{i}" for i in range(D)])
+    params = None
+    for k in range(3):
+        params = mcd(good, levels[: k + 1], params, f"mcd{k}")
+    far = with_distance(keyed.join(params, levels, "left"))
     return far.select(*stats.columns, "base_failed", "d2", (~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)).alias("kept"))
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
-    """One row (id, keys, STATS, base_failed, d2, kept) for every row of ``docs``.
+    """One row (id, lang, source, STATS, base_failed, d2, kept) for every row of ``docs``; ``keys`` name its two key columns.
 
     Null texts have no words and fail; repeated rows are counted and judged as often as they occur; an empty table
     gives an empty result; other columns are not read.
     """
-    return judge(settle(text_stats(docs, id_col, text_col, *keys), "textstats"), keys, cutoff)
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(keys[0]).alias("lang"), F.col(keys[1]).alias("source"))
+    return judge(settle(text_stats(named, "id", "text", "lang", "source"), "textstats"), ("lang", "source"), cutoff)

@@ -278,3 +278,85 @@ def test_clean_documents_are_kept(spark):
     rows = {x["doc_id"]: x for x in queries.op4_quality_rules(spark, "/root/testdata/sf0.01").collect()}
     good = [x["doc_id"] for x in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").collect()]
     assert all(rows[k]["kept"] or rows[k]["base_failed"] for k in good)
+
+
+def plain_mcd(x, groups, prior, key_of_prior):
+    """Regularised estimates {group: (centre, covariance)} in numpy, step by step as the docstring of ``mcd`` says."""
+    import numpy as np
+
+    d, out, tables = x.shape[1], {}, {}
+    names = sorted(set(groups))
+    index = {g: np.flatnonzero([h == g for h in groups]) for g in names}
+
+    def estimate(rows, g, factor):
+        m, s, q = len(rows), rows.sum(axis=0), rows.T @ rows
+        if prior is not None:
+            c, v = prior[key_of_prior(g)]
+            k = quality_rules.PRIOR_ROWS
+            m, s, q = m + k, s + k * c, q + k * (v + np.outer(c, c))
+        c = s / m
+        v = q / m - np.outer(c, c)
+        full = factor * v + np.eye(d)
+        return c, v, full, np.linalg.slogdet(full)[1]
+
+    def distance(rows, c, full):
+        return ((rows - c) * np.linalg.solve(full, (rows - c).T).T).sum(axis=1)
+
+    def reached(bins, share):
+        values, n = np.unique(bins, return_counts=True)
+        return values[np.flatnonzero(np.cumsum(n) >= share * n.sum())[0]]
+
+    for g in names:
+        rows = x[index[g]]
+        middle = np.array([(reached(np.floor(rows[:, i] * quality_rules.UNIT_BINS), 0.5) + 0.5) / quality_rules.UNIT_BINS for i in range(d)])
+        tables[g] = {"all": estimate(rows, g, 1.0), "median": (middle, None, np.eye(d), 0.0)}
+    last = None
+    for _ in range(quality_rules.STEPS):
+        for g in names:
+            rows = x[index[g]]
+            for start, (c, _, full, _) in tables[g].items():
+                bins = np.floor(np.log2(np.maximum(distance(rows, c, full), 1 / 256)) * quality_rules.OCTAVE_BINS)
+                tables[g][start] = estimate(rows[bins <= reached(bins, quality_rules.COVER)], g, quality_rules.CONSISTENCY)
+        now = {(g, s): t[3] for g in names for s, t in tables[g].items()}
+        if last is not None and max(abs(last[k] - now[k]) for k in now) <= quality_rules.CLOSE:
+            break
+        last = now
+    for g in names:
+        c, v, full, _ = min(tables[g].items(), key=lambda t: (t[1][3], t[0]))[1]
+        out[g] = (c, v, full)
+    return out
+
+
+def test_outliers_match_numpy(spark):
+    """Every language and source of the table has its own estimate, and the distances are numpy's."""
+    import numpy as np
+
+    from lectern.llm.common import read_table
+
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    rows = quality_rules.apply_rules(docs).collect()
+    good = [r for r in rows if not r.base_failed]
+    features = lambda r: np.array([math.log1p(r.n_words), r.word_chars / max(r.n_words, 1), math.sqrt(r.n_symbols / max(r.n_words, 1)), math.log1p(r.n_dup_lines), math.sqrt(r.n_repeat_words / max(r.n_words, 1))]) / list(quality_rules.FEATURES.values())
+    x = np.array([features(r) for r in good])
+    every = plain_mcd(x, [() for _ in good], None, None)
+    langs = plain_mcd(x, [(str(r.lang),) for r in good], {k: v[:2] for k, v in every.items()}, lambda g: ())
+    groups = plain_mcd(x, [(str(r.lang), str(r.source)) for r in good], {k: v[:2] for k, v in langs.items()}, lambda g: g[:1])
+    assert len(groups) > 20
+    seen = 0
+    for r in rows:
+        if (key := (str(r.lang), str(r.source))) in groups:
+            c, _, full = groups[key]
+            y = features(r) - c
+            want = y @ np.linalg.solve(full, y)
+            assert abs(r.d2 - want) <= 1e-6 * max(1.0, want)
+            assert r.kept == (not r.base_failed and want <= quality_rules.CUTOFF)
+            seen += 1
+    assert seen > 0.9 * len(rows)
+
+
+def test_rules_keep_clashing_columns_apart(frame):
+    from pyspark.sql import functions as F
+
+    docs = frame([(k, "plain words of a text " * 20 + str(k)) for k in range(30)]).withColumns({c: F.lit(c) for c in ("x0", "lang", "source", "all_rows", "base_failed", "d2", "n_words")})
+    got = quality_rules.apply_rules(docs, keys=("x0", "all_rows"))
+    assert got.columns == ["id", "lang", "source", *quality_rules.STATS, "base_failed", "d2", "kept"] and {r["lang"] for r in got.collect()} == {"x0"}
