@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import settle
+from lectern.functions.core import unused
+from lectern.llm.common import settle, slices
 
 # The base kinds in their order, and the kind of spans that the tests add.
 KINDS = ("assign", "access", "hex", "random")
@@ -69,11 +70,11 @@ def _two_sided(z: np.ndarray) -> np.ndarray:
 def randomness(values: np.ndarray, alphabet: int) -> np.ndarray:
     """For each row of symbol values: the combined p-value of three tests of randomness (large: looks random).
 
-    Uniformity: chi-squared over as many equal cells as leave four symbols a cell on average. Runs: Wald and
+    Uniformity: chi-squared over as many equal cells as leave two symbols a cell on average. Runs: Wald and
     Wolfowitz's count above and below the middle of the alphabet. Serial correlation at lag one. Combined by Fisher.
     """
     m, n = values.shape
-    cells = 1 << max(1, min(alphabet.bit_length() - 1, int(np.log2(max(2, n / 4)))))
+    cells = 1 << max(1, min(alphabet.bit_length() - 1, int(np.log2(max(2, n / 2)))))
     cell = values * cells // alphabet
     counts = np.bincount((np.arange(m)[:, None] * cells + cell).ravel(), minlength=m * cells).reshape(m, cells)
     chi = ((counts - n / cells) ** 2).sum(axis=1) * cells / n
@@ -152,61 +153,66 @@ def ordinary(texts: list[str]) -> np.ndarray:
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-SCAN = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("base", SPAN),
-    T.StructField("tested", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("code", T.IntegerType())]))),
-    T.StructField("ordinary", T.ArrayType(T.StructType([T.StructField("code", T.IntegerType()), T.StructField("n", T.LongType())]))),
-])
+TESTED = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("code", T.IntegerType())]))
+WINDOWS = T.ArrayType(T.StructType([T.StructField("code", T.IntegerType()), T.StructField("n", T.LongType())]))
 #: Texts that are scanned together.
 TOGETHER = 256
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, base, tested, ordinary) for every row: one pass over the whole texts.
+def scan(docs: DataFrame, text_col: str, base: str = "base", tested: str = "tested", ordinary_col: str = "ordinary") -> DataFrame:
+    """``docs`` with three more columns: base spans, tested tokens, and counts of windows; one pass over the whole texts.
 
     The windows of texts that are scanned together are counted by code on the first of their rows.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(SCAN)
+    out = T.StructType([*docs.schema.fields, T.StructField(base, SPAN), T.StructField(tested, TESTED), T.StructField(ordinary_col, WINDOWS)])
+    kinds, at, names = [f.type for f in to_arrow_schema(out)][-3:], docs.columns.index(text_col), out.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, TOGETHER):
-                b = whole.slice(at, TOGETHER)
-                texts = [t or "" for t in b.column(1).to_pylist()]
-                base = [[{"start": s, "kind": k, "end": e} for s, k, e in base_spans(t)] for t in texts]
-                tested = [[{"start": s, "end": e, "code": c} for s, e, c in row] for row in candidates(texts)]
-                n = ordinary(texts)
-                windows = [[{"code": int(c), "n": int(n[c])} for c in np.flatnonzero(n)], *[[]] * (len(texts) - 1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, schema.field(1).type), pa.array(tested, schema.field(2).type), pa.array(windows, schema.field(3).type)], names=schema.names)
+        for b in slices(batches, TOGETHER):
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            spans = [[{"start": s, "kind": k, "end": e} for s, k, e in base_spans(t)] for t in texts]
+            tokens = [[{"start": s, "end": e, "code": c} for s, e, c in row] for row in candidates(texts)]
+            n = ordinary(texts)
+            windows = [[{"code": int(c), "n": int(n[c])} for c in np.flatnonzero(n)], *[[]] * (len(texts) - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(v, t) for v, t in zip((spans, tokens, windows), kinds)]], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCAN)
+    return docs.mapInArrow(run, out)
 
 
-def cuts(scanned: DataFrame, rate: float = 0.01) -> dict[int, int]:
+def cuts(scanned: DataFrame, rate: float = 0.01, tested: str = "tested", ordinary_col: str = "ordinary") -> dict[int, int]:
     """For each encoding and length class the lowest score bin that is flagged; classes that flag nothing are absent.
 
     A token's p-value is the share of ordinary windows of its class and encoding that score as high (one added to
-    both counts); Benjamini and Hochberg's rule at ``rate`` over the class's tokens sets the cut. Only the counts by
-    bin reach the driver: at most encodings x classes x bins x 2 of them.
+    both counts); Benjamini and Hochberg's rule at ``rate`` over all tokens of all classes sets the largest p-value that
+    is flagged. A class with w windows gives no p-value below 1 / (w + 1): in a table with fewer windows than tokens
+    tested for each one flagged, times 1 / rate, nothing is flagged. Only the counts by bin reach the driver: at most
+    encodings x classes x bins x 2 of them.
     """
     size = len(ENCODINGS) * len(CLASSES) * BINS
     counts = np.zeros((2, size), dtype=np.int64)
-    windows = scanned.select(F.explode("ordinary").alias("w")).select(F.col("w.code").alias("c"), F.col("w.n").alias("n"))
-    tokens = scanned.select(F.explode("tested.code").alias("c"), F.lit(1).alias("n"))
+    windows = scanned.select(F.explode(ordinary_col).alias("w")).select(F.col("w.code").alias("c"), F.col("w.n").alias("n"))
+    tokens = scanned.select(F.explode(F.col(tested)["code"]).alias("c"), F.lit(1).alias("n"))
     for side, rows in ((0, windows), (1, tokens)):
         for r in rows.groupBy("c").agg(F.sum("n").alias("n")).collect():
             counts[side, r["c"]] = r["n"]
-    null, seen = counts.reshape(2, -1, BINS)
-    out = {}
-    for g in range(len(null)):
-        p = (1 + null[g][::-1].cumsum()[::-1]) / (1 + null[g].sum())
-        above = seen[g][::-1].cumsum()[::-1]
-        ok = np.flatnonzero((above > 0) & (p <= rate * above / max(1, seen[g].sum())))
-        if len(ok):
-            out[g] = int(ok[0])
-    return out
+    return discoveries(*counts.reshape(2, -1, BINS), rate)
+
+
+def discoveries(null: np.ndarray, seen: np.ndarray, rate: float) -> dict[int, int]:
+    """The flagged bins by class, from (class, bin) counts of ordinary windows and of tokens."""
+    above = lambda n: n[:, ::-1].cumsum(axis=1)[:, ::-1]
+    p = (1 + above(null)) / (1 + null.sum(axis=1, keepdims=True))
+    order = np.argsort(p, axis=None, kind="stable")
+    ranked, upto = p.ravel()[order], seen.ravel()[order].cumsum()
+    # equal p-values are taken together
+    last = np.append(ranked[1:] != ranked[:-1], True)
+    good = np.flatnonzero(last & (upto > 0) & (ranked <= rate * upto / max(1, seen.sum())))
+    if not len(good):
+        return {}
+    most = ranked[good[-1]]
+    return {g: int(np.flatnonzero(p[g] <= most)[0]) for g in range(len(p)) if p[g, -1] <= most and seen[g].sum()}
 
 
 def flagged(tested, cut: dict[int, int], base):
@@ -226,42 +232,34 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and has no spans; repeated rows and ids give a row each; an empty table gives an empty result. Other columns are
     not read.
     """
-    scanned = settle(scan(docs, id_col, text_col), "secrets")
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    scanned = settle(scan(narrow, "text").drop("text"), "secrets")
     new = flagged(F.col("tested"), cuts(scanned, rate), F.col("base"))
     return scanned.select("id", "base", F.sort_array(F.concat("base", new)).alias("spans"))
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]", rate: float = 0.01) -> DataFrame:
-    """``docs`` with every secret in the text replaced by ``mark``; other columns and all rows stay.
+    """``docs`` with every secret in the text replaced by ``mark``; other columns and all rows stay, whatever their names.
 
-    Overlapping spans are replaced as one. The texts are scanned again with the fitted cuts instead of being joined
-    with the spans, so they are never shuffled. ``length_col``, if there, is set to the new text's length.
+    Overlapping spans are replaced as one. The rows are written with what the one scan found beside their texts, so
+    these are neither scanned again nor shuffled. A null text stays null, and so does a null ``length_col``'s row if its
+    text has no secret; ``length_col``, if there, is set to the new text's length. Repeated rows and ids do not matter.
     """
-    cut = cuts(settle(scan(docs, id_col, text_col), "secrets"), rate)
-    at = docs.columns.index(text_col)
-
-    def clean(texts: list[str | None]) -> list[str | None]:
-        out = []
-        for t, tested in zip(texts, candidates([t or "" for t in texts])):
-            spans = [(s, e) for s, _, e in base_spans(t or "")] + [(s, e) for s, e, c in tested if c % BINS >= cut.get(c // BINS, BINS)]
-            parts, done = [], 0
-            for s, e in sorted(spans):
-                if s >= done:
-                    parts += [t[done:s], mark]
-                done = max(done, e)
-            out.append(t if not spans else "".join([*parts, t[done:]]))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, TOGETHER):
-                b = whole.slice(k, TOGETHER)
-                yield b.set_column(at, b.schema.field(at), pa.array(clean(b.column(at).to_pylist()), b.schema.field(at).type))
-
-    out = docs.mapInArrow(run, docs.schema)
+    base, tested, windows = unused(docs, "base", "tested", "ordinary")
+    scanned = settle(scan(docs, text_col, base, tested, windows), "secrets")
+    spans = F.sort_array(F.concat(F.col(base), flagged(F.col(tested), cuts(scanned, rate, tested, windows), F.col(base))))
+    text = F.col(text_col)
+    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc, s):
+        more = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
+        return F.struct(F.when(s["start"] < acc["at"], acc["out"]).otherwise(more).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    clean = F.transform(F.array(spans), lambda s: F.when(F.size(s) == 0, text).otherwise(F.aggregate(s, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))))[0]
+    out = scanned.withColumn(text_col, clean).drop(base, tested, windows)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return out
+    return out.select(*docs.columns)
 
 
 def spans_string(spans, kinds: tuple[str, ...] = KINDS):

@@ -360,3 +360,75 @@ def test_rules_keep_clashing_columns_apart(frame):
     docs = frame([(k, "plain words of a text " * 20 + str(k)) for k in range(30)]).withColumns({c: F.lit(c) for c in ("x0", "lang", "source", "all_rows", "base_failed", "d2", "n_words")})
     got = quality_rules.apply_rules(docs, keys=("x0", "all_rows"))
     assert got.columns == ["id", "lang", "source", *quality_rules.STATS, "base_failed", "d2", "kept"] and {r["lang"] for r in got.collect()} == {"x0"}
+
+
+def planted_secrets():
+    import base64
+
+    r = random.Random(9)
+    make = [
+        lambda: base64.b64encode(r.randbytes(30)).decode(), lambda: base64.urlsafe_b64encode(r.randbytes(32)).decode().rstrip("="), lambda: r.randbytes(20).hex().upper(),
+        lambda: base64.b32encode(r.randbytes(25)).decode(), lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)),
+    ]
+    return r, make
+
+
+def test_planted_random_tokens_in_documents_recall_and_precision(spark):
+    """Tokens without any key word, in one text out of ten of a table; and the flagged bins against a plain step-up rule."""
+    from lectern.llm.common import read_table
+
+    r, make = planted_secrets()
+    texts = [(x.doc_id, x.text or "") for x in read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
+    docs, want = [], set()
+    for k, t in texts:
+        if k % 10 == 3:
+            at = t.find(" ", len(t) // 2) + 1
+            token = r.choice(make)()
+            want.add((k, at, at + len(token)))
+            t = f"{t[:at]}{token} {t[at:]}"
+        docs.append((k, t))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(x.id, s.start, s.end) for x in secrets.find_secrets(table).collect() for s in x.spans if s.kind == 3}
+    assert len(found & want) >= 0.9 * len(want) and len(found - want) <= 0.1 * len(found)
+    assert {(k, s, e) for k, s, e in found} == {(k, s, e) for k, t in docs for s, e in plain_random(t, plain_cuts([t for _, t in docs]))}
+
+
+_CUTS = {}
+
+
+def plain_cuts(texts):
+    """{class: lowest flagged bin}, from all windows and tokens sorted by p-value one by one."""
+    key = len(texts), hash(tuple(texts))
+    if key not in _CUTS:
+        null, tokens = collections.defaultdict(list), []
+        for c, n in enumerate(secrets.ordinary(texts)):
+            null[c // secrets.BINS] += [c % secrets.BINS] * int(n)
+        null = {g: sorted(v) for g, v in null.items()}
+        import bisect
+
+        def p(g, b):
+            own = null.get(g, [])
+            return (1 + len(own) - bisect.bisect_left(own, b)) / (1 + len(own))
+
+        for row in secrets.candidates(texts):
+            tokens += [p(c // secrets.BINS, c % secrets.BINS) for _, _, c in row]
+        tokens.sort()
+        most = max((x for k, x in enumerate(tokens, 1) if x <= 0.01 * k / len(tokens)), default=-1.0)
+        classes = len(secrets.ENCODINGS) * len(secrets.CLASSES)
+        _CUTS[key] = {g: next((b for b in range(secrets.BINS) if p(g, b) <= most), secrets.BINS) for g in range(classes)}
+    return _CUTS[key]
+
+
+def plain_random(text, cut):
+    base = secret_spans(text)
+    return [(s, e) for s, e, c in secrets.candidates([text])[0] if c % secrets.BINS >= cut[c // secrets.BINS] and not any(b < e and s < f for b, _, f in base)]
+
+
+def test_secrets_redact_in_one_scan(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "token=abcdefgh1 x"), (1, "é AKIA" + "A1" * 8 + " token: 'abcdefghij'"), (None, None), (2, ""), (3, "none")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"base": F.lit(1), "tested": F.lit("t"), "ordinary": F.lit(2.5), "n_chars": F.lit(0)})
+    got = secrets.redact_secrets(d)
+    assert got.columns == d.columns and dict(got.dtypes)["tested"] == "string"
+    assert sorted((x.doc_id or 0, x.text or "", x.n_chars, x.tested) for x in got.collect()) == [(0, "", None, "t"), (1, "[SECRET] x", 10, "t"), (1, "é [SECRET] [SECRET]'", 20, "t"), (2, "", 0, "t"), (3, "none", 4, "t")]
