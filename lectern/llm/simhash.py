@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -12,34 +12,69 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import binary_text, fields, settle
+from lectern.functions.core import unused
+from lectern.llm.common import binary_text, fields, settle, slices
 from lectern.llm.components import connected_components
 
 #: Hashes whose bits are counted at once; bounds the memory of a very long text.
 BLOCK = 1 << 15
+#: Samples of a text's shingles, and shingles in each: at similarity 0.8 all six differ for one pair in 460.
+SAMPLES, SAMPLE = 6, 2
+#: Odd multipliers that order the shingles, one for each sample.
+ORDERS = [np.uint64(xxhash.xxh64_intdigest(f"order {k}") | 1) for k in range(SAMPLES)]
 
 
-def fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> int:
-    """SimHash of one text: a bit is set if it is set in over half the shingles' XXH64.
+SKETCH = fields(("id", T.LongType()), ("fp", T.LongType()), ("whole", T.LongType()), ("size", T.LongType()), ("keys", T.ArrayType(T.LongType())))
+
+
+def shingle_hashes(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """The XXH64 of a text's shingles, repeats included, in blocks.
 
     Words are split at ASCII white space after lower-casing A-Z; a text of fewer words than a shingle is one shingle,
-    a text without words (or null) has fingerprint 0.
+    a text without words (or null) has none.
     """
     words = (text or b"").lower().split()
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle_words:
-        return digest(b" ".join(words), seed)
-    n = len(words) - shingle_words + 1
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle_words))))
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, BLOCK):
-        part = np.fromiter((digest(g, seed) for g in islice(grams, BLOCK)), dtype="<u8")
+    if 0 < len(words) <= shingle_words:
+        yield np.array([digest(b" ".join(words), seed)], dtype="<u8")
+    elif words:
+        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle_words))))
+        while len(part := np.fromiter((digest(g, seed) for g in islice(grams, BLOCK)), dtype="<u8")):
+            yield part
+
+
+def fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> int:
+    """SimHash of one text: a bit is set if it is set in over half the shingles' hashes; 0 without shingles."""
+    return _fingerprint(shingle_hashes(text, shingle_words, seed))
+
+
+def _fingerprint(blocks: Iterable[np.ndarray]) -> int:
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for part in blocks:
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(part)
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
+def sketch(text: bytes | None, shingle_words: int) -> tuple[int, int, int, list[int]]:
+    """(fingerprint, identity of the set of shingles, its size, the samples' fingerprints) of one text.
+
+    A sample holds the SAMPLE shingles that come first in a pseudo-random order of its own, so that two texts have
+    equal samples with a chance that grows with their similarity: its square for two shingles.
+    """
+    blocks = list(shingle_hashes(text, shingle_words))
+    if not blocks:
+        return 0, 0, 0, []
+    distinct = np.unique(np.concatenate(blocks))
+    keys = []
+    for k, odd in enumerate(ORDERS):
+        mixed = distinct * odd
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= odd
+        keys.append(xxhash.xxh64_intdigest(np.sort(np.partition(mixed, SAMPLE - 1)[:SAMPLE] if len(mixed) > SAMPLE else mixed).tobytes(), k))
+    return _fingerprint(blocks), xxhash.xxh64_intdigest(distinct.tobytes(), 1), len(distinct), keys
+
+
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
     """(id, fp) for every row; fp is the unsigned fingerprint's bits as a long."""
 
@@ -73,6 +108,57 @@ def fingerprint_links(classes: DataFrame, radius: int = 2) -> DataFrame:
     return met.where(near).select(F.col("rep").alias("a"), F.col("lo.rep").alias("b"))
 
 
+def sample_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str, shingle_words: int, similar: float) -> DataFrame:
+    """Links (a, b) between ids whose sets of shingles have a Jaccard similarity of at least ``similar``.
+
+    Texts of equal sets are one class. Classes meet where a sample is equal, a ball of half radius 0, and once more where
+    two samples are: a passage that many texts share makes large meetings of the first kind, of which the second takes
+    out those that have more in common. All that meet are compared with two of them by their whole sets, so that pairs
+    are as many as meetings and never formed within a group. The two are drawn by a hash of id and meeting, others in
+    each of the many meetings that two similar texts have in common, so that one odd text does not part the rest. Only
+    the texts of candidates are read again.
+    """
+    classes = settle(sketches.where("id is not null and size > 0").groupBy("whole").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")), "classes")
+    twos = F.array(*[F.xxhash64(F.col("keys")[i], F.col("keys")[j]) for i in range(SAMPLES) for j in range(i)])
+    meeting = settle(classes.select("whole", "rep", "size", F.explode(F.concat("keys", twos)).alias("key")), "meeting")
+    one = F.struct(F.xxhash64("rep", "key").alias("by"), "rep", "whole", "size")
+    ends = settle(meeting.groupBy("key").agg(F.min(one).alias("first"), F.max(one).alias("last")).where("first < last"), "ends")
+    met = meeting.join(ends, "key").select("rep", "whole", "size", F.explode(F.array("first", "last")).alias("c"))
+    able = (F.col("whole") != F.col("c.whole")) & (F.least("size", "c.size") >= F.lit(similar) * F.greatest("size", "c.size"))
+    smaller, larger = F.least(F.struct("rep", "whole"), F.struct("c.rep", "c.whole")), F.greatest(F.struct("rep", "whole"), F.struct("c.rep", "c.whole"))
+    pairs = settle(met.where(able).select(smaller.alias("s"), larger.alias("l")).distinct().select("s.rep", "s.whole", F.col("l.rep").alias("rep2"), F.col("l.whole").alias("whole2")), "pairs")
+    return settle(_verified(docs, pairs, id_col, text_col, shingle_words, similar), "verified").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle_words: int, similar: float) -> DataFrame:
+    """The pairs (rep, whole, rep2, whole2) whose sets of shingles are similar; a set is read from a text with the rep's id."""
+    wanted = settle(pairs.select("rep", "whole").unionByName(pairs.select(F.col("rep2").alias("rep"), F.col("whole2").alias("whole"))).distinct(), "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(wanted.select("rep").distinct(), "rep", "left_semi")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(t.as_py(), shingle_words)])).tobytes() for t in binary_text(b, 1)]
+            wholes = np.array([xxhash.xxh64_intdigest(x, 1) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wholes), pa.array(sets, pa.binary())], names=["rep", "whole", "grams"])
+
+    grams = texts.mapInArrow(read, fields(("rep", T.LongType()), ("whole", T.LongType()), ("grams", T.BinaryType())))
+    sets = settle(grams.join(wanted, ["rep", "whole"], "left_semi").dropDuplicates(["whole"]).select("whole", "grams"), "sets")
+    other = sets.select(F.col("whole").alias("whole2"), F.col("grams").alias("grams2"))
+
+    names = pairs.columns
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            good = []
+            for x, y in zip(b.column(4), b.column(5)):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similar * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(b.columns[:4], names=names).filter(pa.array(good, pa.bool_()))
+
+    return pairs.join(sets, "whole").join(other, "whole2").select(*pairs.columns, "grams", "grams2").mapInArrow(check, pairs.schema)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 2) -> DataFrame:
     """One row (doc_id, fingerprint, component_id, n_links) for every row of ``docs``.
 
@@ -90,12 +176,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("n") - 1).alias("n_links"))
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its near-duplicate group.
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 2, similar: float = 0.8) -> DataFrame:
+    """(id, component) for every id that is in a group with another: the smallest id reachable.
+
+    Linked are texts whose fingerprints over shingles of ``shingle_words`` differ in at most ``radius`` bits, and those
+    whose sets of shingles have a Jaccard similarity of at least ``similar``: fingerprints of samples bring these
+    together, which lie far more than two bits apart as a whole. One pass computes all fingerprints. Null and empty
+    texts have fingerprint 0 and are one group; rows with a null id belong to none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            fp, whole, size, keys = zip(*(sketch(t.as_py(), shingle_words) for t in binary_text(b, 1)))
+            signed = lambda v: np.array(v, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed(fp)), pa.array(signed(whole)), pa.array(size, pa.int64()), pa.array([signed(k) for k in keys], pa.list_(pa.int64()))], names=SKETCH.names)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sketches = settle(rows.mapInArrow(run, SKETCH), "sketches")
+    prints = settle(sketches.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "prints")
+    whole = settle(sketches.where("id is not null").groupBy("fp", "whole").agg(F.min("id").alias("first")), "wholes")
+    # equal fingerprints, and fingerprints near each other; then similar sets
+    links = fingerprint_links(prints, radius).unionByName(whole.join(prints, "fp").where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")))
+    links = links.unionByName(sample_links(docs, sketches, id_col, text_col, shingle_words, similar))
+    groups = connected_components(links)
+    # a row's class is named by the smallest id with its set and fingerprint
+    named = whole.join(groups, F.col("first") == F.col("node"), "left").select("fp", "whole", F.coalesce("component", "first").alias("component"))
+    return sketches.where("id is not null").join(named, ["fp", "whole"]).groupBy("id").agg(F.min("component").alias("component"))
+
+
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 2, similar: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of its group of ``similar_groups``.
 
     Rows that share an id are one document and stay or go together; rows with a null id, which cannot be told apart,
     stay. The anti-join is on ids alone, so texts are shuffled only if the list of ids to drop is too large to send.
+    Other columns' names do not matter.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle_words, radius)
-    gone = settle(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    groups = similar_groups(docs, id_col, text_col, shingle_words, radius, similar)
+    (name,) = unused(docs, "gone")
+    gone = settle(groups.where("id <> component").select(F.col("id").alias(name)), "gone")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
