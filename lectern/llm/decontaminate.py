@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,25 +157,31 @@ def windows(begins: list[int], size: int, k: int) -> Iterator[tuple[int, int]]:
 def blocks(items: DataFrame, id_col: str, text_col: str, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about ``most`` characters at the most; one item is never split.
 
-    Only one block is on the driver at a time. Items without text or id are left out.
+    Only one block is on the driver at a time. Items without text are left out; an item's id may be null.
     """
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
+    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     total = rows.select(F.sum(F.length("t"))).first()[0] or 0
     n = -(-2 * total // most) if total > most else 1
     for k in range(n):
-        found = rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()
+        found = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
         if found:
             yield [(r["i"], r["t"]) for r in found]
 
 
-def finder(items: list[tuple[int, str]], rate: float) -> Callable[[], Finder]:
-    """Builds the finder once in each Python worker that needs it."""
-    made: list[Finder] = []
+_FINDERS: dict[str, Finder] = {}
+
+
+def finder(spark: SparkSession, items: list[tuple[int | None, str]], rate: float) -> Callable[[], Finder]:
+    """Builds the finder once in each Python worker that needs it, from a broadcast of at most BLOCK_CHARS characters."""
+    sent, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def get() -> Finder:
-        if not made:
-            made.append(Finder(items, rate))
-        return made[0]
+        from lectern.llm.decontaminate import _FINDERS as made
+
+        if key not in made:
+            made.clear()
+            made[key] = Finder(sent.value, rate)
+        return made[key]
 
     return get
 
@@ -184,13 +191,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     An item occurs if a stretch of the text is within ``rate`` of its length in edits, after lower-casing and with
     white space evened out; start and end are in code points of the original text, end exclusive. Null and empty texts
-    and items match nothing. Repeated rows are reported as often as they occur; repeated items likewise. Documents are
+    and items match nothing; an item without an id is reported with a null item_id. Repeated rows are reported as often as they occur; repeated items likewise. Documents are
     scanned once for each block of items and never shuffled; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
     for block in blocks(items, item_id_col, item_text_col):
-        get = finder(block, rate)
+        get = finder(docs.sparkSession, block, rate)
 
         def run(batches: Iterator[pa.RecordBatch], get: Callable[[], Finder] = get) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
@@ -207,7 +214,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     """The rows of ``docs``, all columns, whose text holds no item; rows with a null text stay. Nothing is shuffled."""
     at = docs.columns.index(text_col)
     for block in blocks(items, item_id_col, item_text_col):
-        get = finder(block, rate)
+        get = finder(docs.sparkSession, block, rate)
 
         def run(batches: Iterator[pa.RecordBatch], get: Callable[[], Finder] = get) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):

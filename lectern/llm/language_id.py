@@ -179,15 +179,18 @@ def spaced_windows(text: bytes, most: int, size: int) -> list[bytes]:
     return [text[i * size : (i + 1) * size].ljust(size, b"\0") for i in picks]
 
 
-def sample_windows(rows: DataFrame, most: int, size: int) -> tuple[np.ndarray, list, list[int]]:
-    """Spaced windows of rows (label, text), collected; returns windows, each one's label, and each one's row."""
+def sample_windows(rows: DataFrame, most: int, size: int, texts: int) -> tuple[np.ndarray, list, list[int]]:
+    """Spaced windows of at most ``texts`` rows (label, text), collected; returns windows, each one's label, and its row.
+
+    Windows are cut where the texts are; only these are gathered.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cut = [spaced_windows(t.as_py() or b"", most, size) for t in binary_text(b, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array([b"".join(c) for c in cut], pa.binary())], names=["label", "cut"])
 
-    found = rows.mapInArrow(run, fields(("label", T.StringType()), ("cut", T.BinaryType()))).collect()
+    found = rows.mapInArrow(run, fields(("label", T.StringType()), ("cut", T.BinaryType()))).limit(texts).collect()
     found.sort(key=lambda x: (x["label"], bytes(x["cut"])))
     sizes = [len(x["cut"]) // size for x in found]
     windows = np.frombuffer(b"".join(bytes(x["cut"]) for x in found), dtype=np.uint8).reshape(-1, size)
@@ -206,8 +209,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> Network
     if not counts:
         return None
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(SHARES, -(-SHARES * DOCS_PER_LANGUAGE // n))))])
-    sample = rows.where(share_of(F.col("i")) < F.element_at(share, F.col("label"))).limit(2 * DOCS_PER_LANGUAGE * len(counts))
-    windows, label, _ = sample_windows(sample.select("label", "text"), WINDOWS_PER_DOC, WINDOW)
+    sample = rows.where(share_of(F.col("i")) < F.element_at(share, F.col("label")))
+    windows, label, _ = sample_windows(sample.select("label", "text"), WINDOWS_PER_DOC, WINDOW, 2 * DOCS_PER_LANGUAGE * len(counts))
     labels = sorted(set(label))
     return train(windows, np.array([labels.index(x) for x in label]), labels)
 

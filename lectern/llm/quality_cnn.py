@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     # the sample's size is bounded above: a fixed bound for a broadcast
     rows = texts.join(F.broadcast(sample), "i").select(F.col("y").cast("string").alias("label"), "text")
-    chunks, label, owner = sample_windows(rows, CHUNKS_PER_DOC, CHUNK)
+    chunks, label, owner = sample_windows(rows, CHUNKS_PER_DOC, CHUNK, 4 * DOCS_PER_LABEL)
     return train(chunks, np.array(label).astype(int), np.array(owner)) if label else None
 
 
@@ -166,7 +166,10 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, net: Network | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that score at least ``threshold``; nothing is shuffled."""
+    """The rows of ``docs``, all columns, that score at least ``threshold``; nothing is shuffled.
+
+    A null text is scored as an empty one; repeated rows stay or go together; without a network all rows stay.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,8 +21,9 @@ DICT_MAGIC = (0x184D2A5D).to_bytes(4, "little")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads shorter than this are never revisits.
 LEAST_REVISIT = 100
-#: The dictionary's size, and the records that it is built from: evenly spaced ones of its archive, of so many bytes at most.
-DICT_BYTES, SAMPLE_BYTES = 64 << 10, 4 << 20
+#: The dictionary's size, and the bytes that it is built from: evenly spaced records of its archive, of each long one as
+#: many pieces, evenly spaced over the whole record, as PIECES.
+DICT_BYTES, SAMPLE_BYTES, PIECES, PIECE_BYTES = 64 << 10, 4 << 20, 4, 8 << 10
 #: Payload that an archive holds, about.
 ARCHIVE_BYTES = 64 << 20
 MANIFEST = fields(("path", T.StringType()), ("records", T.LongType()), ("bytes", T.LongType()))
@@ -51,10 +52,18 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def pieces(record: bytes) -> list[bytes]:
+    """A record, or evenly spaced pieces of a long one, from its first byte to its last."""
+    if len(record) <= PIECES * PIECE_BYTES:
+        return [record]
+    return [record[at : at + PIECE_BYTES] for k in range(PIECES) for at in [k * (len(record) - PIECE_BYTES) // (PIECES - 1)]]
+
+
 def dictionary(records: list[bytes]) -> zstd.ZstdCompressionDict:
     """A dictionary from records; of too few to train on, their own bytes are the dictionary."""
-    step = max(1, sum(map(len, records)) // SAMPLE_BYTES)
-    sample = [r[: 32 << 10] for r in records[::step]]
+    sizes = [min(len(r), PIECES * PIECE_BYTES) for r in records]
+    step = max(1, -(-sum(sizes) // SAMPLE_BYTES))
+    sample = [piece for r in records[::step] for piece in pieces(r)]
     try:
         return zstd.train_dictionary(DICT_BYTES, sample, k=256, d=8)
     except zstd.ZstdError:
@@ -120,7 +129,8 @@ def write_archives(pages: DataFrame, directory: str, id_col: str = "page_id", ur
         if chunk:
             yield pa.RecordBatch.from_pylist([flush()], schema=SCHEMA)
 
-    return settle(rows.repartition(parts, "page_id").mapInArrow(write, MANIFEST), "manifest")
+    # rows without an id, or with one that many have, are dealt by their payload too
+    return settle(rows.repartition(parts, "page_id", "digest").mapInArrow(write, MANIFEST), "manifest")
 
 
 SCHEMA = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])

@@ -412,3 +412,18 @@ def test_pipeline_stages(spark):
     assert {x.doc_id for x in rows} == left
     first_fit_check(rows)
     assert p.run(spark, SF).count() == len(rows)
+
+
+def test_items_without_an_id_are_searched_too(spark, frame):
+    items = spark.createDataFrame([(None, "the quick brown fox jumps"), (7, None)], "item_id long, text string")
+    docs = frame([(1, "see: The quick  brown fox jumps over"), (2, "nothing"), (None, None)])
+    assert [(x.doc_id, x.item_id, x.start, x.end) for x in decontaminate.find_leaks(docs, items).collect()] == [(1, None, 5, 31)]
+    assert sorted(x["doc_id"] or 0 for x in decontaminate.drop_leaks(docs, items).collect()) == [0, 2]
+    assert decontaminate.find_leaks(frame([]), items).count() == decontaminate.drop_leaks(frame([]), items).count() == 0
+
+
+def test_dictionary_samples_reach_the_end_of_long_records():
+    record = bytes(range(256)) * 4000
+    parts = warc.pieces(record)
+    assert len(parts) == warc.PIECES and parts[0] == record[: warc.PIECE_BYTES] and parts[-1] == record[-warc.PIECE_BYTES :]
+    assert warc.pieces(b"x" * 100) == [b"x" * 100]
