@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.sources.scratch import scratch_path as fresh_path
-from lectern.sources.scratch import settle  # noqa: F401
+from lectern.sources.scratch import WRITTEN, settle, sweep  # noqa: F401
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +20,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_settled(df: DataFrame) -> None:
-    """Deletes a table that ``settle`` wrote and that no later step reads."""
-    spark = df.sparkSession
-    paths = {f.rpartition("/")[0] for f in df.inputFiles()}
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        if "/lectern/" in p:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes the settled tables that a frame reads; no later step may read them."""
+    read = {f.rpartition("/")[0].removeprefix("file:").lstrip("/") for f in df.inputFiles()}
+    sweep(df.sparkSession, [p for p in WRITTEN if p.removeprefix("file:").lstrip("/") in read])
 
 
 def parts_for(df: DataFrame, each: int) -> int:

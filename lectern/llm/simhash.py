@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.core import unused
-from lectern.llm.common import binary_text, fields, settle, slices
+from lectern.llm.common import WRITTEN, binary_text, fields, settle, slices, sweep
 from lectern.llm.components import connected_components
 
 #: Hashes whose bits are counted at once; bounds the memory of a very long text.
 BLOCK = 1 << 15
 #: Samples of a text's shingles, and shingles in each: at similarity 0.8 all six differ for one pair in 460.
 SAMPLES, SAMPLE = 6, 2
+#: Bits that the fingerprints of similar texts may differ in: at similarity 0.8 a seventh of 64 does, give or take three.
+FAR = 24
 #: Odd multipliers that order the shingles, one for each sample.
 ORDERS = [np.uint64(xxhash.xxh64_intdigest(f"order {k}") | 1) for k in range(SAMPLES)]
 
@@ -100,39 +102,58 @@ def fingerprint_links(classes: DataFrame, radius: int = 2) -> DataFrame:
 
     Two values within the radius share a variant within half of it, so shuffling every fingerprint's ball on its
     variants brings each close pair together. All that meet at one variant lie in one ball (65 values at most), so a
-    link from each to the smallest there keeps every component; each link is verified by its bit count.
+    link from each to the smallest there keeps every component; each link is verified by its bit count. Only fingerprints
+    are shuffled by variant; ids are looked up for the few that are linked.
     """
-    variants = classes.select("fp", "rep", F.explode(ball("fp", (radius + 1) // 2)).alias("v"))
-    met = variants.withColumn("lo", F.min(F.struct("rep", "fp")).over(Window.partitionBy("v"))).where(F.col("rep") != F.col("lo.rep"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lo.fp"))) <= radius
-    return met.where(near).select(F.col("rep").alias("a"), F.col("lo.rep").alias("b"))
+    variants = classes.select("fp", F.explode(ball("fp", (radius + 1) // 2)).alias("v"))
+    met = variants.withColumn("lo", F.min("fp").over(Window.partitionBy("v"))).where(F.col("fp") != F.col("lo"))
+    near = settle(met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("lo"))) <= radius).select("fp", "lo").distinct(), "near")
+    reps = classes.select(F.col("fp").alias("of"), F.col("rep").alias("b"))
+    return near.join(classes.select("fp", F.col("rep").alias("a")), "fp").join(reps, F.col("lo") == F.col("of")).select("a", "b")
 
 
-def sample_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str, shingle_words: int, similar: float) -> DataFrame:
-    """Links (a, b) between ids whose sets of shingles have a Jaccard similarity of at least ``similar``.
+def sample_links(docs: DataFrame, sketches: DataFrame, known: DataFrame, id_col: str, text_col: str, shingle_words: int, similar: float) -> DataFrame:
+    """Links (a, b), ``known`` ones included, between ids whose sets of shingles are at least ``similar`` (Jaccard).
 
     Texts of equal sets are one class. Classes meet where a sample is equal, a ball of half radius 0, and once more where
     two samples are: a passage that many texts share makes large meetings of the first kind, of which the second takes
-    out those that have more in common. All that meet are compared with two of them by their whole sets, so that pairs
-    are as many as meetings and never formed within a group. The two are drawn by a hash of id and meeting, others in
-    each of the many meetings that two similar texts have in common, so that one odd text does not part the rest. Only
-    the texts of candidates are read again.
+    out those that have more in common. All that meet are compared with two of them (four in the second kind), so that
+    pairs are as many as meetings and never formed within a group. These are drawn by a pseudo-random order of the
+    meeting's own, others in each of the many meetings that two similar texts have in common, so that one odd text does
+    not part the rest.
+
+    Meetings over one sample come first; of the others only pairs are compared that no link joins yet. A comparison is
+    of whole sets; sizes, and fingerprints as wholes (FAR bits, beyond which similar sets practically never are), spare
+    most of the others. Only the texts of candidates are read again.
     """
-    classes = settle(sketches.where("id is not null and size > 0").groupBy("whole").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")), "classes")
+    classes = settle(sketches.where("id is not null and size > 0").groupBy("whole").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
     twos = F.array(*[F.xxhash64(F.col("keys")[i], F.col("keys")[j]) for i in range(SAMPLES) for j in range(i)])
-    meeting = settle(classes.select("whole", "rep", "size", F.explode(F.concat("keys", twos)).alias("key")), "meeting")
-    one = F.struct(F.xxhash64("rep", "key").alias("by"), "rep", "whole", "size")
-    ends = settle(meeting.groupBy("key").agg(F.min(one).alias("first"), F.max(one).alias("last")).where("first < last"), "ends")
-    met = meeting.join(ends, "key").select("rep", "whole", "size", F.explode(F.array("first", "last")).alias("c"))
-    able = (F.col("whole") != F.col("c.whole")) & (F.least("size", "c.size") >= F.lit(similar) * F.greatest("size", "c.size"))
-    smaller, larger = F.least(F.struct("rep", "whole"), F.struct("c.rep", "c.whole")), F.greatest(F.struct("rep", "whole"), F.struct("c.rep", "c.whole"))
-    pairs = settle(met.where(able).select(smaller.alias("s"), larger.alias("l")).distinct().select("s.rep", "s.whole", F.col("l.rep").alias("rep2"), F.col("l.whole").alias("whole2")), "pairs")
-    return settle(_verified(docs, pairs, id_col, text_col, shingle_words, similar), "verified").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    side = lambda n: classes.select(F.col("rep").alias(f"rep{n}"), F.col("whole").alias(f"whole{n}"), F.col("size").alias(f"size{n}"), F.col("fp").alias(f"fp{n}"))
+    links = known
+    for kind, keys, orders in (("one", F.col("keys"), 1), ("two", twos, 2)):
+        since = len(WRITTEN)
+        meeting = settle(classes.select("rep", F.explode(keys).alias("key")), "meeting")
+        mixed = [F.xxhash64("key", F.lit(k)) for k in range(orders)]
+        drawn = [(f"{f.__name__}{k}", m, f) for k, m in enumerate(mixed) for f in (F.min, F.max)]
+        ends = meeting.groupBy("key").agg(*[f(F.col("rep").bitwiseXOR(m)).alias(name) for name, m, f in drawn]).where("min0 < max0")
+        met = meeting.join(ends, "key").select("rep", F.explode(F.array(*[F.col(name).bitwiseXOR(m) for name, m, _ in drawn])).alias("c"))
+        pairs = settle(met.where("rep <> c").select(F.least("rep", "c").alias("rep1"), F.greatest("rep", "c").alias("rep2")).distinct(), "met")
+        if kind == "two":
+            groups = settle(connected_components(links), "groups")
+            for n in (1, 2):
+                pairs = pairs.join(groups.select(F.col("node").alias(f"rep{n}"), F.col("component").alias(f"group{n}")), f"rep{n}", "left")
+            pairs = pairs.where("group1 is null or group2 is null or group1 <> group2").select("rep1", "rep2")
+        able = (F.least("size1", "size2") >= F.lit(similar) * F.greatest("size1", "size2")) & (F.bit_count(F.col("fp1").bitwiseXOR(F.col("fp2"))) <= FAR)
+        able_pairs = settle(pairs.join(side(1), "rep1").join(side(2), "rep2").where(able).select("rep1", "whole1", "rep2", "whole2"), "pairs")
+        good = settle(_verified(docs, able_pairs, id_col, text_col, shingle_words, similar), "verified")
+        sweep(docs.sparkSession, WRITTEN[since:], good)
+        links = links.unionByName(good.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")))
+    return links
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle_words: int, similar: float) -> DataFrame:
-    """The pairs (rep, whole, rep2, whole2) whose sets of shingles are similar; a set is read from a text with the rep's id."""
-    wanted = settle(pairs.select("rep", "whole").unionByName(pairs.select(F.col("rep2").alias("rep"), F.col("whole2").alias("whole"))).distinct(), "wanted")
+    """The pairs (rep1, whole1, rep2, whole2) whose sets of shingles are similar; a set is read from a text with the rep's id."""
+    wanted = settle(pairs.select(F.col("rep1").alias("rep"), F.col("whole1").alias("whole")).unionByName(pairs.select(F.col("rep2").alias("rep"), F.col("whole2").alias("whole"))).distinct(), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(wanted.select("rep").distinct(), "rep", "left_semi")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +163,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shi
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wholes), pa.array(sets, pa.binary())], names=["rep", "whole", "grams"])
 
     grams = texts.mapInArrow(read, fields(("rep", T.LongType()), ("whole", T.LongType()), ("grams", T.BinaryType())))
+    # a set stands once, however many rows have its id
     sets = settle(grams.join(wanted, ["rep", "whole"], "left_semi").dropDuplicates(["whole"]).select("whole", "grams"), "sets")
-    other = sets.select(F.col("whole").alias("whole2"), F.col("grams").alias("grams2"))
-
+    side = lambda n: sets.select(F.col("whole").alias(f"whole{n}"), F.col("grams").alias(f"grams{n}"))
     names = pairs.columns
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +177,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shi
                 good.append(both >= similar * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(b.columns[:4], names=names).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(sets, "whole").join(other, "whole2").select(*pairs.columns, "grams", "grams2").mapInArrow(check, pairs.schema)
+    return pairs.join(side(1), "whole1").join(side(2), "whole2").select(*names, "grams1", "grams2").mapInArrow(check, pairs.schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 2) -> DataFrame:
@@ -168,10 +189,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a copy but names no component: if no row of its fingerprint has an id, its component_id is null. Other columns of
     ``docs`` are not read, whatever their names.
     """
+    since = len(WRITTEN)
     prints = settle(simhash(docs, id_col, text_col, shingle_words), "prints")
     classes = settle(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
     groups = connected_components(fingerprint_links(classes.where("rep is not null"), radius))
     named = settle(classes.join(groups, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id")), "named")
+    sweep(docs.sparkSession, WRITTEN[since:], prints, named)
     out = prints.join(named, "fp")
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("n") - 1).alias("n_links"))
 
@@ -197,8 +220,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = settle(sketches.where("id is not null").groupBy("fp", "whole").agg(F.min("id").alias("first")), "wholes")
     # equal fingerprints, and fingerprints near each other; then similar sets
     links = fingerprint_links(prints, radius).unionByName(whole.join(prints, "fp").where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")))
-    links = links.unionByName(sample_links(docs, sketches, id_col, text_col, shingle_words, similar))
-    groups = connected_components(links)
+    groups = connected_components(sample_links(docs, sketches, settle(links, "known"), id_col, text_col, shingle_words, similar))
     # a row's class is named by the smallest id with its set and fingerprint
     named = whole.join(groups, F.col("first") == F.col("node"), "left").select("fp", "whole", F.coalesce("component", "first").alias("component"))
     return sketches.where("id is not null").join(named, ["fp", "whole"]).groupBy("id").agg(F.min("component").alias("component"))
@@ -211,7 +233,8 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stay. The anti-join is on ids alone, so texts are shuffled only if the list of ids to drop is too large to send.
     Other columns' names do not matter.
     """
+    since, (name,) = len(WRITTEN), unused(docs, "gone")
     groups = similar_groups(docs, id_col, text_col, shingle_words, radius, similar)
-    (name,) = unused(docs, "gone")
     gone = settle(groups.where("id <> component").select(F.col("id").alias(name)), "gone")
+    sweep(docs.sparkSession, WRITTEN[since:], gone)
     return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
