@@ -24,6 +24,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
 
 
+#: Paths of the tables that this process has settled, in order.
+WRITTEN: list[str] = []
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
@@ -32,4 +36,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession, paths: list[str], *keep: DataFrame) -> None:
+    """Deletes settled tables but those that the plans of ``keep`` read."""
+    jvm, needed = spark.sparkContext._jvm, {f.rpartition("/")[0].removeprefix("file:").lstrip("/") for df in keep for f in df.inputFiles()}
+    for p in paths:
+        if p.removeprefix("file:").lstrip("/") not in needed:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            if p in WRITTEN:
+                WRITTEN.remove(p)
