@@ -76,7 +76,7 @@ def conf_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log's line of each conversation as a finished job."""
     i = F.col("job_id")
-    mode = F.when(i % 3 == 0, "auto-hires").when(i % 3 == 1, "gundam").otherwise("base")
+    mode = F.when(i % 3 == 0, "auto-hires").when(i % 3 == 1, "hires").otherwise("base")
     return totals(spark, sf_dir).select("job_id", Q.job_log(mode, F.col("pages"), F.col("tokens"), F.col("truncated"), (i % 5) * 0.25, F.when(i % 10 == 0, 422).otherwise(200), F.col("millis").cast("double")).alias("line"))
 
 
@@ -121,7 +121,7 @@ SQL = {
     "job_headers": f"WITH {TOTALS} SELECT job_id, 'X-Millis: ' || tokens || chr(10) || 'X-Pages: ' || pages || chr(10) || 'X-Tokens: ' || tokens || chr(10) || 'X-Truncated-Pages: ' || truncated AS headers FROM tt",
     "conf_header": f"""WITH {TRACE}, c AS (SELECT stream % 3 AS job_id, stream, floor(conf * 100 + 0.5)::BIGINT AS h FROM basic)
         SELECT job_id, count(*) AS n, CASE WHEN count(*) <= 40 THEN string_agg((h // 100) || '.' || lpad((h % 100)::VARCHAR, 2, '0'), ',' ORDER BY stream) END AS conf FROM c GROUP BY job_id""",
-    "job_log": f"""WITH {TOTALS} SELECT job_id, '[job] ' || CASE job_id % 3 WHEN 0 THEN 'auto-hires' WHEN 1 THEN 'gundam' ELSE 'base' END || ' pages=' || pages || ' tok=' || tokens || ' trunc=' || truncated
+    "job_log": f"""WITH {TOTALS} SELECT job_id, '[job] ' || CASE job_id % 3 WHEN 0 THEN 'auto-hires' WHEN 1 THEN 'hires' ELSE 'base' END || ' pages=' || pages || ' tok=' || tokens || ' trunc=' || truncated
         || ' conf=' || printf('%.2f', (job_id % 5) * 0.25::DOUBLE) || ' status=' || CASE WHEN job_id % 10 = 0 THEN 422 ELSE 200 END || ' ' || tokens || ' ms' AS line FROM tt""",
     "health_counters": """WITH e AS (SELECT hour(ts)::BIGINT AS hour, count_if(event_type = 'purchase') AS done, count_if(event_type = 'click') AS failed, count(*) AS seen FROM events GROUP BY 1)
         SELECT hour, sum(done) OVER w::BIGINT AS done, sum(failed) OVER w::BIGINT AS failed, greatest(0, sum(seen - 2 * done - 2 * failed) OVER w)::BIGINT AS queued FROM e WINDOW w AS (ORDER BY hour)""",

@@ -191,9 +191,9 @@ def test_file_sources_and_sinks(spark, tmp_path):
     a = got["a.txt"]
     assert (a["pages"], a["tokens"]) == (2, 31) and [[(b["type"], b["x0"], b["text"]) for b in p] for p in a["blocks"]] == [[("text", 1, "a <|det|> b")], [("title", 5, "c")]]
     assert got["b.txt"]["pages"] is None and got["b.txt"]["body"] is None
-    (tmp_path / "cache.json").write_text('{"d/3/base": {"text": "x", "conf": 0.5, "ntok": 7}, "d/3/gundam": {"text": "y", "risk": 0.1}}')
+    (tmp_path / "cache.json").write_text('{"d/3/base": {"text": "x", "conf": 0.5, "ntok": 7}, "d/3/hires": {"text": "y", "risk": 0.1}}')
     rows = {r["mode"]: r for r in files.read_eval_cache(spark, str(tmp_path / "cache.json")).collect()}
-    assert rows["base"]["page"] == 3 and rows["base"]["ntok"] == 7 and rows["gundam"]["conf"] is None and rows["gundam"]["risk"] == 0.1
+    assert rows["base"]["page"] == 3 and rows["base"]["ntok"] == 7 and rows["hires"]["conf"] is None and rows["hires"]["risk"] == 0.1
     (tmp_path / "f.bin").write_bytes(np.array([1.5, -2.0], "<f4").tobytes())
     assert files.read_f32(spark, str(tmp_path / "f.bin")).first()["values"] == [1.5, -2.0]
     (tmp_path / "d.pdf").write_bytes(b"%PDF-1.4\n<< /Type /Pages /Count 2 >> << /Type /Pages /Kids [] /Count  14 >>")
