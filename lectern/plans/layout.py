@@ -107,10 +107,14 @@ def manifest_scan(spark, sf_dir):
 
 
 def bpe_decode(spark, sf_dir):
-    """Turns as the ids of their bytes and an end token, decoded again through a byte-level vocabulary."""
-    ids = turns(spark, sf_dir).select((F.col("job_id") * 1000 + F.col("slot")).alias("page_id"), F.posexplode(F.concat(F.transform(F.filter(F.split(F.hex(F.encode("text", "UTF-8")), "(?<=\\G..)"), lambda h: h != ""), lambda h: F.conv(h, 16, 10).cast("int") + 2), F.array(F.lit(1)))).alias("pos", "tok"))
+    """Turns as the ids of their bytes and an end token, decoded again through a byte-level vocabulary.
+
+    A row is a page, whether or not another has its number.
+    """
+    pages = turns(spark, sf_dir).select((F.col("job_id") * 1000 + F.col("slot")).alias("page_id"), F.monotonically_increasing_id().alias("row"), "text")
+    ids = pages.select("page_id", "row", F.posexplode(F.concat(F.transform(F.filter(F.split(F.hex(F.encode("text", "UTF-8")), "(?<=\\G..)"), lambda h: h != ""), lambda h: F.conv(h, 16, 10).cast("int") + 2), F.array(F.lit(1)))).alias("pos", "tok"))
     vocabulary = spark.createDataFrame([(b + 2, c) for c, b in byte_characters().items()], "tok int, piece string")
-    return decode_ids(ids, vocabulary).select("page_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+    return decode_ids(ids, vocabulary, keys=("page_id", "row")).select("page_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 SIZES = "s AS (SELECT c_custkey AS page_id, (c_custkey * 37 % 1300 + 300)::DOUBLE AS pw, (c_custkey * 91 % 1300 + 300)::DOUBLE AS ph FROM customer)"

@@ -1,5 +1,7 @@
 """Hand-computed vectors for single operators, and properties that hold whatever the data."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import Row
@@ -13,6 +15,7 @@ from lectern.functions.edit import pseudo_cer, word_edit
 from lectern.operators import confidence as C
 from lectern.operators import evaluate as E
 from lectern.operators import jobs as J
+from lectern.plans import layout
 from lectern.sources import files
 
 
@@ -170,6 +173,22 @@ def test_bpe_decode_drops_unknown_ids_and_splits_characters(spark):
     assert {r["page_id"]: r["text"] for r in decode_ids(tokens, vocabulary).collect()} == {1: "a é", 2: ""}
 
 
+def test_bpe_decode_shuffles_tokens_once_and_keeps_equal_and_null_pages(spark, tmp_path):
+    vocabulary = spark.createDataFrame([(2, "a"), (3, "b"), (4, None)], "tok int, piece string")
+    tokens = spark.createDataFrame([(None, 1, 3), (None, 0, 2), (1, 0, 4), (1, 1, 3), (1, 2, None), (2, 0, 1)], "page_id long, pos int, tok int")
+    assert {r["page_id"]: r["text"] for r in decode_ids(tokens, vocabulary).collect()} == {None: "ab", 1: "b", 2: ""}
+    plan = decode_ids(tokens, vocabulary)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "ObjectHashAggregate" not in plan
+    mixed = spark.createDataFrame([(k % 2, 30000 - k, 2 + k // 2 % 2) for k in range(30000)], "page_id long, pos int, tok int").coalesce(1)  # pages and places in no order
+    assert {r["page_id"]: r["text"] for r in decode_ids(mixed, vocabulary).collect()} == {k: "".join("ab"[j // 2 % 2] for j in reversed(range(30000)) if j % 2 == k) for k in (0, 1)}
+    # a page of several batches, two turns of one number, and a turn without one
+    rows = [(1, 1, "u", "é𝄞 " * 9000), (1, 1, "u", "other"), (None, 2, "u", "x"), (2, 0, "u", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(str, map(tuple, layout.bpe_decode(spark, str(tmp_path)).collect())))
+    want = [(c and c * 1000 + n, len(t or ""), hashlib.md5((t or "").encode()).hexdigest()) for c, n, _, t in rows]
+    assert got == sorted(map(str, want))
+
+
 def test_manifest_and_safetensors(spark, tmp_path):
     import json
     import struct
