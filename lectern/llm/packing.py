@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,41 +129,49 @@ def slots(shapes: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int,
     return out
 
 
-def ranked(local: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """Adds ``rank``, a piece's place (from 0) among all of its length, and gives how many there are of each length.
+def tallies(local: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+    """Keys (task, length) in order, the pieces of that length in the tasks before each, and how many there are of each length.
 
-    A piece is numbered within its task already; the tasks' counts, summed over the tasks before, are joined on. No
-    group is gathered anywhere, and the pieces themselves are not sorted; the counts have a row a task and length.
+    A piece is numbered within its task already; with what the tasks before have it has a rank among all of its length.
+    No piece is moved for it. The driver gets a count for each length of each task, at most ``size`` numbers a task.
     """
-    counts = settle(local.groupBy("part", "length").count(), "counts")
-    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    before = settle(before.select("part", "length", F.coalesce("before", F.lit(0)).alias("before")), "before")
-    return local.join(before, ["part", "length"]).withColumn("rank", F.col("nth") + F.col("before")).drop("before"), total
+    found = local.groupBy("part", "length").count().toArrow()
+    part, length, n = (found.column(k).to_numpy().astype(np.int64) for k in range(3))
+    order = np.lexsort((part, length))
+    part, length, n = part[order], length[order], n[order]
+    lengths, first = np.unique(length, return_index=True)
+    ahead = np.cumsum(n) - n
+    before = ahead - np.repeat(ahead[first], np.diff([*first, len(n)]))
+    keys = part << 32 | length
+    order = np.argsort(keys)
+    return keys[order], before[order], {int(x): int(many) for x, many in zip(lengths, np.add.reduceat(n, first) if len(n) else [])}
 
 
 def pack(cut: DataFrame, kind: np.dtype, size: int = 2048) -> DataFrame:
     """``pieces`` with their places: (doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids).
 
     Sequences hold at most ``size`` ids, gapless from 0. ids_crc32 is that of the ids as unsigned 32-bit integers.
-    Only the histogram of lengths, ``size`` counts at most, reaches the driver; its plan goes out as runs of slots,
-    and pieces take theirs by their rank within their length. Pieces are written once, as numbers within a task must
+    Only counts by task and length reach the driver (see ``tallies``); they go out with the plan's runs of slots, and
+    pieces take theirs by their rank within their length, where they are: ids are neither shuffled nor sorted. Pieces are written once, as numbers within a task must
     not change. Ties are broken by the task and place of a piece; repeated rows, null ids and empty texts are pieces
     like others. An empty table gives an empty result.
     """
     local = settle(cut, "pieces")
-    rank, total = ranked(local)
+    parts, before, total = tallies(local)
     runs = sorted(slots(plan(total, size)))
     keys = np.array([r[0] << 44 | r[1] for r in runs], dtype=np.int64)
     values = np.array([r[1:] for r in runs], dtype=np.int64).reshape(-1, 5)
+    sent = local.sparkSession.sparkContext.broadcast((parts, before, keys, values))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            doc, piece, start, lengths, ids, ranks = b.columns
-            length, rank = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (lengths, ranks))
+        parts, before, keys, values = sent.value
+        for b in slices(batches, 2048):
+            doc, piece, start, lengths, ids, part, nth = b.columns
+            length, part, nth = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (lengths, part, nth))
+            rank = nth + before[np.searchsorted(parts, part << 32 | length)]
             first, _, sequence, each, offset = values[np.searchsorted(keys, length << 44 | rank, side="right") - 1].T
             at = rank - first
             sums = [zlib.crc32(np.frombuffer(x.as_buffer(), kind).astype("<u4").data) for x in ids]
             yield pa.RecordBatch.from_arrays([doc, piece, start, lengths, pa.array(sums, pa.int64()), pa.array(sequence + at // each), pa.array(offset + at % each * length), ids], names=PACKED.names)
 
-    return rank.select("doc_id", "piece", "start", "length", "ids", "rank").mapInArrow(place, PACKED)
+    return local.select("doc_id", "piece", "start", "length", "ids", "part", "nth").mapInArrow(place, PACKED)

@@ -264,6 +264,20 @@ def test_packing_null_and_repeated_ids_and_empty_table(frame):
     assert packing.pack(packing.pieces(frame([]), path), packing.id_type(path)).count() == 0
 
 
+def test_packing_moves_no_ids(spark, frame):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = frame([(k, "of " * (k % 7)) for k in range(400)]).repartition(9)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the counts were too large to send
+    try:
+        got = packing.pack(packing.pieces(docs, path), packing.id_type(path))
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = got.collect()
+    assert len(rows) == 400 and len({(x.sequence_id, x.offset) for x in rows}) == 400
+    first_fit_check(rows)
+
+
 def plain_best_fit(lengths, size):
     rooms = []
     for x in sorted(lengths, reverse=True):
