@@ -18,12 +18,10 @@ from lectern.llm.components import connected_components
 
 #: Hashes whose bits are counted at once; bounds the memory of a very long text.
 BLOCK = 1 << 15
-#: Samples of a text's shingles, and shingles in each: at similarity 0.8 all six differ for one pair in 460.
-SAMPLES, SAMPLE = 6, 2
-#: Bits that the fingerprints of similar texts may differ in: at similarity 0.8 a seventh of 64 does, give or take three.
-FAR = 24
-#: Odd multipliers that order the shingles, one for each sample.
-ORDERS = [np.uint64(xxhash.xxh64_intdigest(f"order {k}") | 1) for k in range(SAMPLES)]
+#: Counters of shingles by the highest bits of their hashes, and how many make one row.
+COUNTERS, ROW = 1 << 18, 1 << 12
+#: Odd multiplier that orders shingles of one level, and a mask that orders ids, both pseudo-random.
+ORDER, MASK = np.uint64(xxhash.xxh64_intdigest("order") | 1), xxhash.xxh64_intdigest("mask") >> 1
 
 
 SKETCH = fields(("id", T.LongType()), ("fp", T.LongType()), ("whole", T.LongType()), ("size", T.LongType()), ("keys", T.ArrayType(T.LongType())))
@@ -58,23 +56,50 @@ def _fingerprint(blocks: Iterable[np.ndarray]) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-def sketch(text: bytes | None, shingle_words: int) -> tuple[int, int, int, list[int]]:
-    """(fingerprint, identity of the set of shingles, its size, the samples' fingerprints) of one text.
+def levels_of(docs: DataFrame, text_col: str, shingle_words: int) -> np.ndarray:
+    """How far above the mean each counter of shingles is, as a logarithm: 0 for most, more for shingles of many texts.
 
-    A sample holds the SAMPLE shingles that come first in a pseudo-random order of its own, so that two texts have
-    equal samples with a chance that grows with their similarity: its square for two shingles.
+    A counter holds what any number of shingles have in common, so this only orders them; every text is counted.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for b in slices(batches):
+            parts = [h for t in binary_text(b, 0) for h in shingle_hashes(t.as_py(), shingle_words)]
+            if parts:
+                counts += np.bincount((np.concatenate(parts) >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
+        rows = counts.reshape(-1, ROW)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["at", "n"])
+
+    def add(part: pa.Table) -> pa.Table:
+        total = np.zeros(ROW, np.int64)
+        for x in part.column("n"):
+            total += np.frombuffer(x.as_buffer(), np.int64)
+        return pa.table({"at": part.column("at").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+
+    kind = fields(("at", T.IntegerType()), ("n", T.BinaryType()))
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, kind).groupBy("at").applyInArrow(add, kind).collect()
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in found:
+        counts[r["at"] * ROW : (r["at"] + 1) * ROW] = np.frombuffer(bytes(r["n"]), np.int64)
+    mean = counts.mean()
+    return np.log2(1 + np.maximum(0, counts - mean) / (6 * np.sqrt(mean) + 16)).astype(np.uint8)
+
+
+def sketch(text: bytes | None, shingle_words: int, similar: float, levels: np.ndarray) -> tuple[int, int, int, list[int]]:
+    """(fingerprint, identity of the set of shingles, its size, its first shingles) of one text.
+
+    All sets have their shingles in one order, by level, then pseudo-random. Of n the first n - similar * n + 1 are
+    given: two sets that have none of these in common have less than similar * n of the larger in common.
     """
     blocks = list(shingle_hashes(text, shingle_words))
     if not blocks:
         return 0, 0, 0, []
     distinct = np.unique(np.concatenate(blocks))
-    keys = []
-    for k, odd in enumerate(ORDERS):
-        mixed = distinct * odd
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= odd
-        keys.append(xxhash.xxh64_intdigest(np.sort(np.partition(mixed, SAMPLE - 1)[:SAMPLE] if len(mixed) > SAMPLE else mixed).tobytes(), k))
-    return _fingerprint(blocks), xxhash.xxh64_intdigest(distinct.tobytes(), 1), len(distinct), keys
+    n = len(distinct)
+    order = np.lexsort((distinct * ORDER, levels[(distinct >> np.uint64(46)).astype(np.int64)]))
+    keys = distinct[order[: n - int(np.ceil(similar * n - 1e-9)) + 1]]
+    return _fingerprint(blocks), xxhash.xxh64_intdigest(distinct.tobytes(), 1), n, keys.tolist()
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
@@ -112,42 +137,44 @@ def fingerprint_links(classes: DataFrame, radius: int = 2) -> DataFrame:
     return near.join(classes.select("fp", F.col("rep").alias("a")), "fp").join(reps, F.col("lo") == F.col("of")).select("a", "b")
 
 
-def sample_links(docs: DataFrame, sketches: DataFrame, known: DataFrame, id_col: str, text_col: str, shingle_words: int, similar: float) -> DataFrame:
-    """Links (a, b), ``known`` ones included, between ids whose sets of shingles are at least ``similar`` (Jaccard).
+def similar_links(docs: DataFrame, sketches: DataFrame, known: DataFrame, id_col: str, text_col: str, shingle_words: int, similar: float) -> DataFrame:
+    """Links (a, b), ``known`` ones included, that join all ids whose sets of shingles are at least ``similar`` (Jaccard).
 
-    Texts of equal sets are one class. Classes meet where a sample is equal, a ball of half radius 0, and once more where
-    two samples are: a passage that many texts share makes large meetings of the first kind, of which the second takes
-    out those that have more in common. All that meet are compared with two of them (four in the second kind), so that
-    pairs are as many as meetings and never formed within a group. These are drawn by a pseudo-random order of the
-    meeting's own, others in each of the many meetings that two similar texts have in common, so that one odd text does
-    not part the rest.
-
-    Meetings over one sample come first; of the others only pairs are compared that no link joins yet. A comparison is
-    of whole sets; sizes, and fingerprints as wholes (FAR bits, beyond which similar sets practically never are), spare
-    most of the others. Only the texts of candidates are read again.
+    Texts of equal sets are one class. Classes meet at each of their first shingles (see ``sketch``), where any two
+    similar ones do. Of a meeting all are first compared with two of them, the first by id and the first by another
+    order of ids. Then all pairs of a meeting that no link joins yet are compared, none left out but those whose sizes
+    and places of the shingle show that they are less similar: links inside a component add nothing to it. Shingles of
+    many texts come last in the order, so that a passage brings together only texts that hold little else. A comparison
+    is of whole sets; only the texts of candidates are read again.
     """
-    classes = settle(sketches.where("id is not null and size > 0").groupBy("whole").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
-    twos = F.array(*[F.xxhash64(F.col("keys")[i], F.col("keys")[j]) for i in range(SAMPLES) for j in range(i)])
-    side = lambda n: classes.select(F.col("rep").alias(f"rep{n}"), F.col("whole").alias(f"whole{n}"), F.col("size").alias(f"size{n}"), F.col("fp").alias(f"fp{n}"))
-    links = known
-    for kind, keys, orders in (("one", F.col("keys"), 1), ("two", twos, 2)):
-        since = len(WRITTEN)
-        meeting = settle(classes.select("rep", F.explode(keys).alias("key")), "meeting")
-        mixed = [F.xxhash64("key", F.lit(k)) for k in range(orders)]
-        drawn = [(f"{f.__name__}{k}", m, f) for k, m in enumerate(mixed) for f in (F.min, F.max)]
-        ends = meeting.groupBy("key").agg(*[f(F.col("rep").bitwiseXOR(m)).alias(name) for name, m, f in drawn]).where("min0 < max0")
-        met = meeting.join(ends, "key").select("rep", F.explode(F.array(*[F.col(name).bitwiseXOR(m) for name, m, _ in drawn])).alias("c"))
-        pairs = settle(met.where("rep <> c").select(F.least("rep", "c").alias("rep1"), F.greatest("rep", "c").alias("rep2")).distinct(), "met")
-        if kind == "two":
+    classes = settle(sketches.where("id is not null and size > 0").groupBy("whole").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")), "classes")
+    side = lambda n: classes.select(F.col("rep").alias(f"rep{n}"), F.col("whole").alias(f"whole{n}"), F.col("size").alias(f"size{n}"))
+    near = F.least("size1", "size2") >= F.lit(similar) * F.greatest("size1", "size2") - 1e-6
+    since = len(WRITTEN)
+    meeting = settle(classes.select("rep", "size", F.posexplode("keys").alias("at", "key")), "meeting")
+    drawn = meeting.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min(F.col("rep").bitwiseXOR(F.lit(MASK))).alias("other")).where("lo < hi")
+    met = settle(meeting.join(drawn, "key").select("key", "rep", "size", "at", "lo", F.col("other").bitwiseXOR(F.lit(MASK)).alias("other")), "met")
+    links, compared = known, None
+    for kind in ("some", "rest"):
+        if kind == "some":
+            ends = met.select("rep", F.explode(F.array("lo", "other")).alias("c")).where("rep <> c")
+            pairs = ends.select(F.least("rep", "c").alias("rep1"), F.greatest("rep", "c").alias("rep2")).distinct()
+        else:
             groups = settle(connected_components(links), "groups")
-            for n in (1, 2):
-                pairs = pairs.join(groups.select(F.col("node").alias(f"rep{n}"), F.col("component").alias(f"group{n}")), f"rep{n}", "left")
-            pairs = pairs.where("group1 is null or group2 is null or group1 <> group2").select("rep1", "rep2")
-        able = (F.least("size1", "size2") >= F.lit(similar) * F.greatest("size1", "size2")) & (F.bit_count(F.col("fp1").bitwiseXOR(F.col("fp2"))) <= FAR)
-        able_pairs = settle(pairs.join(side(1), "rep1").join(side(2), "rep2").where(able).select("rep1", "whole1", "rep2", "whole2"), "pairs")
-        good = settle(_verified(docs, able_pairs, id_col, text_col, shingle_words, similar), "verified")
-        sweep(docs.sparkSession, WRITTEN[since:], good)
+            placed = met.join(groups, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", "at", F.coalesce("component", "rep").alias("group"))
+            open_keys = placed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
+            rest = settle(placed.join(open_keys, "key", "left_semi"), "rest")
+            one, two = (rest.select("key", *[F.col(c).alias(f"{c}{n}") for c in ("rep", "size", "at", "group")]) for n in (1, 2))
+            # the sets share at most this shingle and those after it, if it is the first that they share
+            most = 1 + F.least(F.col("size1") - F.col("at1"), F.col("size2") - F.col("at2")) - 1
+            enough = most * (1 + similar) >= F.lit(similar) * (F.col("size1") + F.col("size2")) - 1e-6
+            found = one.join(two, "key").where((F.col("rep1") < F.col("rep2")) & (F.col("group1") != F.col("group2")) & near & enough)
+            pairs = found.select("rep1", "rep2").distinct().join(compared, ["rep1", "rep2"], "left_anti")
+        able = settle(pairs.join(side(1), "rep1").join(side(2), "rep2").where(near).select("rep1", "whole1", "rep2", "whole2"), "pairs")
+        compared = able.select("rep1", "rep2")
+        good = settle(_verified(docs, able, id_col, text_col, shingle_words, similar), "verified")
         links = links.unionByName(good.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")))
+    sweep(docs.sparkSession, WRITTEN[since:], links)
     return links
 
 
@@ -203,14 +230,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, component) for every id that is in a group with another: the smallest id reachable.
 
     Linked are texts whose fingerprints over shingles of ``shingle_words`` differ in at most ``radius`` bits, and those
-    whose sets of shingles have a Jaccard similarity of at least ``similar``: fingerprints of samples bring these
-    together, which lie far more than two bits apart as a whole. One pass computes all fingerprints. Null and empty
-    texts have fingerprint 0 and are one group; rows with a null id belong to none.
+    whose sets of shingles have a Jaccard similarity of at least ``similar``, which lie far more than two bits apart;
+    none are missed. One pass counts shingles, another computes fingerprints and first shingles. Null and empty texts
+    have fingerprint 0 and are one group; rows with a null id belong to none.
     """
+    levels = docs.sparkSession.sparkContext.broadcast(levels_of(docs, text_col, shingle_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fp, whole, size, keys = zip(*(sketch(t.as_py(), shingle_words) for t in binary_text(b, 1)))
+            fp, whole, size, keys = zip(*(sketch(t.as_py(), shingle_words, similar, levels.value) for t in binary_text(b, 1)))
             signed = lambda v: np.array(v, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed(fp)), pa.array(signed(whole)), pa.array(size, pa.int64()), pa.array([signed(k) for k in keys], pa.list_(pa.int64()))], names=SKETCH.names)
 
@@ -220,7 +248,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = settle(sketches.where("id is not null").groupBy("fp", "whole").agg(F.min("id").alias("first")), "wholes")
     # equal fingerprints, and fingerprints near each other; then similar sets
     links = fingerprint_links(prints, radius).unionByName(whole.join(prints, "fp").where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")))
-    groups = connected_components(sample_links(docs, sketches, settle(links, "known"), id_col, text_col, shingle_words, similar))
+    groups = connected_components(similar_links(docs, sketches, settle(links, "known"), id_col, text_col, shingle_words, similar))
     # a row's class is named by the smallest id with its set and fingerprint
     named = whole.join(groups, F.col("first") == F.col("node"), "left").select("fp", "whole", F.coalesce("component", "first").alias("component"))
     return sketches.where("id is not null").join(named, ["fp", "whole"]).groupBy("id").agg(F.min("component").alias("component"))

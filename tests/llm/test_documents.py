@@ -94,6 +94,21 @@ def test_near_copies_match_brute_force(spark, frame):
     assert simhash.keep_one_each(frame([])).count() == 0
 
 
+def test_no_pair_at_the_threshold_is_missed(frame):
+    r = random.Random(5)
+    texts = {}
+    for k in range(1500):  # 16 of 20 shingles in common
+        words = [f"{r.randrange(10**6)}" for _ in range(22)]
+        texts |= {2 * k: " ".join(words), 2 * k + 1: " ".join([*words[:20], "other", "end"])}
+    # many meet at a passage, only pairs of which are similar, and the first by id is like none
+    passage = [f"p{k}" for k in range(40)]
+    for k in range(40):
+        own = [f"{r.randrange(10**6)}" for _ in range(20)]
+        texts |= {10000 + 2 * k: " ".join(passage + own), 10001 + 2 * k: " ".join([*passage, *own[:18], "x", "y"])}
+    kept = {x["doc_id"] for x in simhash.keep_one_each(frame([*texts.items(), (9999, " ".join(passage))])).collect()}
+    assert kept == {k for k in texts if k % 2 == 0} | {9999}
+
+
 def test_fingerprint_of_long_texts_counts_every_shingle(monkeypatch):
     r = random.Random(13)
     text = " ".join(f"{k}x{r.randrange(10**6)}" for k in range(110000))
