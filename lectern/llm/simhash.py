@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.core import unused
-from lectern.llm.common import WRITTEN, binary_text, fields, settle, slices, sweep
+from lectern.llm.common import WRITTEN, binary_text, drop_settled, fields, settle, slices, sweep
 from lectern.llm.components import connected_components
 
 #: Hashes whose bits are counted at once; bounds the memory of a very long text.
@@ -24,7 +24,8 @@ COUNTERS, ROW = 1 << 18, 1 << 12
 ORDER, MASK = np.uint64(xxhash.xxh64_intdigest("order") | 1), xxhash.xxh64_intdigest("mask") >> 1
 
 
-SKETCH = fields(("id", T.LongType()), ("fp", T.LongType()), ("whole", T.LongType()), ("size", T.LongType()), ("keys", T.ArrayType(T.LongType())))
+SKETCH = fields(("id", T.LongType()), ("fp", T.LongType()), ("whole", T.LongType()), ("size", T.LongType()), ("odd", T.BinaryType()), ("keys", T.ArrayType(T.LongType())))
+PAIR = fields(("rep1", T.LongType()), ("whole1", T.LongType()), ("rep2", T.LongType()), ("whole2", T.LongType()))
 
 
 def shingle_hashes(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
@@ -86,20 +87,35 @@ def levels_of(docs: DataFrame, text_col: str, shingle_words: int) -> np.ndarray:
     return np.log2(1 + np.maximum(0, counts - mean) / (6 * np.sqrt(mean) + 16)).astype(np.uint8)
 
 
-def sketch(text: bytes | None, shingle_words: int, similar: float, levels: np.ndarray) -> tuple[int, int, int, list[int]]:
-    """(fingerprint, identity of the set of shingles, its size, its first shingles) of one text.
+def sketch(text: bytes | None, shingle_words: int, similar: float, levels: np.ndarray) -> tuple[int, int, int, bytes, list[int]]:
+    """(fingerprint, identity of the set of shingles, its size, its parities, its first shingles) of one text.
 
     All sets have their shingles in one order, by level, then pseudo-random. Of n the first n - similar * n + 1 are
     given: two sets that have none of these in common have less than similar * n of the larger in common.
     """
     blocks = list(shingle_hashes(text, shingle_words))
     if not blocks:
-        return 0, 0, 0, []
+        return 0, 0, 0, b"", []
     distinct = np.unique(np.concatenate(blocks))
     n = len(distinct)
     order = np.lexsort((distinct * ORDER, levels[(distinct >> np.uint64(46)).astype(np.int64)]))
     keys = distinct[order[: n - int(np.ceil(similar * n - 1e-9)) + 1]]
-    return _fingerprint(blocks), xxhash.xxh64_intdigest(distinct.tobytes(), 1), n, keys.tolist()
+    return _fingerprint(blocks), xxhash.xxh64_intdigest(distinct.tobytes(), 1), n, parities(distinct), keys.tolist()
+
+
+def parities(distinct: np.ndarray) -> bytes:
+    """Whether an odd number of a set's hashes end in each of the numbers of so many bits, one or two bits a hash."""
+    width = max(6, len(distinct).bit_length())
+    many = np.bincount((distinct & np.uint64((1 << width) - 1)).astype(np.int64), minlength=1 << width)
+    return np.packbits(many & 1, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """How many parities of two sets differ, which is no more than the hashes that only one of them has."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):  # to endings of one bit less
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
@@ -137,23 +153,28 @@ def fingerprint_links(classes: DataFrame, radius: int = 2) -> DataFrame:
     return near.join(classes.select("fp", F.col("rep").alias("a")), "fp").join(reps, F.col("lo") == F.col("of")).select("a", "b")
 
 
-def similar_links(docs: DataFrame, sketches: DataFrame, known: DataFrame, id_col: str, text_col: str, shingle_words: int, similar: float) -> DataFrame:
+def similar_links(docs: DataFrame, keyed: DataFrame, known: DataFrame, id_col: str, text_col: str, shingle_words: int, similar: float) -> DataFrame:
     """Links (a, b), ``known`` ones included, that join all ids whose sets of shingles are at least ``similar`` (Jaccard).
 
-    Texts of equal sets are one class. Classes meet at each of their first shingles (see ``sketch``), where any two
-    similar ones do. Of a meeting all are first compared with two of them, the first by id and the first by another
-    order of ids. Then all pairs of a meeting that no link joins yet are compared, none left out but those whose sizes
-    and places of the shingle show that they are less similar: links inside a component add nothing to it. Shingles of
-    many texts come last in the order, so that a passage brings together only texts that hold little else. A comparison
-    is of whole sets; only the texts of candidates are read again.
+    ``keyed``: a settled row (rep, whole, size, odd, keys) for each set, deleted when its shingles have met. Sets meet at
+    each of their first shingles (see ``sketch``), where any two similar ones do. Of a meeting all are first compared with
+    two of them, the first by id and the first by another order of ids. Then all pairs of a meeting that no link joins yet
+    are compared, none left out but those whose sizes and places of the shingle show that they are less similar: links
+    inside a component add nothing to it. Shingles of many texts come last in the order, so that a passage brings together
+    only texts that hold little else. A comparison is first of parities, which are small and rule out most; what they leave
+    is compared by whole sets, for which only the texts of those pairs are read again.
     """
-    classes = settle(sketches.where("id is not null and size > 0").groupBy("whole").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")), "classes")
-    side = lambda n: classes.select(F.col("rep").alias(f"rep{n}"), F.col("whole").alias(f"whole{n}"), F.col("size").alias(f"size{n}"))
+    classes = settle(keyed.drop("keys"), "classes")
+    side = lambda n: classes.select(F.col("rep").alias(f"rep{n}"), F.col("whole").alias(f"whole{n}"), F.col("size").alias(f"size{n}"), F.col("odd").alias(f"odd{n}"))
     near = F.least("size1", "size2") >= F.lit(similar) * F.greatest("size1", "size2") - 1e-6
-    since = len(WRITTEN)
-    meeting = settle(classes.select("rep", "size", F.posexplode("keys").alias("at", "key")), "meeting")
-    drawn = meeting.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min(F.col("rep").bitwiseXOR(F.lit(MASK))).alias("other")).where("lo < hi")
-    met = settle(meeting.join(drawn, "key").select("key", "rep", "size", "at", "lo", F.col("other").bitwiseXOR(F.lit(MASK)).alias("other")), "met")
+    held = set(WRITTEN)
+    # taken apart twice rather than written: a written table of all first shingles is as large as the texts
+    meeting = keyed.select("rep", "size", F.posexplode("keys").alias("at", "key"))
+    ends = meeting.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min(F.col("rep").bitwiseXOR(F.lit(MASK))).alias("other")).where("lo < hi")
+    drawn = settle(ends.select("key", "lo", F.col("other").bitwiseXOR(F.lit(MASK)).alias("other")), "drawn")
+    met = settle(meeting.join(drawn, "key").select("key", "rep", "size", "at", "lo", "other"), "met")
+    drop_settled(keyed)
+    drop_settled(drawn)
     links, compared = known, None
     for kind in ("some", "rest"):
         if kind == "some":
@@ -164,24 +185,43 @@ def similar_links(docs: DataFrame, sketches: DataFrame, known: DataFrame, id_col
             placed = met.join(groups, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", "at", F.coalesce("component", "rep").alias("group"))
             open_keys = placed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
             rest = settle(placed.join(open_keys, "key", "left_semi"), "rest")
+            drop_settled(met)
             one, two = (rest.select("key", *[F.col(c).alias(f"{c}{n}") for c in ("rep", "size", "at", "group")]) for n in (1, 2))
             # the sets share at most this shingle and those after it, if it is the first that they share
             most = 1 + F.least(F.col("size1") - F.col("at1"), F.col("size2") - F.col("at2")) - 1
             enough = most * (1 + similar) >= F.lit(similar) * (F.col("size1") + F.col("size2")) - 1e-6
             found = one.join(two, "key").where((F.col("rep1") < F.col("rep2")) & (F.col("group1") != F.col("group2")) & near & enough)
             pairs = found.select("rep1", "rep2").distinct().join(compared, ["rep1", "rep2"], "left_anti")
-        able = settle(pairs.join(side(1), "rep1").join(side(2), "rep2").where(near).select("rep1", "whole1", "rep2", "whole2"), "pairs")
-        compared = able.select("rep1", "rep2")
+        drawn = settle(pairs, "pairs")
+        if kind == "rest":
+            drop_settled(rest)
+        compared = drawn
+        able = settle(_able(drawn.join(side(1), "rep1").join(side(2), "rep2").where(near), similar), "able")
         good = settle(_verified(docs, able, id_col, text_col, shingle_words, similar), "verified")
         links = links.unionByName(good.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")))
-    sweep(docs.sparkSession, WRITTEN[since:], links)
+    sweep(docs.sparkSession, [p for p in WRITTEN if p not in held], links)
     return links
 
 
+def _able(pairs: DataFrame, similar: float) -> DataFrame:
+    """(rep1, whole1, rep2, whole2) of the pairs with parities that do not rule out similar sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            # sets of a and b hashes, d of them in one only, are (a + b - d) / (a + b + d) similar
+            most = (b.column(4).to_numpy() + b.column(5).to_numpy()) * (1 - similar) / (1 + similar) + 1e-6
+            d = [apart(x.as_py(), y.as_py()) for x, y in zip(b.column(6), b.column(7))]
+            yield pa.RecordBatch.from_arrays(b.columns[:4], names=PAIR.names).filter(pa.array(np.array(d) <= most))
+
+    return pairs.select(*PAIR.names, "size1", "size2", "odd1", "odd2").mapInArrow(run, PAIR)
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle_words: int, similar: float) -> DataFrame:
     """The pairs (rep1, whole1, rep2, whole2) whose sets of shingles are similar; a set is read from a text with the rep's id."""
-    wanted = settle(pairs.select(F.col("rep1").alias("rep"), F.col("whole1").alias("whole")).unionByName(pairs.select(F.col("rep2").alias("rep"), F.col("whole2").alias("whole"))).distinct(), "wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(wanted.select("rep").distinct(), "rep", "left_semi")
+    wanted = settle(pairs.select(F.explode(F.array("rep1", "rep2")).alias("rep")).distinct(), "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(wanted, "rep", "left_semi")
+    # a text stands once, however many rows have its id: dealt by id as it is, it need not be moved for that, nor need its set
+    texts = texts.withColumn("hash", F.xxhash64("text")).dropDuplicates(["rep", "hash"]).select("rep", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -190,9 +230,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shi
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(wholes), pa.array(sets, pa.binary())], names=["rep", "whole", "grams"])
 
     grams = texts.mapInArrow(read, fields(("rep", T.LongType()), ("whole", T.LongType()), ("grams", T.BinaryType())))
-    # a set stands once, however many rows have its id
-    sets = settle(grams.join(wanted, ["rep", "whole"], "left_semi").dropDuplicates(["whole"]).select("whole", "grams"), "sets")
-    side = lambda n: sets.select(F.col("whole").alias(f"whole{n}"), F.col("grams").alias(f"grams{n}"))
+    # of an id with several texts all sets are here; only those asked for find a pair
+    sets = settle(grams, "sets")
+    side = lambda n: sets.select(*[F.col(c).alias(f"{c}{n}") for c in sets.columns])
     names = pairs.columns
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +244,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shi
                 good.append(both >= similar * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(b.columns[:4], names=names).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(side(1), "whole1").join(side(2), "whole2").select(*names, "grams1", "grams2").mapInArrow(check, pairs.schema)
+    return pairs.join(side(1), ["rep1", "whole1"]).join(side(2), ["rep2", "whole2"]).select(*names, "grams1", "grams2").mapInArrow(check, pairs.schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 2) -> DataFrame:
@@ -238,20 +278,24 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fp, whole, size, keys = zip(*(sketch(t.as_py(), shingle_words, similar, levels.value) for t in binary_text(b, 1)))
+            fp, whole, size, odd, keys = zip(*(sketch(t.as_py(), shingle_words, similar, levels.value) for t in binary_text(b, 1)))
             signed = lambda v: np.array(v, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed(fp)), pa.array(signed(whole)), pa.array(size, pa.int64()), pa.array([signed(k) for k in keys], pa.list_(pa.int64()))], names=SKETCH.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed(fp)), pa.array(signed(whole)), pa.array(size, pa.int64()), pa.array(odd, pa.binary()), pa.array([signed(k) for k in keys], pa.list_(pa.int64()))], names=SKETCH.names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = settle(rows.mapInArrow(run, SKETCH), "sketches")
-    prints = settle(sketches.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "prints")
-    whole = settle(sketches.where("id is not null").groupBy("fp", "whole").agg(F.min("id").alias("first")), "wholes")
+    placed = settle(sketches.where("id is not null").select("id", "fp", "whole"), "placed")
+    firsts = [F.first(c).alias(c) for c in ("size", "odd", "keys")]
+    keyed = settle(sketches.where("id is not null and size > 0").groupBy("whole").agg(F.min("id").alias("rep"), *firsts), "keyed")
+    drop_settled(sketches)
+    prints = settle(placed.groupBy("fp").agg(F.min("id").alias("rep")), "prints")
+    whole = settle(placed.groupBy("fp", "whole").agg(F.min("id").alias("first")), "wholes")
     # equal fingerprints, and fingerprints near each other; then similar sets
     links = fingerprint_links(prints, radius).unionByName(whole.join(prints, "fp").where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")))
-    groups = connected_components(similar_links(docs, sketches, settle(links, "known"), id_col, text_col, shingle_words, similar))
+    groups = connected_components(similar_links(docs, keyed, settle(links, "known"), id_col, text_col, shingle_words, similar))
     # a row's class is named by the smallest id with its set and fingerprint
     named = whole.join(groups, F.col("first") == F.col("node"), "left").select("fp", "whole", F.coalesce("component", "first").alias("component"))
-    return sketches.where("id is not null").join(named, ["fp", "whole"]).groupBy("id").agg(F.min("component").alias("component"))
+    return placed.join(named, ["fp", "whole"]).groupBy("id").agg(F.min("component").alias("component"))
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, radius: int = 2, similar: float = 0.8) -> DataFrame:

@@ -5,13 +5,16 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lectern.llm import common, components, decontaminate, id_coder, language_id, packing, quality_cnn, queries, simhash, token_file, tokens, warc
@@ -109,6 +112,44 @@ def test_no_pair_at_the_threshold_is_missed(frame):
     assert kept == {k for k in texts if k % 2 == 0} | {9999}
 
 
+def test_parities_never_rule_out_a_similar_pair():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        n, m = r.integers(1, 1500, 2)
+        pool = r.integers(0, 1 << 64, n + m, dtype=np.uint64)
+        at = r.integers(0, n)
+        x, y = pool[:n], pool[at : at + m]
+        odd = simhash.apart(simhash.parities(x), simhash.parities(y))
+        assert odd <= len(set(x.tolist()) ^ set(y.tolist())) and odd % 2 == (n + m) % 2
+    assert simhash.apart(simhash.parities(pool), simhash.parities(pool[::-1])) == 0
+
+
+def test_only_pairs_that_may_be_similar_are_compared_whole(frame, monkeypatch):
+    r = random.Random(14)
+    own = lambda n: " ".join(f"{r.randrange(10**6)}" for _ in range(n))
+    passage = own(60)  # meets in the first shingles of all, most of whose shingles are their own
+    texts = {k: f"{passage} {own(100)}" for k in range(60)}
+    texts |= {100 + k: texts[k] + " end" for k in range(5)}
+    seen, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda docs, pairs, *rest: seen.append({(x.rep1, x.rep2) for x in pairs.collect()}) or verified(docs, pairs, *rest))
+    assert {x["doc_id"] for x in simhash.keep_one_each(frame(list(texts.items()))).collect()} == set(range(60))
+    assert set().union(*seen) == {(k, 100 + k) for k in range(5)}
+
+
+def test_settled_tables_leave_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(f) for d in manager.localDirsString() for f in Path(d).rglob("shuffle_*")}
+    before, rows = files(), spark.range(50000).groupBy((F.col("id") * 7 % 20011).alias("k")).count()
+    assert common.settle(rows, "counts").count() == 20011
+    own = files() - before
+    rows.collect()  # without the table there are some
+    assert len(files() - before - own) > 0
+    end = time.time() + 20
+    while (left := {f for f in own if Path(f).exists()}) and time.time() < end:
+        time.sleep(0.2)
+    assert not left
+
+
 def test_fingerprint_of_long_texts_counts_every_shingle(monkeypatch):
     r = random.Random(13)
     text = " ".join(f"{k}x{r.randrange(10**6)}" for k in range(110000))
