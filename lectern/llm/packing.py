@@ -16,16 +16,19 @@ from pyspark.sql import types as T
 from lectern.llm.common import fields, settle, slices
 from lectern.llm.tokens import word_cache
 
-PIECES = fields(("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("part", T.IntegerType()), ("nth", T.LongType()))
+PIECES = fields(("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("ids", T.BinaryType()), ("part", T.IntegerType()), ("nth", T.LongType()))
 
 PACKED = fields(("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("ids", T.BinaryType()))
 
+#: Texts that pass between Spark and Python at once, fewer than Spark's 10,000: both sides hold them in buffers.
+TEXTS_AT_ONCE = 512
+
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """Every document's ids and end id, cut into pieces of ``size``; the last may be shorter.
 
     ids: little-endian unsigned integers of 32 bits, or of 16 if the vocabulary has at most 65,536 ids (see ``id_type``).
-    part and nth: the task that made the piece, and the piece's number (from 0) among those of its length there.
+    ids_crc32: that of the ids as unsigned 32-bit integers. part and nth: the task that made the piece, and the piece's number (from 0) among those of its length there.
 
     A null text is empty: one piece that holds the end id alone. Repeated rows and ids give their pieces each; a null
     id stays null. An empty table gives no piece. Other columns are not read.
@@ -40,6 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, i
         for b in slices(batches):
             ids = cache.encode(b.column(1).to_pylist(), end_id)
             many = np.array([-(-len(x) // size) for x in ids], np.int64)
+            sums = [zlib.crc32(x[at : at + size].data) for x in ids for at in range(0, len(x), size)]
             flat = np.concatenate(ids).astype(kind)
             piece = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             sizes = np.array([len(x) for x in ids], np.int64)
@@ -54,7 +58,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, i
             made += here
             doc = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), many)))
             coded = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([doc, pa.array(piece.astype(np.int32)), pa.array(piece * size), pa.array(length), coded, pa.array(np.full(len(length), part, np.int32)), pa.array(nth)], names=PIECES.names)
+            yield pa.RecordBatch.from_arrays([doc, pa.array(piece.astype(np.int32)), pa.array(piece * size), pa.array(length), pa.array(sums, pa.int64()), coded, pa.array(np.full(len(length), part, np.int32)), pa.array(nth)], names=PIECES.names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, PIECES)
@@ -147,16 +151,17 @@ def tallies(local: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
     return keys[order], before[order], {int(x): int(many) for x, many in zip(lengths, np.add.reduceat(n, first) if len(n) else [])}
 
 
-def pack(cut: DataFrame, kind: np.dtype, size: int = 2048) -> DataFrame:
+def pack(cut: DataFrame, kind: np.dtype, size: int = 2048, with_ids: bool = True) -> DataFrame:
     """``pieces`` with their places: (doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids).
 
-    Sequences hold at most ``size`` ids, gapless from 0. ids_crc32 is that of the ids as unsigned 32-bit integers.
+    Sequences hold at most ``size`` ids, gapless from 0. Pieces are written with their ids, which are checked
+    against their sums when they are read; without ``with_ids`` places are told without reading them again.
     Only counts by task and length reach the driver (see ``tallies``); they go out with the plan's runs of slots, and
     pieces take theirs by their rank within their length, where they are: ids are neither shuffled nor sorted. Pieces are written once, as numbers within a task must
     not change. Ties are broken by the task and place of a piece; repeated rows, null ids and empty texts are pieces
     like others. An empty table gives an empty result.
     """
-    local = settle(cut, "pieces")
+    local = settle(cut, "pieces", {"spark.sql.execution.arrow.maxRecordsPerBatch": TEXTS_AT_ONCE})
     parts, before, total = tallies(local)
     runs = sorted(slots(plan(total, size)))
     keys = np.array([r[0] << 44 | r[1] for r in runs], dtype=np.int64)
@@ -166,12 +171,14 @@ def pack(cut: DataFrame, kind: np.dtype, size: int = 2048) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, before, keys, values = sent.value
         for b in slices(batches, 2048):
-            doc, piece, start, lengths, ids, part, nth = b.columns
+            doc, piece, start, lengths, sums, part, nth, *ids = b.columns
             length, part, nth = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (lengths, part, nth))
             rank = nth + before[np.searchsorted(parts, part << 32 | length)]
             first, _, sequence, each, offset = values[np.searchsorted(keys, length << 44 | rank, side="right") - 1].T
             at = rank - first
-            sums = [zlib.crc32(np.frombuffer(x.as_buffer(), kind).astype("<u4").data) for x in ids]
-            yield pa.RecordBatch.from_arrays([doc, piece, start, lengths, pa.array(sums, pa.int64()), pa.array(sequence + at // each), pa.array(offset + at % each * length), ids], names=PACKED.names)
+            if ids and sums.to_pylist() != [zlib.crc32(np.frombuffer(x.as_buffer(), kind).astype("<u4").data) for x in ids[0]]:
+                raise ValueError("a piece is damaged")
+            yield pa.RecordBatch.from_arrays([doc, piece, start, lengths, sums, pa.array(sequence + at // each), pa.array(offset + at % each * length), *ids], names=out.names)
 
-    return local.select("doc_id", "piece", "start", "length", "ids", "part", "nth").mapInArrow(place, PACKED)
+    out = T.StructType([f for f in PACKED.fields if with_ids or f.name != "ids"])
+    return local.select("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", *["ids"] * with_ids).mapInArrow(place, out)

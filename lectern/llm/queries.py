@@ -56,7 +56,7 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack(packing.pieces(read_table(spark, sf_dir, "documents"), tokenizer), packing.id_type(tokenizer)).drop("ids")
+    return packing.pack(packing.pieces(read_table(spark, sf_dir, "documents"), tokenizer), packing.id_type(tokenizer), with_ids=False)
 
 
 def quality_network(docs: DataFrame, labels: DataFrame) -> quality_cnn.Network | None:

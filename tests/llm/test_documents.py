@@ -334,6 +334,20 @@ def test_packing_moves_no_ids(spark, frame):
     first_fit_check(rows)
 
 
+def test_packing_places_without_reading_ids_and_takes_few_texts_at_once(spark, frame, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs, settled = frame([(k, "of " * (k % 3000)) for k in range(3000)]), []
+    settle = packing.settle
+    monkeypatch.setattr(packing, "settle", lambda df, name, conf: settled.append(conf) or settle(df, name, conf))
+    cut = packing.pieces(docs, path)
+    got = packing.pack(cut, packing.id_type(path), with_ids=False)
+    assert "ids" not in got.columns and "ids:binary" not in got._jdf.queryExecution().executedPlan().toString()
+    with_ids = packing.pack(packing.pieces(docs, path), packing.id_type(path))
+    assert sorted(map(tuple, got.collect())) == sorted(x[:7] for x in map(tuple, with_ids.collect()))
+    assert all(c["spark.sql.execution.arrow.maxRecordsPerBatch"] < 1000 for c in settled) and len(settled) == 2
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 def plain_best_fit(lengths, size):
     rooms = []
     for x in sorted(lengths, reverse=True):
