@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import fields, slices
+from lectern.llm.common import fields, kept, let_go, slices
 
 #: Errors allowed, as a share of the item's characters.
 ERROR_RATE = 0.1
@@ -168,16 +168,12 @@ def blocks(items: DataFrame, id_col: str, text_col: str, most: int = BLOCK_CHARS
             yield [(r["i"], r["t"]) for r in found]
 
 
-_FINDERS: dict[str, Finder] = {}
-
-
 def finder(spark: SparkSession, items: list[tuple[int | None, str]], rate: float) -> Callable[[], Finder]:
     """Builds the finder once in each Python worker that needs it, from a broadcast of at most BLOCK_CHARS characters."""
     sent, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def get() -> Finder:
-        from lectern.llm.decontaminate import _FINDERS as made
-
+        made = kept("finder")
         if key not in made:
             made.clear()
             made[key] = Finder(sent.value, rate)
@@ -200,6 +196,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         get = finder(docs.sparkSession, block, rate)
 
         def run(batches: Iterator[pa.RecordBatch], get: Callable[[], Finder] = get) -> Iterator[pa.RecordBatch]:
+            let_go("finder")
             for b in slices(batches):
                 found = [(doc, *m) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in get().find(t)]
                 cols = list(zip(*found)) or [()] * 5
@@ -217,6 +214,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
         get = finder(docs.sparkSession, block, rate)
 
         def run(batches: Iterator[pa.RecordBatch], get: Callable[[], Finder] = get) -> Iterator[pa.RecordBatch]:
+            let_go("finder")
             for b in slices(batches):
                 yield b.filter(pa.array([not get().find(t) for t in b.column(at).to_pylist()], pa.bool_()))
 

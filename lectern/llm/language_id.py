@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import binary_text, fields
+from lectern.llm.common import FEW, binary_text, fields, let_go, setting
 
 #: Bytes that the network reads in one go; a text is cut into windows of this length, the last one padded with zeros.
 WINDOW = 128
@@ -186,11 +186,13 @@ def sample_windows(rows: DataFrame, most: int, size: int, texts: int) -> tuple[n
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             cut = [spaced_windows(t.as_py() or b"", most, size) for t in binary_text(b, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array([b"".join(c) for c in cut], pa.binary())], names=["label", "cut"])
 
-    found = rows.mapInArrow(run, fields(("label", T.StringType()), ("cut", T.BinaryType()))).limit(texts).collect()
+    with setting(rows.sparkSession, FEW):
+        found = rows.mapInArrow(run, fields(("label", T.StringType()), ("cut", T.BinaryType()))).limit(texts).collect()
     found.sort(key=lambda x: (x["label"], bytes(x["cut"])))
     sizes = [len(x["cut"]) // size for x in found]
     windows = np.frombuffer(b"".join(bytes(x["cut"]) for x in found), dtype=np.uint8).reshape(-1, size)

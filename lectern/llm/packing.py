@@ -13,16 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import fields, settle, slices
+from lectern.llm.common import FEW, fields, let_go, settle, slices
 from lectern.llm.tokens import word_cache
 
 PIECES = fields(("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("ids", T.BinaryType()), ("part", T.IntegerType()), ("nth", T.LongType()))
 
 PACKED = fields(("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()), ("ids", T.BinaryType()))
 
-#: Texts that pass between Spark and Python at once, fewer than Spark's 10,000: both sides hold them in buffers.
-TEXTS_AT_ONCE = 512
-
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """Every document's ids and end id, cut into pieces of ``size``; the last may be shorter.
@@ -38,6 +35,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        let_go("words")
         part, made = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         cache = word_cache(tokenizer, True, special_as_text)
         for b in slices(batches):
@@ -161,7 +159,7 @@ def pack(cut: DataFrame, kind: np.dtype, size: int = 2048, with_ids: bool = True
     not change. Ties are broken by the task and place of a piece; repeated rows, null ids and empty texts are pieces
     like others. An empty table gives an empty result.
     """
-    local = settle(cut, "pieces", {"spark.sql.execution.arrow.maxRecordsPerBatch": TEXTS_AT_ONCE})
+    local = settle(cut, "pieces", FEW)
     parts, before, total = tallies(local)
     runs = sorted(slots(plan(total, size)))
     keys = np.array([r[0] << 44 | r[1] for r in runs], dtype=np.int64)
@@ -169,6 +167,7 @@ def pack(cut: DataFrame, kind: np.dtype, size: int = 2048, with_ids: bool = True
     sent = local.sparkSession.sparkContext.broadcast((parts, before, keys, values))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         parts, before, keys, values = sent.value
         for b in slices(batches, 2048):
             doc, piece, start, lengths, sums, part, nth, *ids = b.columns

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import binary_text, fields, slices
+from lectern.llm.common import binary_text, fields, let_go, slices
 from lectern.llm.language_id import SHARES, adam, sample_windows, share_of
 
 #: A chunk has CELLS cells of CELL positions; the next one starts STRIDE cells later and shares the rest.
@@ -157,6 +157,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             p = [0.5 if net is None else net.probability(t.as_py() or b"") for t in binary_text(b, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["id", "score"])
@@ -173,6 +174,7 @@ def keep_good(docs: DataFrame, net: Network | None, text_col: str = "text", thre
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in slices(batches):
             yield b.filter(pa.array([net is None or net.probability(t.as_py() or b"") >= threshold for t in binary_text(b, at)], pa.bool_()))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.core import unused
-from lectern.llm.common import settle, slices
+from lectern.llm.common import FEW, let_go, settle, slices
 
 # The base kinds in their order, and the kind of spans that the tests add.
 KINDS = ("assign", "access", "hex", "random")
@@ -170,6 +170,7 @@ def scan(docs: DataFrame, text_col: str, base: str = "base", tested: str = "test
     kinds, at, names = [f.type for f in to_arrow_schema(out)][-3:], docs.columns.index(text_col), out.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in slices(batches, TOGETHER):
             texts = [t or "" for t in b.column(at).to_pylist()]
             spans = [[{"start": s, "kind": k, "end": e} for s, k, e in base_spans(t)] for t in texts]
@@ -246,7 +247,7 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text has no secret; ``length_col``, if there, is set to the new text's length. Repeated rows and ids do not matter.
     """
     base, tested, windows = unused(docs, "base", "tested", "ordinary")
-    scanned = settle(scan(docs, text_col, base, tested, windows), "secrets")
+    scanned = settle(scan(docs, text_col, base, tested, windows), "secrets", FEW)
     spans = F.sort_array(F.concat(F.col(base), flagged(F.col(tested), cuts(scanned, rate, tested, windows), F.col(base))))
     text = F.col(text_col)
     begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))

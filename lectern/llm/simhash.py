@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.core import unused
-from lectern.llm.common import WRITTEN, binary_text, drop_settled, fields, settle, slices, sweep
+from lectern.llm.common import FEW, WRITTEN, binary_text, drop_settled, fields, let_go, setting, settle, slices, sweep
 from lectern.llm.components import connected_components
 
 #: Hashes whose bits are counted at once; bounds the memory of a very long text.
@@ -64,6 +64,7 @@ def levels_of(docs: DataFrame, text_col: str, shingle_words: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         counts = np.zeros(COUNTERS, np.int64)
         for b in slices(batches):
             parts = [h for t in binary_text(b, 0) for h in shingle_hashes(t.as_py(), shingle_words)]
@@ -79,7 +80,8 @@ def levels_of(docs: DataFrame, text_col: str, shingle_words: int) -> np.ndarray:
         return pa.table({"at": part.column("at").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
 
     kind = fields(("at", T.IntegerType()), ("n", T.BinaryType()))
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, kind).groupBy("at").applyInArrow(add, kind).collect()
+    with setting(docs.sparkSession, FEW):
+        found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, kind).groupBy("at").applyInArrow(add, kind).collect()
     counts = np.zeros(COUNTERS, np.int64)
     for r in found:
         counts[r["at"] * ROW : (r["at"] + 1) * ROW] = np.frombuffer(bytes(r["n"]), np.int64)
@@ -196,8 +198,8 @@ def similar_links(docs: DataFrame, keyed: DataFrame, known: DataFrame, id_col: s
         if kind == "rest":
             drop_settled(rest)
         compared = drawn
-        able = settle(_able(drawn.join(side(1), "rep1").join(side(2), "rep2").where(near), similar), "able")
-        good = settle(_verified(docs, able, id_col, text_col, shingle_words, similar), "verified")
+        able = settle(_able(drawn.join(side(1), "rep1").join(side(2), "rep2").where(near), similar), "able", FEW)
+        good = settle(_verified(docs, able, id_col, text_col, shingle_words, similar), "verified", FEW)
         links = links.unionByName(good.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")))
     sweep(docs.sparkSession, [p for p in WRITTEN if p not in held], links)
     return links
@@ -207,6 +209,7 @@ def _able(pairs: DataFrame, similar: float) -> DataFrame:
     """(rep1, whole1, rep2, whole2) of the pairs with parities that do not rule out similar sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in slices(batches):
             # sets of a and b hashes, d of them in one only, are (a + b - d) / (a + b + d) similar
             most = (b.column(4).to_numpy() + b.column(5).to_numpy()) * (1 - similar) / (1 + similar) + 1e-6
@@ -224,6 +227,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shi
     texts = texts.withColumn("hash", F.xxhash64("text")).dropDuplicates(["rep", "hash"]).select("rep", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in slices(batches):
             sets = [np.unique(np.concatenate([np.zeros(0, "<u8"), *shingle_hashes(t.as_py(), shingle_words)])).tobytes() for t in binary_text(b, 1)]
             wholes = np.array([xxhash.xxh64_intdigest(x, 1) for x in sets], dtype=np.uint64).view(np.int64)
@@ -231,11 +235,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shi
 
     grams = texts.mapInArrow(read, fields(("rep", T.LongType()), ("whole", T.LongType()), ("grams", T.BinaryType())))
     # of an id with several texts all sets are here; only those asked for find a pair
-    sets = settle(grams, "sets")
+    sets = settle(grams, "sets", FEW)
     side = lambda n: sets.select(*[F.col(c).alias(f"{c}{n}") for c in sets.columns])
     names = pairs.columns
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in slices(batches):
             good = []
             for x, y in zip(b.column(4), b.column(5)):
@@ -277,13 +282,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     levels = docs.sparkSession.sparkContext.broadcast(levels_of(docs, text_col, shingle_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in slices(batches):
             fp, whole, size, odd, keys = zip(*(sketch(t.as_py(), shingle_words, similar, levels.value) for t in binary_text(b, 1)))
             signed = lambda v: np.array(v, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed(fp)), pa.array(signed(whole)), pa.array(size, pa.int64()), pa.array(odd, pa.binary()), pa.array([signed(k) for k in keys], pa.list_(pa.int64()))], names=SKETCH.names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = settle(rows.mapInArrow(run, SKETCH), "sketches")
+    sketches = settle(rows.mapInArrow(run, SKETCH), "sketches", FEW)
     placed = settle(sketches.where("id is not null").select("id", "fp", "whole"), "placed")
     firsts = [F.first(c).alias(c) for c in ("size", "odd", "keys")]
     keyed = settle(sketches.where("id is not null and size > 0").groupBy("whole").agg(F.min("id").alias("rep"), *firsts), "keyed")

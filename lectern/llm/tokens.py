@@ -9,6 +9,7 @@ from array import array
 import numpy as np
 
 from lectern.functions.bpe import byte_characters
+from lectern.llm.common import kept
 
 
 #: Stands for a line break before a word while a text is cut; a text that holds it is encoded whole.
@@ -131,12 +132,9 @@ class WordCache:
         return out
 
 
-_CACHES: dict[tuple[str, bool, bool], WordCache] = {}
-
-
 def word_cache(path: str, lower: bool = False, special_as_text: bool = False) -> WordCache:
     """The process's cache for a tokenizer file; a Python worker keeps it from task to task."""
-    key = path, lower, special_as_text
-    if key not in _CACHES:
-        _CACHES[key] = WordCache(*key)
-    return _CACHES[key]
+    key, made = (path, lower, special_as_text), kept("words")
+    if key not in made:
+        made[key] = WordCache(*key)
+    return made[key]

@@ -1,11 +1,13 @@
 """Near-duplicates, archives, tokens, packing, decontamination, classifiers and the pipeline against brute force."""
 
 import collections
+import gc
 import hashlib
 import io
 import random
 import re
 import time
+import weakref
 import zlib
 from pathlib import Path
 
@@ -17,7 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm import common, components, decontaminate, id_coder, language_id, packing, quality_cnn, queries, simhash, token_file, tokens, warc
+from lectern.llm import common, components, decontaminate, id_coder, language_id, packing, quality_cnn, queries, secrets, simhash, token_file, tokens, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -346,6 +348,32 @@ def test_packing_places_without_reading_ids_and_takes_few_texts_at_once(spark, f
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
 
 
+def test_a_worker_lets_go_of_what_other_stages_kept():
+    gc.disable()
+    try:
+        words = weakref.ref(tokens.word_cache(public_tokenizers.path("word_bpe_49k.json"), True))
+        common.kept("finder")["of a test"] = 1
+        common.let_go("words")
+        assert words() is tokens.word_cache(public_tokenizers.path("word_bpe_49k.json"), True) and not common.kept("finder")
+        common.let_go()
+        assert words() is None
+    finally:
+        gc.enable()
+
+
+def test_stages_take_few_texts_at_once(spark, frame, monkeypatch):
+    import corpus_pipeline
+
+    taken, settle = {}, common.settle
+    for part in (simhash, secrets, packing):
+        monkeypatch.setattr(part, "settle", lambda df, name, conf=None: taken.update({name: (conf or {}).get("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)}) or settle(df, name, conf))
+    docs = frame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l")])
+    assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {1, 3}
+    assert corpus_pipeline.without_secrets(spark, docs, SF).count() == corpus_pipeline.packed(spark, docs, SF).count() == 3
+    assert all(taken[name] < 1000 for name in ("sketches", "sets", "able", "verified", "secrets", "pieces"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 def plain_best_fit(lengths, size):
     rooms = []
     for x in sorted(lengths, reverse=True):
