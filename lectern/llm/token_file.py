@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import crc32_u32, fields, fresh_path, parts_for, settle
+from lectern.llm.common import FEW, crc32_u32, fields, fresh_path, parts_for, settle
 from lectern.llm.id_coder import TOGETHER, decode, encode, shape
 from lectern.llm.tokens import word_cache
 
@@ -132,7 +132,7 @@ def write_ids(docs: DataFrame, directory: str, tokenizer: str, end_id: int = 2,
             cols = ([name], [part], [n_docs], [total], [size])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=MANIFEST.names)
 
-    return settle(dealt.mapInArrow(write, MANIFEST), "manifest")
+    return settle(dealt.mapInArrow(write, MANIFEST), "manifest", FEW)
 
 
 def read_ids(manifest: DataFrame, directory: str, with_ids: bool = False) -> DataFrame:

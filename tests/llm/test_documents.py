@@ -374,6 +374,16 @@ def test_stages_take_few_texts_at_once(spark, frame, monkeypatch):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
 
 
+def test_token_files_take_few_texts_at_once(frame, tmp_path, monkeypatch):
+    taken, settle = [], common.settle
+    monkeypatch.setattr(token_file, "settle", lambda df, name, conf=None: taken.append(conf or {}) or settle(df, name, conf))
+    path, docs = public_tokenizers.path("byte_bpe_50k.json"), [(k, f"word {k}") for k in range(1200)]
+    rows = token_file.read_ids(token_file.write_ids(frame(docs), f"file://{tmp_path}/ids", path, parts=1), f"file://{tmp_path}/ids", with_ids=True).collect()
+    whole = Tokenizer.from_file(path)
+    assert [(x["doc_id"], x["ids"]) for x in rows] == [(k, [*whole.encode(t, add_special_tokens=False).ids, 2]) for k, t in docs]
+    assert [c["spark.sql.execution.arrow.maxRecordsPerBatch"] < 1000 for c in taken] == [True]
+
+
 def plain_best_fit(lengths, size):
     rooms = []
     for x in sorted(lengths, reverse=True):
